@@ -31,6 +31,9 @@ VERSION_NOISE = "CLI v0."
 # A line holding one of these (in any case) reports an error.
 ERROR_WORDS = ("error", "failed", "limit", "permission", "not found", "invalid")
 
+# A line end with the white space around it; blank lines fall away, and never matter.
+_LINE_END = r"(?U)[\s\x{1c}-\x{1f}&&[^\n]]*\n[\s\x{1c}-\x{1f}]*"
+
 EMPTY_LOG = "Unknown error occurred"
 
 
@@ -39,18 +42,22 @@ def _any_of(substrings) -> str:
 
 
 def clean_error(raw: Column) -> Column:
-    """The lines of a raw log that report errors; see the fallbacks in order below."""
-    lines = F.transform(F.split(strip(raw), "\n"), strip)
+    """The lines of a raw log that report errors, else its last readable line, else the log itself.
+
+    Each alternative is computed only when those before it came to nothing.
+    """
+    lines = F.split(strip(raw), _LINE_END)
     errors = F.filter(
         lines,
-        lambda line: ~line.rlike(_any_of(NOISE)) & F.lower(line).rlike(_any_of(ERROR_WORDS)),
+        lambda line: F.lower(line).rlike(_any_of(ERROR_WORDS)) & ~line.rlike(_any_of(NOISE)),
     )
     readable = F.filter(lines, lambda line: (line != "") & ~line.contains(VERSION_NOISE))
-    return (
-        F.when(raw.isNull() | (raw == ""), F.lit(EMPTY_LOG))
-        .when(F.size(errors) > 0, F.array_join(errors, "\n"))
-        .when(F.size(readable) > 0, F.element_at(readable, -1))
-        .otherwise(raw)
+    return F.when(raw.isNull() | (raw == ""), F.lit(EMPTY_LOG)).otherwise(
+        F.coalesce(
+            F.nullif(F.array_join(errors, "\n"), F.lit("")),
+            F.try_element_at(readable, F.lit(-1)),
+            raw,
+        )
     )
 
 
@@ -90,6 +97,7 @@ def elapsed_text(seconds: Column) -> Column:
     return F.concat(minutes, F.lit("m "), (whole % 60).cast("string"), F.lit("s elapsed"))
 
 
+_JSON_ENDS = r"(?s)\A\s*(\{.*\}|\[.*\]|\".*\"|[-0-9tfn][^\s]*)\s*\z"
 _SENTINEL = "\\u241Eend-of-text\\u241E"
 
 
@@ -100,11 +108,10 @@ def is_json(raw: Column) -> Column:
     the first of two array elements: anything that follows the value breaks the array.
     """
     wrapped = F.try_parse_json(F.concat(F.lit("["), raw, F.lit(f',"{_SENTINEL}"]')))
-    second = F.try_variant_get(wrapped, "$[1]", "string")
-    third = F.try_variant_get(wrapped, "$[2]", "string")
-    expected = json.loads(f'"{_SENTINEL}"')
-    single = F.coalesce(second == expected, F.lit(False)) & third.isNull()
-    return single & ~raw.contains("end-of-text")
+    alone = F.try_variant_get(wrapped, "$[1]", "string") == json.loads(f'"{_SENTINEL}"')
+    # A failed parse is slow, so texts that cannot be JSON by their ends are not tried.
+    plausible = raw.rlike(_JSON_ENDS) & ~raw.contains("end-of-text")
+    return F.when(plausible, alone).otherwise(F.lit(False))
 
 
 _STRUCTURE = re.compile(r'\\.|["{}\[\]]', re.DOTALL)

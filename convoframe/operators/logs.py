@@ -39,7 +39,10 @@ def extract_json(log: DataFrame, col: str = "raw", out: str = "json") -> DataFra
 def parse_listing(listing: DataFrame, col: str = "raw", out: str = "name") -> DataFrame:
     """One row per name in a CLI table text, with its place in the table from 1."""
     others = [c for c in listing.columns if c != col]
-    rows = listing.select(*others, F.posexplode(text.listing_names(F.col(col))).alias("_pos", out))
+    # Outer, as Spark would otherwise parse every text once more to test for empty listings.
+    rows = listing.select(
+        *others, F.posexplode_outer(text.listing_names(F.col(col))).alias("_pos", out)
+    ).where(F.col("_pos").isNotNull())
     return rows.select(*others, (F.col("_pos") + 1).cast("bigint").alias("place"), out)
 
 
@@ -78,7 +81,9 @@ def first_valid(
 def extract_secret_refs(configs: DataFrame, col: str = "raw") -> DataFrame:
     """One row per secret reference in a configuration text. Reads names, never secrets."""
     others = [c for c in configs.columns if c != col]
-    refs = configs.where(F.col(col).contains("{{secrets/")).select(
-        *others, F.explode(ids.secret_refs(F.col(col))).alias("_ref")
+    refs = (
+        configs.where(F.col(col).contains("{{secrets/"))
+        .select(*others, F.explode_outer(ids.secret_refs(F.col(col))).alias("_ref"))
+        .where(F.col("_ref").isNotNull())
     )
     return refs.select(*others, "_ref.scope", "_ref.name")

@@ -5,8 +5,8 @@ documents, so most of it is never formed, without losing a hit:
 
 1. the best documents of each question's rarest terms are scored in full; the k-th of these scores
    is a lower bound for the k-th best score of all;
-2. terms whose largest possible contributions together stay below that bound cannot put a document
-   among the best on their own. Only the other terms fetch candidates;
+2. terms whose largest possible contributions together stay well below that bound cannot put a
+   document among the best on their own. Only the other terms fetch candidates;
 3. candidates that could not reach the bound even with all remaining terms are dropped, the rest
    get the remaining terms by a lookup on (document, term).
 
@@ -29,112 +29,126 @@ B = 0.75
 _SCALE = 1_000_000
 # Rarest terms of a question whose best documents give the bound. More terms tighten the bound;
 # the result is the same for any number.
-_SEED_TERMS = 6
+_SEED_TERMS = 4
+# Terms fetch no candidates while their largest contributions add up to less than this share of the
+# bound. A larger share means fewer candidates to fetch, but more of them to look up.
+_SPARE = 0.4
 
 
 @dataclass
 class SearchIndex:
-    """Written tables: ``postings (doc_id, term, share)``, ``terms (term, df, top_share)`` and the
-    one-row ``corpus (n_docs, avg_tokens)``. ``share`` is the saturated term frequency."""
+    """Written tables: ``postings (doc_id, n_tokens, term, tf)``, ``terms (term, df)`` and the
+    one-row ``corpus (n_docs, avg_tokens)``."""
 
     postings: DataFrame
     terms: DataFrame
     corpus: DataFrame
 
 
-def _saturated(tf: Column, n_tokens: Column, avg_tokens: Column) -> Column:
-    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * n_tokens / avg_tokens))
-
-
 def index_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> SearchIndex:
     """Tokenise every document once and write the index to the shared folder."""
-    tokenised = docs.select(
-        F.col(id_col).alias("doc_id"), rules.tokens(F.col(text_col)).alias("_tokens")
-    )
-    counted = materialise(
-        tokenised.select("doc_id", F.size("_tokens").alias("n_tokens"), F.explode("_tokens").alias("term"))
-        .groupBy("doc_id", "n_tokens", "term")
-        .agg(F.count(F.lit(1)).alias("tf")),
+    # One shuffle, by document: the terms of a document are then counted where they are, and the
+    # written postings lie together by document, which keeps later sums per document local.
+    tokenised = (
+        docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
+        .repartition("doc_id")
+        .select("doc_id", rules.tokens(F.col("_text")).alias("_tokens"))
+        .select("doc_id", "_tokens", F.size("_tokens").alias("n_tokens"))
+    )
+    # The outer explode keeps Spark from testing for empty arrays, that is from tokenising twice.
+    occurrences = tokenised.select(
+        "doc_id", "n_tokens", F.explode_outer("_tokens").alias("term")
+    ).where("term is not null")
+    postings = materialise(
+        occurrences.groupBy("doc_id", "n_tokens", "term").agg(F.count(F.lit(1)).alias("tf")),
         "postings",
     )
+    terms = materialise(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "terms")
     n_docs = docs.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
     corpus = materialise(
-        counted.agg(
-            n_docs.alias("n_docs"), (F.sum("tf") / n_docs).alias("avg_tokens")
-        ),
-        "corpus",
-    )
-    average = corpus.select("avg_tokens").scalar()
-    postings = counted.select(
-        "doc_id", "term", _saturated(F.col("tf"), F.col("n_tokens"), average).alias("share")
-    )
-    terms = materialise(
-        postings.groupBy("term").agg(
-            F.count(F.lit(1)).alias("df"), F.max("share").alias("top_share")
-        ),
-        "terms",
+        postings.agg(n_docs.alias("n_docs"), (F.sum("tf") / n_docs).alias("avg_tokens")), "corpus"
     )
     return SearchIndex(postings, terms, corpus)
 
 
-def _points(idf: str, share: str) -> Column:
-    return F.round(F.col(idf) * F.col(share) * _SCALE).cast("bigint")
-
-
-def _question_terms(
-    asked: DataFrame, index: SearchIndex, max_df_share: float | None
-) -> DataFrame:
-    """``_q, term, df, idf, most``: a question's distinct terms that some document has."""
+def _vocabulary(asked: DataFrame, index: SearchIndex, max_df_share: float | None) -> DataFrame:
+    """``term, term_id, df, idf`` of the terms that occur in questions and in documents."""
     n_docs = index.corpus.select("n_docs").scalar()
     terms = index.terms
     if max_df_share is not None:
         terms = terms.where(F.col("df") <= max_df_share * n_docs)
-    idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = terms.withColumn("idf", idf).withColumn("most", _points("idf", "top_share"))
-    return (
-        asked.select("_q", F.explode("_terms").alias("term"))
-        .join(weighted, "term")
-        .select("_q", "term", "df", "idf", "most")
+    used = asked.select(F.explode("_terms").alias("term")).distinct()
+    return terms.join(used, "term", "left_semi").select(
+        "term",
+        F.monotonically_increasing_id().alias("term_id"),
+        "df",
+        F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"),
     )
 
 
-def _looked_up(pairs: DataFrame, terms: DataFrame, postings: DataFrame) -> DataFrame:
+def _points(average: Column) -> Column:
+    """What a term adds to a document's score, in millionths."""
+    tf, n_tokens = F.col("tf"), F.col("n_tokens")
+    saturated = tf * (K1 + 1) / (tf + K1 * (1 - B + B * n_tokens / average))
+    return F.round(F.col("idf") * saturated * _SCALE).cast("bigint")
+
+
+def _looked_up(pairs: DataFrame, terms: DataFrame, weights: DataFrame) -> DataFrame:
     """The points that given (question, document) pairs get from given terms of the question."""
     return (
         pairs.select("_q", "doc_id")
-        .join(terms.select("_q", "term", "idf"), "_q")
-        .join(postings, ["doc_id", "term"])
+        .join(terms.select("_q", "term_id"), "_q")
+        .join(weights, ["doc_id", "term_id"])
         .groupBy("_q", "doc_id")
-        .agg(F.sum(_points("idf", "share")).alias("_points"))
+        .agg(F.sum("points").alias("points"))
     )
 
 
-def _lower_bounds(q_terms: DataFrame, postings: DataFrame, k: int) -> DataFrame:
+def _lower_bounds(q_terms: DataFrame, weights: DataFrame, k: int) -> DataFrame:
     """``_q, _bound``: a score that at least ``k`` documents reach."""
-    rarest = Window.partitionBy("_q").orderBy("df", "term")
+    rarest = Window.partitionBy("_q").orderBy("df", "term_id")
     seeds = q_terms.withColumn("_rank", F.row_number().over(rarest)).where(
         F.col("_rank") <= _SEED_TERMS
     )
-    best = Window.partitionBy("term").orderBy(F.col("share").desc(), "doc_id")
+    best = Window.partitionBy("term_id").orderBy(F.col("points").desc(), "doc_id")
     top_docs = (
-        postings.join(seeds.select("term").distinct(), "term", "left_semi")
+        weights.join(seeds.select("term_id").distinct(), "term_id", "left_semi")
         .withColumn("_rank", F.row_number().over(best))
         .where(F.col("_rank") <= k)
-        .select("term", "doc_id")
+        .select("term_id", "doc_id")
     )
-    pairs = seeds.select("_q", "term").join(top_docs, "term").select("_q", "doc_id").distinct()
-    scored = _looked_up(pairs, q_terms, postings)
-    by_score = Window.partitionBy("_q").orderBy(F.col("_points").desc())
+    pairs = seeds.join(top_docs, "term_id").select("_q", "doc_id").distinct()
+    by_score = Window.partitionBy("_q").orderBy(F.col("points").desc())
     return (
-        scored.withColumn("_rank", F.row_number().over(by_score))
+        _looked_up(pairs, q_terms, weights)
+        .withColumn("_rank", F.row_number().over(by_score))
         .where(F.col("_rank") <= k)
         .groupBy("_q")
-        .agg(F.count(F.lit(1)).alias("_n"), F.min("_points").alias("_bound"))
+        .agg(F.count(F.lit(1)).alias("_n"), F.min("points").alias("_bound"))
         .where(F.col("_n") == k)
         .select("_q", "_bound")
     )
 
 
+def _marked_terms(q_terms: DataFrame, weights: DataFrame, k: int) -> DataFrame:
+    """The questions' terms with the bound and whether the term fetches candidates.
+
+    A question's terms are ordered by the most that they can add; the first ones, while their sum
+    stays below a share of the bound, fetch none.
+    """
+    growing = (
+        Window.partitionBy("_q")
+        .orderBy("most", "term_id")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    return (
+        q_terms.join(_lower_bounds(q_terms, weights, k), "_q", "left")
+        .withColumn("_bound", F.coalesce("_bound", F.lit(0)))
+        .withColumn("_upto", F.sum("most").over(growing))
+        .withColumn("_fetches", F.col("_upto") >= F.col("_bound") * _SPARE)
+    )
+
+
 def search_documents(
     queries: DataFrame,
     docs: DataFrame | SearchIndex,
@@ -150,53 +164,62 @@ def search_documents(
     index = docs if isinstance(docs, SearchIndex) else index_documents(docs)
     others = [c for c in queries.columns if c != text_col]
     term_set = F.array_sort(F.array_distinct(rules.tokens(F.col(text_col))))
-    keyed = materialise(
-        queries.select(*others, term_set.alias("_terms"))
-        .withColumn("_q", F.sha2(F.array_join("_terms", " "), 256)),
+    keyed = queries.select(*others, term_set.alias("_terms")).withColumn(
+        "_key", F.sha2(F.array_join("_terms", " "), 256)
+    )
+    # Tables that number their rows are written once, so that the numbers stay the same.
+    asked = materialise(
+        keyed.groupBy("_key")
+        .agg(F.first("_terms").alias("_terms"))
+        .withColumn("_q", F.monotonically_increasing_id()),
         "questions",
     )
-    asked = keyed.groupBy("_q").agg(F.first("_terms").alias("_terms"))
-    q_terms = materialise(_question_terms(asked, index, max_df_share), "question-terms")
-    postings = index.postings
-
-    bounds = _lower_bounds(q_terms, postings, k)
-    growing = Window.partitionBy("_q").orderBy("most", "term")
-    marked = q_terms.join(bounds, "_q", "left").withColumns(
-        {
-            "_bound": F.coalesce("_bound", F.lit(0)),
-            "_upto": F.sum("most").over(
-                growing.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            ),
-        }
+    vocabulary = materialise(_vocabulary(asked, index, max_df_share), "vocabulary")
+    average = index.corpus.select("avg_tokens").scalar()
+    weights = materialise(
+        index.postings.join(vocabulary.select("term", "term_id", "idf"), "term").select(
+            "doc_id", "term_id", _points(average).alias("points")
+        ),
+        "weights",
     )
-    marked = materialise(
-        marked.withColumn("_fetches", F.col("_upto") >= F.col("_bound")), "bounds"
+    most = weights.groupBy("term_id").agg(F.max("points").alias("most"))
+    q_terms = materialise(
+        asked.select("_q", F.explode("_terms").alias("term"))
+        .join(vocabulary.select("term", "term_id", "df"), "term")
+        .join(most, "term_id")
+        .select("_q", "term_id", "df", "most"),
+        "question-terms",
     )
+    marked = materialise(_marked_terms(q_terms, weights, k), "bounds")
     fetching = marked.where("_fetches")
     rest = marked.where("not _fetches")
-    spare = rest.groupBy("_q").agg(F.max("_upto").alias("_spare"))
-    limits = fetching.groupBy("_q").agg(F.first("_bound").alias("_bound")).join(spare, "_q", "left")
-    candidates = (
-        fetching.select("_q", "term", "idf")
-        .join(postings, "term")
+    limits = marked.groupBy("_q").agg(
+        F.first("_bound").alias("_bound"),
+        F.coalesce(F.max(F.when(~F.col("_fetches"), F.col("_upto"))), F.lit(0)).alias("_spare"),
+    )
+    candidates = materialise(
+        fetching.select("_q", "term_id")
+        .join(weights, "term_id")
         .groupBy("_q", "doc_id")
-        .agg(F.sum(_points("idf", "share")).alias("_points"))
+        .agg(F.sum("points").alias("points"))
         .join(limits, "_q")
-        .where(F.col("_points") + F.coalesce("_spare", F.lit(0)) >= F.col("_bound"))
-        .select("_q", "doc_id", "_points")
+        .where(F.col("points") + F.col("_spare") >= F.col("_bound"))
+        .select("_q", "doc_id", "points"),
+        "candidates",
     )
-    candidates = materialise(candidates, "candidates")
     scored = (
-        candidates.unionByName(_looked_up(candidates, rest, postings))
+        candidates.unionByName(_looked_up(candidates, rest, weights))
         .groupBy("_q", "doc_id")
-        .agg(F.sum("_points").alias("_points"))
+        .agg(F.sum("points").alias("points"))
     )
-    best = Window.partitionBy("_q").orderBy(F.col("_points").desc(), "doc_id")
+    best = Window.partitionBy("_q").orderBy(F.col("points").desc(), "doc_id")
     hits = scored.withColumn("rank", F.row_number().over(best).cast("bigint")).where(
         F.col("rank") <= k
     )
-    return keyed.join(hits, "_q").select(
-        *others, "rank", "doc_id", (F.col("_points") / _SCALE).alias("score")
+    return (
+        keyed.join(asked.select("_key", "_q"), "_key")
+        .join(hits, "_q")
+        .select(*others, "rank", "doc_id", (F.col("points") / _SCALE).alias("score"))
     )
 
 
