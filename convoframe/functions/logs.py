@@ -41,23 +41,26 @@ def _any_of(substrings) -> str:
     return "|".join(re.escape(s) for s in substrings)
 
 
-def clean_error(raw: Column) -> Column:
-    """The lines of a raw log that report errors, else its last readable line, else the log itself.
+def log_lines(raw: Column) -> Column:
+    return F.split(strip(raw), _LINE_END)
 
-    Each alternative is computed only when those before it came to nothing.
-    """
-    lines = F.split(strip(raw), _LINE_END)
-    errors = F.filter(
+
+def error_lines(lines: Column) -> Column:
+    """The lines that report errors and are not noise."""
+    return F.filter(
         lines,
         lambda line: F.lower(line).rlike(_any_of(ERROR_WORDS)) & ~line.rlike(_any_of(NOISE)),
     )
+
+
+def message(raw: Column, lines: Column, errors: Column) -> Column:
+    """The error lines of a log, else its last readable line, else the log itself."""
     readable = F.filter(lines, lambda line: (line != "") & ~line.contains(VERSION_NOISE))
-    return F.when(raw.isNull() | (raw == ""), F.lit(EMPTY_LOG)).otherwise(
-        F.coalesce(
-            F.nullif(F.array_join(errors, "\n"), F.lit("")),
-            F.try_element_at(readable, F.lit(-1)),
-            raw,
-        )
+    last_readable = F.try_element_at(readable, F.lit(-1))
+    return (
+        F.when(raw.isNull() | (raw == ""), F.lit(EMPTY_LOG))
+        .when(F.size(errors) > 0, F.array_join(errors, "\n"))
+        .otherwise(F.coalesce(last_readable, raw))
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from convoframe.functions import ids, logs, text
@@ -10,7 +10,12 @@ from convoframe.functions import ids, logs, text
 
 def clean_errors(log: DataFrame, col: str = "raw", out: str = "message") -> DataFrame:
     """Adds the error lines of a raw log."""
-    return log.withColumn(out, logs.clean_error(F.col(col)))
+    # Column by column, as each is used more than once and a nested expression would be recomputed.
+    found = log.withColumn("_lines", logs.log_lines(F.col(col))).withColumn(
+        "_errors", logs.error_lines(F.col("_lines"))
+    )
+    message = logs.message(F.col(col), F.col("_lines"), F.col("_errors"))
+    return found.withColumn(out, message).drop("_lines", "_errors")
 
 
 def classify_errors(log: DataFrame, col: str = "message", out: str = "error_type") -> DataFrame:
@@ -23,8 +28,8 @@ def error_summary(log: DataFrame, col: str = "raw", ts: str = "ts") -> DataFrame
     classes = classify_errors(clean_errors(log, col)).groupBy("error_type").agg(
         F.count(F.lit(1)).alias("n"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts")
     )
-    # The total is taken over the five class rows, not over the log a second time.
-    total = classes.agg(F.sum("n").alias("total")).select("total").scalar()
+    # The total is a window over the class rows, of which there are five at most.
+    total = F.sum("n").over(Window.partitionBy(F.lit(0)))
     return classes.withColumn("share", F.col("n") / total)
 
 

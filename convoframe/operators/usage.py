@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from convoframe.functions import ids, logs, text
+from convoframe.functions import ids, text
+from convoframe.operators.logs import classify_errors, clean_errors
 from convoframe.operators.retrieval import search_documents
 
 
@@ -68,7 +69,7 @@ def usage_stats(msgs: DataFrame, day: Column | None = None) -> DataFrame:
 
 def log_metrics(log: DataFrame, col: str = "raw", ts: str = "ts", every: str = "1 hour") -> DataFrame:
     """Per time window and error class, the number of rows and the median log length."""
-    classed = log.withColumn("error_type", logs.error_type(logs.clean_error(F.col(col))))
+    classed = classify_errors(clean_errors(log, col))
     return (
         classed.groupBy(F.window(ts, every).alias("_window"), "error_type")
         .agg(
