@@ -10,6 +10,9 @@ documents, so most of it is never formed, without losing a hit:
 3. candidates that could not reach the bound even with all remaining terms are dropped, the rest
    get the remaining terms by a lookup on (document, term).
 
+With few enough pairs of a question's term and a document that has it (their number is known before
+any is formed) the plain join is quicker, and is used.
+
 Contributions are rounded to millionths and summed as whole numbers, so the order of summation, and
 with it the partitioning, cannot change a score or a rank.
 """
@@ -30,6 +33,8 @@ _SCALE = 1_000_000
 # Rarest terms of a question whose best documents give the bound. More terms tighten the bound;
 # the result is the same for any number.
 _SEED_TERMS = 4
+# Up to so many (question, term, document) pairs are joined without looking for bounds.
+_DIRECT_PAIRS = 20_000_000
 # Terms fetch no candidates while their largest contributions add up to less than this share of the
 # bound. A larger share means fewer candidates to fetch, but more of them to look up.
 _SPARE = 0.4
@@ -37,11 +42,10 @@ _SPARE = 0.4
 
 @dataclass
 class SearchIndex:
-    """Written tables: ``postings (doc_id, n_tokens, term, tf)``, ``terms (term, df)`` and the
-    one-row ``corpus (n_docs, avg_tokens)``."""
+    """Written tables: ``postings (doc_id, n_tokens, term, tf)`` and the one-row
+    ``corpus (n_docs, avg_tokens)``."""
 
     postings: DataFrame
-    terms: DataFrame
     corpus: DataFrame
 
 
@@ -63,22 +67,25 @@ def index_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         occurrences.groupBy("doc_id", "n_tokens", "term").agg(F.count(F.lit(1)).alias("tf")),
         "postings",
     )
-    terms = materialise(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "terms")
     n_docs = docs.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
     corpus = materialise(
         postings.agg(n_docs.alias("n_docs"), (F.sum("tf") / n_docs).alias("avg_tokens")), "corpus"
     )
-    return SearchIndex(postings, terms, corpus)
+    return SearchIndex(postings, corpus)
 
 
 def _vocabulary(asked: DataFrame, index: SearchIndex, max_df_share: float | None) -> DataFrame:
     """``term, term_id, df, idf`` of the terms that occur in questions and in documents."""
     n_docs = index.corpus.select("n_docs").scalar()
-    terms = index.terms
-    if max_df_share is not None:
-        terms = terms.where(F.col("df") <= max_df_share * n_docs)
     used = asked.select(F.explode("_terms").alias("term")).distinct()
-    return terms.join(used, "term", "left_semi").select(
+    counted = (
+        index.postings.join(used, "term", "left_semi")
+        .groupBy("term")
+        .agg(F.count(F.lit(1)).alias("df"))
+    )
+    if max_df_share is not None:
+        counted = counted.where(F.col("df") <= max_df_share * n_docs)
+    return counted.select(
         "term",
         F.monotonically_increasing_id().alias("term_id"),
         "df",
@@ -99,8 +106,7 @@ def _looked_up(pairs: DataFrame, terms: DataFrame, weights: DataFrame) -> DataFr
         pairs.select("_q", "doc_id")
         .join(terms.select("_q", "term_id"), "_q")
         .join(weights, ["doc_id", "term_id"])
-        .groupBy("_q", "doc_id")
-        .agg(F.sum("points").alias("points"))
+        .select("_q", "doc_id", "points")
     )
 
 
@@ -121,6 +127,8 @@ def _lower_bounds(q_terms: DataFrame, weights: DataFrame, k: int) -> DataFrame:
     by_score = Window.partitionBy("_q").orderBy(F.col("points").desc())
     return (
         _looked_up(pairs, q_terms, weights)
+        .groupBy("_q", "doc_id")
+        .agg(F.sum("points").alias("points"))
         .withColumn("_rank", F.row_number().over(by_score))
         .where(F.col("_rank") <= k)
         .groupBy("_q")
@@ -149,6 +157,39 @@ def _marked_terms(q_terms: DataFrame, weights: DataFrame, k: int) -> DataFrame:
     )
 
 
+def _all_scores(q_terms: DataFrame, weights: DataFrame) -> DataFrame:
+    return (
+        q_terms.select("_q", "term_id")
+        .join(weights, "term_id")
+        .groupBy("_q", "doc_id")
+        .agg(F.sum("points").alias("points"))
+    )
+
+
+def _scores_that_matter(q_terms: DataFrame, weights: DataFrame, k: int) -> DataFrame:
+    """The scores of all documents that can be among a question's ``k`` best, and of some more."""
+    most = weights.groupBy("term_id").agg(F.max("points").alias("most"))
+    marked = materialise(_marked_terms(q_terms.join(most, "term_id"), weights, k), "bounds")
+    fetching = marked.where("_fetches")
+    rest = marked.where("not _fetches")
+    limits = marked.groupBy("_q").agg(
+        F.first("_bound").alias("_bound"),
+        F.coalesce(F.max(F.when(~F.col("_fetches"), F.col("_upto"))), F.lit(0)).alias("_spare"),
+    )
+    candidates = materialise(
+        _all_scores(fetching, weights)
+        .join(limits, "_q")
+        .where(F.col("points") + F.col("_spare") >= F.col("_bound"))
+        .select("_q", "doc_id", "points"),
+        "candidates",
+    )
+    return (
+        candidates.unionByName(_looked_up(candidates, rest, weights))
+        .groupBy("_q", "doc_id")
+        .agg(F.sum("points").alias("points"))
+    )
+
+
 def search_documents(
     queries: DataFrame,
     docs: DataFrame | SearchIndex,
@@ -182,44 +223,25 @@ def search_documents(
         ),
         "weights",
     )
-    most = weights.groupBy("term_id").agg(F.max("points").alias("most"))
     q_terms = materialise(
         asked.select("_q", F.explode("_terms").alias("term"))
         .join(vocabulary.select("term", "term_id", "df"), "term")
-        .join(most, "term_id")
-        .select("_q", "term_id", "df", "most"),
+        .select("_q", "term_id", "df"),
         "question-terms",
     )
-    marked = materialise(_marked_terms(q_terms, weights, k), "bounds")
-    fetching = marked.where("_fetches")
-    rest = marked.where("not _fetches")
-    limits = marked.groupBy("_q").agg(
-        F.first("_bound").alias("_bound"),
-        F.coalesce(F.max(F.when(~F.col("_fetches"), F.col("_upto"))), F.lit(0)).alias("_spare"),
-    )
-    candidates = materialise(
-        fetching.select("_q", "term_id")
-        .join(weights, "term_id")
-        .groupBy("_q", "doc_id")
-        .agg(F.sum("points").alias("points"))
-        .join(limits, "_q")
-        .where(F.col("points") + F.col("_spare") >= F.col("_bound"))
-        .select("_q", "doc_id", "points"),
-        "candidates",
-    )
+    n_pairs = q_terms.agg(F.sum("df")).first()[0] or 0
     scored = (
-        candidates.unionByName(_looked_up(candidates, rest, weights))
-        .groupBy("_q", "doc_id")
-        .agg(F.sum("points").alias("points"))
+        _all_scores(q_terms, weights)
+        if n_pairs <= _DIRECT_PAIRS
+        else _scores_that_matter(q_terms, weights, k)
     )
     best = Window.partitionBy("_q").orderBy(F.col("points").desc(), "doc_id")
     hits = scored.withColumn("rank", F.row_number().over(best).cast("bigint")).where(
         F.col("rank") <= k
     )
-    return (
-        keyed.join(asked.select("_key", "_q"), "_key")
-        .join(hits, "_q")
-        .select(*others, "rank", "doc_id", (F.col("points") / _SCALE).alias("score"))
+    found = asked.select("_key", "_q").join(hits, "_q")
+    return keyed.join(found, "_key").select(
+        *others, "rank", "doc_id", (F.col("points") / _SCALE).alias("score")
     )
 
 

@@ -287,6 +287,27 @@ def c5(t: Tables):
     )
 
 
+@query(
+    "c5_status_list",
+    """
+    select 'app' || cast(user_id as varchar) || '/' || cast(event_id as varchar) as name,
+      case when event_type = 'view' then 'Unknown' else upper(event_type) end as app_state
+    from events""",
+)
+def c5_list(t: Tables):
+    kind = F.col("event_type")
+    docs = t.read("events").select(
+        F.concat(
+            F.lit("app"), F.col("user_id").cast("string"), F.lit("/"), F.col("event_id").cast("string")
+        ).alias("name"),
+        F.when(
+            kind != "view",
+            F.struct(F.upper(kind).alias("state"), F.lit(None).cast("string").alias("message")),
+        ).alias("app_status"),
+    )
+    return status.status_list(docs)
+
+
 _FILL_SQL = """
     select name, owner, tier from (
       select *, row_number() over (partition by owner, tier order by name) as r,
