@@ -50,7 +50,8 @@ def prioritised_fill(
     shuffle; the first tier, which has no limit, is only counted. ``ordered`` sorts the result by
     owner, tier and lower-cased name.
     """
-    tiers = items.withColumn("tier", F.when(is_priority(F.col("name")), 0).otherwise(1))
+    tier = F.when(is_priority(F.col("name")), 0).otherwise(1)
+    tiers = items.withColumn("tier", tier.cast("bigint"))
     first = tiers.where("tier = 0")
     used = first.groupBy(by).agg(F.count(F.lit(1)).alias("_used"))
     by_name = Window.partitionBy(by).orderBy("name")

@@ -309,7 +309,7 @@ def c5_list(t: Tables):
 
 
 _FILL_SQL = """
-    select name, owner, tier from (
+    select name, owner, tier::bigint as tier from (
       select *, row_number() over (partition by owner, tier order by name) as r,
         count(*) filter (tier = 0) over (partition by owner) as used
       from (select i.*, case when starts_with(lower(i.name), 'shared') then 0 else 1 end as tier
