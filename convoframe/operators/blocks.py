@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from convoframe.functions import times
+
 BLOCK = "_block"
 ROWS_PER_BLOCK = 2_000_000
 # Bounds the table of hot keys, which is broadcast. A key beyond the 10,000 largest holds less than
@@ -26,14 +28,9 @@ _OVERSPLIT = 8
 def position(df: DataFrame, column: str) -> Column:
     """A whole number that never falls as ``column`` rises."""
     kind = dict(df.dtypes)[column]
-    ts = F.col(column)
-    if kind == "timestamp_ntz":
-        # Field by field, so that the session zone's clock changes cannot reorder rows.
-        clock = F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
-        return F.unix_date(ts.cast("date")).cast("bigint") * 86400 + clock
-    if kind == "timestamp":
-        return F.unix_seconds(ts)
-    return F.floor(ts).cast("bigint")
+    if kind.startswith("timestamp"):
+        return times.seconds(F.col(column), kind)
+    return F.floor(F.col(column)).cast("bigint")
 
 
 def hot_keys(df: DataFrame, keys: list[str], order: str, rows_per_block: int) -> DataFrame:

@@ -20,6 +20,11 @@ PAIR_PART = 100_000
 CONTEXT_PART = 1_000
 
 
+def _range(size: int):
+    """The number of the range of positions that a message is in."""
+    return F.floor(F.col("turn") / size).cast("bigint")
+
+
 def validate_messages(msgs: DataFrame) -> DataFrame:
     """Adds ``reason``, null when the message is valid."""
     return msgs.withColumn("reason", rules.message_problem(F.col("role"), F.col("content")))
@@ -46,7 +51,7 @@ def pair_turns(msgs: DataFrame, part_size: int = PAIR_PART) -> DataFrame:
     Rows are grouped by ranges of positions. A reply that opens a range is also copied to the range
     before it, where its question is.
     """
-    part = F.floor(F.col("turn") / part_size)
+    part = _range(part_size)
     opens_range = (F.col("turn") % part_size == 0) & (F.col("role") == "assistant")
     parts = F.when(opens_range, F.array(part, part - 1)).otherwise(F.array(part))
     rows = msgs.where(F.col("role").isin("user", "assistant")).select(
@@ -72,12 +77,11 @@ def _context_rows(msgs: DataFrame, max_turns: int | None, part_size: int) -> tup
     """Messages under every range of positions that needs them: their own and, with a bounded
     history, the next one if it looks back that far."""
     size = max(part_size, max_turns or 0)
-    own = F.floor(F.col("turn") / size).cast("bigint")
+    own = _range(size)
     if max_turns is None:
-        parts = F.array(own)
-    else:
-        last = F.floor((F.col("turn") + max_turns) / size).cast("bigint")
-        parts = F.when(last > own, F.array(own, last)).otherwise(F.array(own))
+        return msgs.withColumn("part", own).withColumn("_mine", F.lit(True)), size
+    last = F.floor((F.col("turn") + max_turns) / size).cast("bigint")
+    parts = F.when(last > own, F.array(own, last)).otherwise(F.array(own))
     rows = msgs.withColumn("_own", own).withColumn("part", F.explode(parts))
     return rows.withColumn("_mine", F.col("_own") == F.col("part")).drop("_own"), size
 
@@ -177,7 +181,7 @@ def build_prompts(
     # Ranges after the first are few and found from the position column alone.
     prompts = _system_prompts(talk, settings)
     later = talk.where(F.col("turn") >= size).select(
-        "chat_id", F.floor(F.col("turn") / size).cast("bigint").alias("part")
+        "chat_id", _range(size).alias("part")
     )
     placed = prompts.withColumn("part", F.lit(0).cast("bigint")).unionByName(
         later.distinct().join(prompts, "chat_id").select("chat_id", "_system", "part")

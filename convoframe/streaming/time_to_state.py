@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from convoframe.functions import times
+
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def _next_time(starts: pd.Series, times: pd.Series) -> pd.Series:
@@ -42,7 +44,9 @@ def stream_time_to_state(
     groups, and ready times, which every group needs, are kept once per instant.
     """
     seconds = f"{timeout} seconds"
-    event_time = F.col(ts).cast("timestamp")
+    kind = dict(status.dtypes)[ts]
+    # Watermarks need an instant; a time without zone counts as UTC and is turned back below.
+    event_time = F.timestamp_micros(times.micros(F.col(ts), kind))
     salt = F.when(
         start, F.array(F.pmod(F.xxhash64(tie), F.lit(salts)).cast("int"))
     ).otherwise(F.array().cast("array<int>"))
@@ -92,11 +96,10 @@ def stream_time_to_state(
             "_up", F.when(F.col("_up") <= F.col("_at") + timeout * 1_000_000, F.col("_up"))
         )
     )
-    kind = dict(status.dtypes)[ts]
     return decided.select(
         F.col("_by").alias(by),
         F.col("_tie").alias(tie),
-        F.timestamp_micros("_at").cast(kind).alias("start_ts"),
+        times.from_micros(F.col("_at"), kind).alias("start_ts"),
         F.when(F.col("_up").isNotNull(), "ready").otherwise("timeout").alias("outcome"),
-        F.timestamp_micros("_up").cast(kind).alias("ready_ts"),
+        times.from_micros(F.col("_up"), kind).alias("ready_ts"),
     )
