@@ -10,6 +10,10 @@ documents, so most of it is never formed, without losing a hit:
 3. candidates that could not reach the bound even with all remaining terms are dropped, the rest
    get the remaining terms by a lookup on (document, term).
 
+Documents with the same text are indexed and scored once, and so are questions with the same terms:
+a group of copies, however large, is one row until the end, where only its first ``k`` documents can
+be among the best.
+
 With few enough pairs of a question's term and a document that has it (their number is known before
 any is formed) the plain join is quicker, and is used.
 
@@ -42,53 +46,68 @@ _SPARE = 0.4
 
 @dataclass
 class SearchIndex:
-    """Written tables: ``postings (doc_id, n_tokens, term, tf)`` and the one-row
-    ``corpus (n_docs, avg_tokens)``."""
+    """Written tables: ``documents (doc_id, text_key)``; ``postings (doc_id, n_tokens, copies, term,
+    tf)``, where ``doc_id`` is the first document with that text and ``copies`` their number; and the
+    one-row ``corpus (n_docs, avg_tokens)``."""
 
+    documents: DataFrame
     postings: DataFrame
     corpus: DataFrame
 
 
 def index_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> SearchIndex:
-    """Tokenise every document once and write the index to the shared folder."""
-    # One shuffle, by document: the terms of a document are then counted where they are, and the
-    # written postings lie together by document, which keeps later sums per document local.
+    """Tokenise every distinct text once and write the index to the shared folder."""
+    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
+    documents = materialise(
+        named.select("doc_id", F.sha2("_text", 256).alias("text_key")), "documents"
+    )
+    firsts = (
+        documents.where("text_key is not null")
+        .groupBy("text_key")
+        .agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+        .select("doc_id", "copies")
+    )
+    # A shuffled join on purpose: it spreads the texts by document, so the terms of a document are
+    # counted where they are, and the written postings lie together by document, which keeps later
+    # sums per document local.
     tokenised = (
-        docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
-        .repartition("doc_id")
-        .select("doc_id", rules.tokens(F.col("_text")).alias("_tokens"))
-        .select("doc_id", "_tokens", F.size("_tokens").alias("n_tokens"))
+        named.join(firsts.hint("merge"), "doc_id")
+        .select("doc_id", "copies", rules.tokens(F.col("_text")).alias("_tokens"))
+        .select("doc_id", "copies", "_tokens", F.size("_tokens").alias("n_tokens"))
     )
     # The outer explode keeps Spark from testing for empty arrays, that is from tokenising twice.
     occurrences = tokenised.select(
-        "doc_id", "n_tokens", F.explode_outer("_tokens").alias("term")
+        "doc_id", "n_tokens", "copies", F.explode_outer("_tokens").alias("term")
     ).where("term is not null")
     postings = materialise(
-        occurrences.groupBy("doc_id", "n_tokens", "term").agg(F.count(F.lit(1)).alias("tf")),
+        occurrences.groupBy("doc_id", "n_tokens", "copies", "term").agg(
+            F.count(F.lit(1)).alias("tf")
+        ),
         "postings",
     )
-    n_docs = docs.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
+    n_docs = documents.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
+    tokens = F.sum(F.col("tf") * F.col("copies"))
     corpus = materialise(
-        postings.agg(n_docs.alias("n_docs"), (F.sum("tf") / n_docs).alias("avg_tokens")), "corpus"
+        postings.agg(n_docs.alias("n_docs"), (tokens / n_docs).alias("avg_tokens")), "corpus"
     )
-    return SearchIndex(postings, corpus)
+    return SearchIndex(documents, postings, corpus)
 
 
 def _vocabulary(asked: DataFrame, index: SearchIndex, max_df_share: float | None) -> DataFrame:
-    """``term, term_id, df, idf`` of the terms that occur in questions and in documents."""
+    """``term, term_id, n_texts, idf`` of the terms that occur in questions and in documents."""
     n_docs = index.corpus.select("n_docs").scalar()
     used = asked.select(F.explode("_terms").alias("term")).distinct()
     counted = (
         index.postings.join(used, "term", "left_semi")
         .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("df"))
+        .agg(F.count(F.lit(1)).alias("n_texts"), F.sum("copies").alias("df"))
     )
     if max_df_share is not None:
         counted = counted.where(F.col("df") <= max_df_share * n_docs)
     return counted.select(
         "term",
         F.monotonically_increasing_id().alias("term_id"),
-        "df",
+        "n_texts",
         F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"),
     )
 
@@ -112,7 +131,7 @@ def _looked_up(pairs: DataFrame, terms: DataFrame, weights: DataFrame) -> DataFr
 
 def _lower_bounds(q_terms: DataFrame, weights: DataFrame, k: int) -> DataFrame:
     """``_q, _bound``: a score that at least ``k`` documents reach."""
-    rarest = Window.partitionBy("_q").orderBy("df", "term_id")
+    rarest = Window.partitionBy("_q").orderBy("n_texts", "term_id")
     seeds = q_terms.withColumn("_rank", F.row_number().over(rarest)).where(
         F.col("_rank") <= _SEED_TERMS
     )
@@ -190,6 +209,28 @@ def _scores_that_matter(q_terms: DataFrame, weights: DataFrame, k: int) -> DataF
     )
 
 
+def _best(scored: DataFrame, k: int) -> DataFrame:
+    best = Window.partitionBy("_q").orderBy(F.col("points").desc(), "doc_id")
+    ranked = scored.withColumn("rank", F.row_number().over(best).cast("bigint"))
+    return ranked.where(F.col("rank") <= k)
+
+
+def _with_copies(hits: DataFrame, index: SearchIndex, k: int) -> DataFrame:
+    """Each text's hit for its first ``k`` documents; the others rank behind these."""
+    documents = index.documents.where("text_key is not null")
+    hit = documents.join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
+    alike = Window.partitionBy("text_key").orderBy("doc_id")
+    first = (
+        documents.join(hit.select("text_key"), "text_key", "left_semi")
+        .withColumn("_rank", F.row_number().over(alike))
+        .where(F.col("_rank") <= k)
+    )
+    groups = first.groupBy("text_key").agg(F.array_sort(F.collect_list("doc_id")).alias("_ids"))
+    several = groups.where(F.size("_ids") > 1).select(F.col("_ids")[0].alias("doc_id"), "_ids")
+    ids = F.explode(F.coalesce("_ids", F.array("doc_id"))).alias("doc_id")
+    return hits.join(several, "doc_id", "left").select("_q", "points", ids)
+
+
 def search_documents(
     queries: DataFrame,
     docs: DataFrame | SearchIndex,
@@ -199,8 +240,8 @@ def search_documents(
 ) -> DataFrame:
     """The ``k`` best documents per query row: its columns but the text, ``rank, doc_id, score``.
 
-    Equal scores rank by ``doc_id``. Queries with the same set of terms are searched once.
-    ``max_df_share`` leaves out terms that more than this share of the documents have.
+    Equal scores rank by ``doc_id``. ``max_df_share`` leaves out terms that more than this share of
+    the documents have.
     """
     index = docs if isinstance(docs, SearchIndex) else index_documents(docs)
     others = [c for c in queries.columns if c != text_col]
@@ -225,20 +266,18 @@ def search_documents(
     )
     q_terms = materialise(
         asked.select("_q", F.explode("_terms").alias("term"))
-        .join(vocabulary.select("term", "term_id", "df"), "term")
-        .select("_q", "term_id", "df"),
+        .join(vocabulary.select("term", "term_id", "n_texts"), "term")
+        .select("_q", "term_id", "n_texts"),
         "question-terms",
     )
-    n_pairs = q_terms.agg(F.sum("df")).first()[0] or 0
+    n_pairs = q_terms.agg(F.sum("n_texts")).first()[0] or 0
     scored = (
         _all_scores(q_terms, weights)
         if n_pairs <= _DIRECT_PAIRS
         else _scores_that_matter(q_terms, weights, k)
     )
-    best = Window.partitionBy("_q").orderBy(F.col("points").desc(), "doc_id")
-    hits = scored.withColumn("rank", F.row_number().over(best).cast("bigint")).where(
-        F.col("rank") <= k
-    )
+    texts = materialise(_best(scored, k).select("_q", "doc_id", "points"), "hits")
+    hits = _best(_with_copies(texts, index, k), k)
     found = asked.select("_key", "_q").join(hits, "_q")
     return keyed.join(found, "_key").select(
         *others, "rank", "doc_id", (F.col("points") / _SCALE).alias("score")

@@ -12,14 +12,14 @@ from convoframe.functions import times
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
-def _next_time(starts: pd.Series, times: pd.Series) -> pd.Series:
+def _next_time(starts: pd.Series, ups: pd.Series) -> pd.Series:
     """For each start the first of the sorted times after it, else null (all in microseconds)."""
 
     def look_up(at, sorted_times):
         place = np.searchsorted(sorted_times, at, side="right")
         return [int(sorted_times[i]) if i < len(sorted_times) else None for i in place]
 
-    return pd.Series([look_up(s, t) for s, t in zip(starts, times)], dtype=object)
+    return pd.Series([look_up(s, t) for s, t in zip(starts, ups)], dtype=object)
 
 
 def stream_time_to_state(
@@ -28,7 +28,7 @@ def stream_time_to_state(
     ready: Column,
     timeout: int = 300,
     delay: str = "1 minute",
-    salts: int = 8,
+    salts: int = 4,
     by: str = "app_id",
     ts: str = "ts",
     tie: str = "event_id",
