@@ -168,8 +168,10 @@ def _marked_terms(q_terms: DataFrame, weights: DataFrame, k: int) -> DataFrame:
         .orderBy("most", "term_id")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    most = weights.groupBy("term_id").agg(F.max("points").alias("most"))
     return (
-        q_terms.join(_lower_bounds(q_terms, weights, k), "_q", "left")
+        q_terms.join(most, "term_id")
+        .join(_lower_bounds(q_terms, weights, k), "_q", "left")
         .withColumn("_bound", F.coalesce("_bound", F.lit(0)))
         .withColumn("_upto", F.sum("most").over(growing))
         .withColumn("_fetches", F.col("_upto") >= F.col("_bound") * _SPARE)
@@ -187,8 +189,7 @@ def _all_scores(q_terms: DataFrame, weights: DataFrame) -> DataFrame:
 
 def _scores_that_matter(q_terms: DataFrame, weights: DataFrame, k: int) -> DataFrame:
     """The scores of all documents that can be among a question's ``k`` best, and of some more."""
-    most = weights.groupBy("term_id").agg(F.max("points").alias("most"))
-    marked = materialise(_marked_terms(q_terms.join(most, "term_id"), weights, k), "bounds")
+    marked = materialise(_marked_terms(q_terms, weights, k), "bounds")
     fetching = marked.where("_fetches")
     rest = marked.where("not _fetches")
     limits = marked.groupBy("_q").agg(
