@@ -18,10 +18,13 @@ def known_model(model: Column) -> Column:
     )
 
 
-def temperature_problem(temperature: Column) -> Column:
-    """Null when valid. NaN counts as above 1, as Spark orders it."""
+def temperature_problem(temperature: Column, kind: str = "double") -> Column:
+    """Null when valid. A text is no temperature, whatever it says. NaN counts as above 1, as Spark
+    orders it."""
+    if kind == "string":
+        return F.when(temperature.isNull(), "missing").otherwise("not_a_number")
     return F.when(temperature.isNull(), "missing").when(
-        ~temperature.between(0, 1), "out_of_range"
+        ~temperature.cast("double").between(0, 1), "out_of_range"
     )
 
 

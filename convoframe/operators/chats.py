@@ -152,6 +152,33 @@ def title_chats(msgs: DataFrame, names: DataFrame | None = None) -> DataFrame:
     )
 
 
+# What a model is told when it is to name a chat (see ``title_prompts``).
+TITLE_INSTRUCTION = (
+    "You name chats. From the first message of a chat, give a title of 2 to 5 words for its main "
+    "subject, properly capitalized, without special characters or dates."
+)
+
+
+def title_prompts(
+    msgs: DataFrame, names: DataFrame | None = None, instruction: str = TITLE_INSTRUCTION
+) -> DataFrame:
+    """C11 with a model: ``chat_id, turn, prompt`` for each chat without a name, for
+    ``batch_generate(..., strip=True)``."""
+    first = first_messages(msgs)
+    if names is not None:
+        named = names.where("chat_name <> ''").select("chat_id")
+        first = first.join(named, "chat_id", "left_anti")
+    request = F.concat(F.lit("Give a title for the chat that starts with this message: "), "content")
+    return first.select(
+        "chat_id",
+        "turn",
+        F.array(
+            F.struct(F.lit("system").alias("role"), F.lit(instruction).alias("content")),
+            F.struct(F.lit("human").alias("role"), request.alias("content")),
+        ).alias("prompt"),
+    )
+
+
 def check_titles(chats: DataFrame) -> DataFrame:
     """Adds ``reasons``, the parts of the title rule that the name breaks (empty: none)."""
     return chats.withColumn("reasons", text.title_problems(F.col("chat_name")))

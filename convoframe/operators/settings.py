@@ -33,14 +33,17 @@ def normalise_settings(df: DataFrame) -> DataFrame:
 
 def validate_settings(df: DataFrame) -> DataFrame:
     """Adds ``reason``, null when the temperature is valid."""
-    return df.withColumn("reason", rules.temperature_problem(F.col("temperature")))
+    return df.withColumn("reason", _problem(df))
+
+
+def _problem(df: DataFrame):
+    return rules.temperature_problem(F.col("temperature"), dict(df.dtypes)["temperature"])
 
 
 def accepted_changes(events: DataFrame) -> DataFrame:
-    """Changes that take effect: a temperature out of range refuses the whole event, and an absent
-    one means "not changed"."""
-    problem = rules.temperature_problem(F.col("temperature"))
-    return events.where(F.coalesce(problem, F.lit("")) != "out_of_range")
+    """Changes that take effect: an invalid temperature refuses the whole event, and an absent one
+    means "not changed"."""
+    return events.where(F.coalesce(_problem(events), F.lit("missing")) == "missing")
 
 
 def _with_theme(events: DataFrame) -> DataFrame:

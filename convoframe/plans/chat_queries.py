@@ -295,6 +295,22 @@ def c11(t: Tables):
     return chats.title_chats(t.msgs)
 
 
+@query(
+    "c11_title_prompts",
+    f"""
+    select conv_id as chat_id, min(turn) as turn, '{chats.TITLE_INSTRUCTION}' as instruction,
+      'Give a title for the chat that starts with this message: ' || min_by(text, turn) as request
+    from conversations
+    where role = 'user' and conv_id not in (select conv_id from conversations where role = 'system')
+    group by conv_id""",
+)
+def c11_prompts(t: Tables):
+    """Chats that open with a system row have a name already."""
+    prompts = chats.title_prompts(t.msgs, _documents(t).withColumn("chat_id", F.col("chat_id").cast("bigint")))
+    parts = [F.col("prompt")[i]["content"] for i in (0, 1)]
+    return prompts.select("chat_id", "turn", parts[0].alias("instruction"), parts[1].alias("request"))
+
+
 @query(
     "c12_check_titles",
     """

@@ -35,7 +35,7 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only a local master may go without that setting: driver and executors are then one process.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):

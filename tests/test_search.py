@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 
 from convoframe.operators import generate, retrieval, usage
+from convoframe.operators.chats import title_prompts
 from convoframe.operators.messages import build_prompts
 from convoframe.streaming import autosave
 
@@ -123,6 +124,15 @@ def test_generate(talk):
         generate.batch_generate(prompts, model_factory(), on_error="ignore")
 
 
+def test_titles_from_a_model(spark, talk):
+    """Two prompt messages; the reply is stripped; chats with a name are not asked for."""
+    names = spark.createDataFrame([("a", ""), ("b", "Kept")], "chat_id string, chat_name string")
+    prompts = title_prompts(talk, names)
+    (found,) = generate.batch_generate(prompts, model_factory(), strip=True).collect()
+    assert (found.chat_id, found.response) == ("a", "system 2")
+    assert prompts.first().prompt[1].content.endswith("one fox")
+
+
 def test_search_messages(talk, rows):
     def found(q, mode):
         return [(r[0], r[1]) for r in rows(usage.search_messages(talk, q, mode))]

@@ -36,6 +36,11 @@ def test_temperature(spark):
         None, None, "out_of_range", "out_of_range", "out_of_range", "missing", None, None]
 
 
+def test_a_text_is_no_temperature(spark):
+    df = spark.createDataFrame([("0.5",), (None,)], "temperature string")
+    assert [r.reason for r in settings.validate_settings(df).collect()] == ["not_a_number", "missing"]
+
+
 def test_partial_updates(spark, at):
     events = spark.createDataFrame(
         [
