@@ -10,20 +10,13 @@ from pyspark.sql import functions as F
 NO_ZONE = "timestamp_ntz"
 
 
-def _start_of_minute(ts: Column) -> Column:
-    day = F.unix_date(ts.cast("date")).cast("bigint")
-    return day * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60
-
-
-def seconds(ts: Column, kind: str) -> Column:
-    return _start_of_minute(ts) + F.second(ts) if kind == NO_ZONE else F.unix_seconds(ts)
-
-
 def micros(ts: Column, kind: str) -> Column:
     if kind != NO_ZONE:
         return F.unix_micros(ts)
+    day = F.unix_date(ts.cast("date")).cast("bigint")
+    minute = day * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60
     within = (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("bigint")
-    return _start_of_minute(ts) * 1_000_000 + within
+    return minute * 1_000_000 + within
 
 
 def from_micros(at: Column, kind: str) -> Column:
