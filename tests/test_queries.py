@@ -21,13 +21,13 @@ def oracle():
 
 
 def test_every_query_has_sql():
-    assert set(driver.queries()) == set(driver.oracle_sql())
+    assert set(driver.QUERIES) == set(driver.SQL)
 
 
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted(driver.QUERIES))
 def test_query_equals_sql(spark, oracle, name):
-    ours = driver.queries()[name](spark, FOLDER)
-    theirs = oracle.execute(driver.oracle_sql()[name])
+    ours = driver.QUERIES[name](spark, FOLDER)
+    theirs = oracle.execute(driver.SQL[name])
     kinds = {column[0]: TYPES[str(column[1])] for column in theirs.description}
     assert dict(ours.dtypes) == kinds
     order = [list(kinds).index(column) for column in sorted(kinds)]
@@ -50,6 +50,6 @@ LAZY = sorted(
 
 @pytest.mark.parametrize("name", LAZY)
 def test_plan_has_no_pairing_join(spark, name):
-    plan = driver.queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    plan = driver.QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan
     assert "BroadcastNestedLoopJoin" not in plan
