@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from convoframe.llm.common import table
 from convoframe.llm.cuckoo import exact_duplicates
+from convoframe.llm.decontaminate import contaminated
 from convoframe.llm.near_dup import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +78,43 @@ select doc_id, n_shingles, component_id, doc_id = component_id as kept from n jo
 @query(NEAR_DUP_SQL)
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85, rows=8)
+
+
+@query(
+    r"""
+with d as (
+  select doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as words
+  from documents
+), b as (
+  select item_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as words
+  from benchmark
+), windows as (
+  select distinct item_id, len(ws) as k, array_to_string(ws, ' ') as ws from (
+    select item_id, unnest(case when len(words) = 0 then [] when len(words) < 10 then [words]
+      else list_transform(range(1, len(words) - 8), lambda i: words[i:i + 9]) end) as ws
+    from b)
+), sizes as (
+  select distinct k from windows
+), found as (
+  select doc_id, i, k, item_id from (
+    select doc_id, k, i, array_to_string(words[i:i + k - 1], ' ') as ws from (
+      select doc_id, words, k, unnest(range(1, len(words) - k + 2)) as i from d, sizes)) x
+  join windows using (k, ws)
+), hits as (
+  select doc_id, count(distinct p) as n_hit from (
+    select doc_id, unnest(range(i, i + k)) as p from found) group by 1
+), items as (
+  select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as ids from (
+    select distinct doc_id, cast(item_id as varchar) as item from found) group by 1
+)
+select d.doc_id, cast(len(words) as bigint) as n_words, coalesce(n_hit, 0) as n_hit,
+  coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join hits using (doc_id) left join items using (doc_id)
+"""
+)
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
