@@ -14,6 +14,11 @@ from convoframe.llm.common import U64, held_out, mix, small_batches, split_words
 
 BITS = 20
 
+# Inner runs of letters, looked for in the first letters of a word (junk has words of any length).
+INNER = 5
+LONGEST = 60
+
+_WORD = re.compile(r"[^\W\d_]+")
 _PARTS = re.compile(r"[^\W_]+|[\W_]+")
 _SHAPES = [(re.compile(r"[^\W\d_]"), "x"), (re.compile(r"\d"), "9")]
 
@@ -63,14 +68,29 @@ def word_parts(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.array(starts), np.array(low, dtype=np.uint64), np.array(shape, dtype=np.uint64)
 
 
+def word_grams(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Words of each distinct chunk with their beginnings and inner runs of letters: (ranges, hashes)."""
+    starts, found = [0], []
+    for chunk in words.to_pylist():
+        for word in _WORD.findall(chunk.lower()):
+            grams = {word, *("^" + word[:n] for n in range(3, min(len(word), 6) + 1))}
+            grams.update(word[i : i + INNER] for i in range(min(len(word), LONGEST) - INNER + 1))
+            found.extend(map(_hash, sorted(grams)))
+        starts.append(len(found))
+    return np.array(starts), np.array(found, dtype=np.uint64)
+
+
 def text_features(texts: pa.Array, bits: int = BITS, pairs: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Distinct features of each text, as (row of each feature, feature id).
 
-    Features are words and signs; with ``pairs`` also neighbouring pairs of them, shapes, and pairs of
-    shapes.
+    With ``pairs`` these are words and signs, their shapes, and neighbouring pairs of both; else words
+    with their beginnings and inner runs.
     """
     offsets, codes, words = split_words(texts, lower=False)
-    starts, low, shape = word_parts(words)
+    if pairs:
+        starts, low, shape = word_parts(words)
+    else:
+        starts, low = word_grams(words)
     owner, at = spread(codes, starts)
     rows = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[owner]
     h = [low[at]]

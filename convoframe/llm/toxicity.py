@@ -3,7 +3,8 @@
 Confirmed toxic texts and texts without labels are what the model sees. With the class prior p, the
 loss of an unlabelled text taken for clean is an average over p toxic and 1 - p clean texts; taking the
 toxic share away leaves the risk on clean texts, which may not fall below zero. When it does, a step goes the
-other way, so that the model does not fit the sample's toxic texts as clean ones.
+other way, so that the model does not fit the sample's toxic texts as clean ones. A text's features are
+indicators of its words, their beginnings and inner runs of letters.
 """
 
 from __future__ import annotations
@@ -16,9 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convoframe.llm.common import held_out, small_batches, split_words
-from convoframe.llm.features import BITS, Rows, distinct_per_row, mix, sampled_features, spread, training_labels, word_parts
-from convoframe.llm.common import U64
+from convoframe.llm.common import U64, held_out, mix, small_batches, split_words
+from convoframe.llm.features import (
+    BITS,
+    Rows,
+    distinct_per_row,
+    sampled_features,
+    spread,
+    training_labels,
+    word_grams,
+)
 
 # Most rows that a fit takes: confirmed toxic texts, and texts without labels.
 POSITIVES = 3_000
@@ -55,7 +63,10 @@ def nn_pu(
     beta: float = 0.0,
     gamma: float = 1.0,
 ) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise the non-negative risk with the logistic loss, by Adam."""
+    """Weights and bias that minimise the non-negative risk with the sigmoid loss, by Adam.
+
+    The loss is bounded: an unbounded one would let far-off toxic texts outweigh the clean ones.
+    """
     w = np.zeros(size + 1)
     first, second = np.zeros_like(w), np.zeros_like(w)
     n_p, n_u = max(len(positive), 1), max(len(unlabelled), 1)
@@ -69,10 +80,12 @@ def nn_pu(
     for step in range(1, steps + 1):
         zp = positive.dot(w[:size]) + w[size]
         zu = unlabelled.dot(w[:size]) + w[size]
-        clean_risk = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        clean_grad = grad(unlabelled, _sigmoid(zu), n_u) - prior * grad(positive, _sigmoid(zp), n_p)
+        sp, su = _sigmoid(zp), _sigmoid(zu)
+        clean_risk = su.mean() - prior * sp.mean()
+        toxic_grad = prior * grad(positive, sp * (1 - sp), n_p)
+        clean_grad = grad(unlabelled, su * (1 - su), n_u) - toxic_grad
         if clean_risk >= -beta:
-            g = prior * grad(positive, -_sigmoid(-zp), n_p) + clean_grad
+            g = clean_grad - toxic_grad
         else:
             g = -gamma * clean_grad
         g[:size] += decay * w[:size]
@@ -128,7 +141,7 @@ def _scorer(model: LinearModel):
         for whole in batches:
             for batch in small_batches([whole], "text"):
                 offsets, codes, words = split_words(batch.column(1), lower=False)
-                starts, low, _ = word_parts(words)
+                starts, low = word_grams(words)
                 ids = (mix(low) >> U64(64 - model.bits)).astype(np.int64)
                 # Only chunks with a feature that counts are looked up in the texts.
                 counts = np.concatenate([[0], np.cumsum(known[ids])])
