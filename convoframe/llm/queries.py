@@ -12,12 +12,22 @@ from convoframe.llm.cuckoo import exact_duplicates
 from convoframe.llm.decontaminate import contaminated
 from convoframe.llm.near_dup import near_duplicates
 from convoframe.llm.quality import score_quality
+from convoframe.llm.records import read_records, write_records
 from convoframe.llm.toxicity import score_toxicity
 
+WORD_BPE = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def query(sql: str | None = None):
     """Registers a function under its name, with its SQL."""
 
@@ -130,3 +140,9 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
+
+
+@query()
+def op2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, manifest = write_records(table(spark, sf_dir, "documents"), vocabulary(WORD_BPE))
+    return read_records(manifest, folder)
