@@ -11,6 +11,7 @@ from convoframe.llm.common import table
 from convoframe.llm.cuckoo import exact_duplicates
 from convoframe.llm.decontaminate import contaminated
 from convoframe.llm.near_dup import near_duplicates
+from convoframe.llm.pieces import decode, encode
 from convoframe.llm.quality import score_quality
 from convoframe.llm.records import read_records, write_records
 from convoframe.llm.toxicity import score_toxicity
@@ -146,3 +147,21 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, manifest = write_records(table(spark, sf_dir, "documents"), vocabulary(WORD_BPE))
     return read_records(manifest, folder)
+
+
+@query()
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text and the text that they decode to, as digests."""
+    docs = table(spark, sf_dir, "documents")
+    file = vocabulary(PIECES)
+    row = F.struct(F.col("doc_id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
+    encoded = encode(docs.select(row.alias("row"), "text"), file, key="row")
+    counted = encoded.select(F.struct("row", F.size("ids").alias("n"), F.xxhash64("ids").alias("h")).alias("row"), "ids")
+    decoded = decode(counted, file, key="row")
+    return decoded.select(
+        F.col("row.row.doc_id").alias("doc_id"),
+        F.col("row.n").cast("long").alias("n_pieces"),
+        F.col("row.h").alias("ids_hash"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+        (F.sha2("text", 256) == F.col("row.row.sha")).alias("round_trip"),
+    )
