@@ -12,6 +12,7 @@ from convoframe.llm.cuckoo import exact_duplicates
 from convoframe.llm.decontaminate import contaminated
 from convoframe.llm.near_dup import near_duplicates
 from convoframe.llm.pieces import decode, encode
+from convoframe.llm.pii import find_pii
 from convoframe.llm.quality import score_quality
 from convoframe.llm.records import read_records, write_records
 from convoframe.llm.toxicity import score_toxicity
@@ -165,3 +166,10 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("text", 256).alias("decoded_sha256"),
         (F.sha2("text", 256) == F.col("row.row.sha")).alias("round_trip"),
     )
+
+
+@query()
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(table(spark, sf_dir, "documents"))
+    kinds = [f"n_{kind}" for kind in ("email", "ip", "card", "phone")]
+    return found.select("doc_id", *kinds, F.sha2("base", 256).alias("base_sha256"), "spans", "n_added")
