@@ -215,18 +215,19 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
-def exact_duplicates(docs: DataFrame, keys_per_shard: int = KEYS_PER_SHARD) -> DataFrame:
+def exact_duplicates(docs: DataFrame, keys_per_shard: int = KEYS_PER_SHARD, row: str | None = None) -> DataFrame:
     """Groups of equal normalised texts over (doc_id, text); one row per input row.
 
     Columns: doc_id, keep_id, group_size, kept, text_sha256. Null texts count as empty. Of a group the
     smallest doc_id stays, null ids last. Repeated rows of one id are rows of their own: of rows
-    that tie for staying, one stays. An empty table gives an empty table.
+    that tie for staying, one stays. An empty table gives an empty table. ``row`` names a unique number of
+    each row, which is then a column of the result too.
     """
     spark = docs.sparkSession
     digest = F.sha2(normalised(F.col("text")).cast("binary"), 256)
     rows = docs.select(
         F.col("doc_id").cast("long").alias("id"),
-        F.monotonically_increasing_id().alias("row"),
+        (F.col(row) if row else F.monotonically_increasing_id()).alias("row"),
         digest.alias("digest"),
     )
     rows = materialise(rows, "digests")
@@ -234,6 +235,7 @@ def exact_duplicates(docs: DataFrame, keys_per_shard: int = KEYS_PER_SHARD) -> D
     index = CuckooIndex(spark, shards).insert(rows)
     found = rows.join(index.keys(), "digest")
     return found.select(
+        *([F.col("row").alias(row)] if row else []),
         F.col("id").alias("doc_id"),
         "keep_id",
         F.col("copies").alias("group_size"),

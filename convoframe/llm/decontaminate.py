@@ -65,13 +65,15 @@ def contaminated(
     width: int = 10,
     shingle: int = 3,
     broadcast_prefixes: int = BROADCAST_PREFIXES,
+    row: str | None = None,
 ) -> DataFrame:
     """Words of each text that lie in an occurrence of an item's window.
 
     Input (doc_id, text) and (item_id, text); one row for each document row: doc_id, n_words, n_hit,
     n_items, items_sha256 (of the sorted item ids, joined by commas), contaminated. Null and empty texts
     have no words and no hit. Items with a null id count under the empty id. Repeated document rows are
-    rows of their own. Without items nothing is hit.
+    rows of their own. Without items nothing is hit. ``row`` names a unique number of each row, which is
+    then a column of the result too.
     """
     owned = materialise(windows(items.withColumn("item_id", F.coalesce(F.col("item_id").cast("string"), F.lit(""))), width), "windows")
     distinct = owned.groupBy("window").agg(F.first("words").alias("words"))
@@ -79,7 +81,7 @@ def contaminated(
 
     source = _trimmed(
         docs.select(
-            F.monotonically_increasing_id().alias("row"),
+            (F.col(row) if row else F.monotonically_increasing_id()).alias("row"),
             F.col("doc_id").cast("long").alias("doc_id"),
             words(F.col("text")).alias("w"),
         ),
@@ -108,6 +110,7 @@ def contaminated(
     ids = F.coalesce("ids", F.array().cast("array<string>"))
     covered = F.coalesce(_covered(F.col("spans")), F.lit(0)).cast("long")
     return per_row.select(
+        *([F.col("row").alias(row)] if row else []),
         "doc_id",
         "n_words",
         covered.alias("n_hit"),

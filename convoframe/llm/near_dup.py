@@ -230,6 +230,7 @@ def near_duplicates(
     rows: int = 7,
     broadcast_nodes: int = BROADCAST_NODES,
     block: int = BLOCK,
+    row: str | None = None,
 ) -> DataFrame:
     """Components of texts whose shingle sets have 100 * intersection >= ``percent`` * union.
 
@@ -237,12 +238,14 @@ def near_duplicates(
     reachable, null ids last), kept. A-Z are read as a-z and words are what ASCII white space
     separates. Null, empty and blank texts have no shingles and link with nothing. Repeated rows of one
     id are rows of their own; of rows that tie for staying, one stays. An empty table gives an
-    empty table.
+    empty table. ``row`` names a unique number of each row of a written table; it is then a column of the
+    result too. Without it rows are numbered and written first, as they are read more than once.
     """
     bands = bands_for(percent / 100, rows)
-    source = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col("text"), F.col("doc_id").cast("long").alias("id")
-    )
+    number = F.col(row) if row else F.monotonically_increasing_id()
+    source = docs.select(number.alias("row"), F.col("text"), F.col("doc_id").cast("long").alias("id"))
+    if row is None:
+        source = materialise(source, "numbered")
     ids = source.select("row", "id")
     signed = source.select("row", "text").mapInArrow(
         _sign(shingle, bands, rows), "row long, n long, s1 long, s2 long, keys array<long>"
@@ -305,6 +308,7 @@ def near_duplicates(
     placed = materialise(placed, "groups")
     least = placed.groupBy("group").agg(F.min(F.struct(F.isnull("id").alias("x"), "id", "row")).alias("k"))
     return placed.join(least, "group").select(
+        *([F.col("row").alias(row)] if row else []),
         F.col("id").alias("doc_id"),
         F.col("n").alias("n_shingles"),
         F.col("k.id").alias("component_id"),

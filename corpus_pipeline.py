@@ -2,41 +2,93 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from convoframe.llm.common import table
 from convoframe.llm.cuckoo import exact_duplicates
+from convoframe.llm.decontaminate import contaminated
 from convoframe.llm.near_dup import near_duplicates
+from convoframe.llm.pieces import decode, encode
+from convoframe.llm.queries import PIECES, vocabulary
+from convoframe.llm.toxicity import fit_toxicity, toxicity_scores
 from convoframe.session import materialise
 
+# Dropped rows whose numbers may be broadcast (8 bytes each); more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+TOXIC = 0.3
+
+
+def _without(docs: DataFrame, dropped: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """``docs`` without the rows that ``dropped`` gives, by a number of its own for each row.
+
+    The numbers are written with the rows, so that null and repeated ids do no harm.
+    """
+    row = "row"
+    while row in docs.columns:
+        row = f"_{row}"
+    numbered = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    out = materialise(dropped(numbered, row).select(row), "dropped")
+    if out.count() <= BROADCAST_ROWS:
+        out = F.broadcast(out)
+    return numbered.join(out, row, "left_anti").select(docs.columns)
+
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id is among ``ids``."""
-    return docs.join(ids.select(F.col("doc_id")).distinct(), "doc_id", "left_semi").select(docs.columns)
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score reaches 0.3 go."""
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    return _without(docs, lambda rows, row: toxicity_scores(rows, model, row).where(F.col("score") >= TOXIC))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the smallest doc_id stays."""
-    return _keep(docs, exact_duplicates(docs).where("kept"))
+    """Of texts equal but for their white space, the row with the smallest doc_id stays."""
+    return _without(docs, lambda rows, row: exact_duplicates(rows, row=row).where("not kept"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts alike in 0.8 of their five-word shingles, one document stays."""
-    return _keep(docs, near_duplicates(docs, shingle=5, percent=80, rows=7).where("kept"))
+    """Of each group of texts linked by 0.8 or more of their five-word shingles, one document stays."""
+    return _without(
+        docs, lambda rows, row: near_duplicates(rows, shingle=5, percent=80, rows=7, row=row).where("not kept")
+    )
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold ten words of a benchmark item in a row (or all of a shorter one) go."""
+    items = table(spark, sf_dir, "benchmark")
+    return _without(docs, lambda rows, row: contaminated(rows, items, row=row).where("contaminated"))
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, ids of the whole text, the text they decode to, and whether it is the text encoded."""
+    file = vocabulary(PIECES)
+    same = F.struct("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
+    encoded = encode(docs.select(same.alias("row"), "text"), file, key="row")
+    decoded = decode(encoded.select(F.struct("row", "ids").alias("row"), "ids"), file, key="row")
+    return decoded.select(
+        F.col("row.row.doc_id").alias("doc_id"),
+        F.col("row.ids").alias("ids"),
+        "text",
+        (F.sha2("text", 256) == F.col("row.row.sha")).alias("round_trip"),
+    )
 
 
 STAGES = [
+    ("toxicity", toxicity),
     ("exact_dedup", exact_dedup),
     ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("sentencepiece", sentencepiece),
 ]
 
-# The classifier and the model-driven encoding have no SQL; tests compare run() with brute force.
+# A fitted classifier and a model's best paths have no SQL; a test compares run() with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to ``documents``, each written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Applies the stages to ``documents``, each written as Parquet and read again."""
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs
