@@ -7,15 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convoframe.llm.common import table
+from convoframe.llm.common import held_out, table
 from convoframe.llm.cuckoo import exact_duplicates
 from convoframe.llm.decontaminate import contaminated
+from convoframe.llm.licenses import scan_licenses
 from convoframe.llm.near_dup import near_duplicates
 from convoframe.llm.pieces import decode, encode
 from convoframe.llm.pii import find_pii
 from convoframe.llm.quality import score_quality
 from convoframe.llm.records import read_records, write_records
 from convoframe.llm.toxicity import score_toxicity
+from convoframe.llm.transcripts import Model, fit, parse_transcripts, role_state
 
 WORD_BPE = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
@@ -173,3 +175,88 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(table(spark, sf_dir, "documents"))
     kinds = [f"n_{kind}" for kind in ("email", "ip", "card", "phone")]
     return found.select("doc_id", *kinds, F.sha2("base", 256).alias("base_sha256"), "spans", "n_added")
+
+
+@query()
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(table(spark, sf_dir, "documents"))
+    names = F.transform("matches", lambda m: m["license"])
+    return found.select(
+        "doc_id",
+        F.size("matches").cast("long").alias("n_licenses"),
+        F.array_join(names, ",").alias("licenses"),
+        F.array_join(
+            F.transform("matches", lambda m: F.concat_ws(":", m["license"], m["first"], m["after"])), ","
+        ).alias("places"),
+    )
+
+
+# Line numbers of a turn lie within one span of this many.
+LINES_PER_TURN = 1 << 20
+
+
+def raw_lines(conversations: DataFrame) -> DataFrame:
+    """Lines of unlabelled transcripts as they are pasted: speakers named in one of four styles, one turn in
+    eight unnamed after a blank line.
+
+    Columns: transcript, line, text, blank, and what is to be recovered: role, turn, first.
+    """
+    styles = {
+        "user": ("User: ", "Human: ", "[user] ", "Q: "),
+        "assistant": ("Assistant: ", "AI: ", "[assistant] ", "A: "),
+        "system": ("System: ", "SYS: ", "[system] ", "Note: "),
+    }
+    style = F.pmod(F.xxhash64("conv_id"), F.lit(4)).cast("int")
+    name = F.lit("")
+    for role, marks in styles.items():
+        name = F.when(F.col("role") == role, F.get(F.array(*[F.lit(m) for m in marks]), style)).otherwise(name)
+    unnamed = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(8)) == 0
+    lines = conversations.select(
+        "conv_id",
+        "turn",
+        "role",
+        name.alias("name"),
+        unnamed.alias("unnamed"),
+        (style % 2 == 1).alias("spaced"),
+        F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("i", "part"),
+    )
+    first = F.col("i") == 0
+    return lines.select(
+        F.col("conv_id").alias("transcript"),
+        (F.col("turn") * LINES_PER_TURN + F.col("i")).alias("line"),
+        F.when(first & ~F.col("unnamed"), F.concat("name", "part")).otherwise(F.col("part")).alias("text"),
+        (first & (F.col("spaced") | F.col("unnamed"))).alias("blank"),
+        "role",
+        "turn",
+        first.alias("first"),
+    )
+
+
+def labelled_lines(raw: DataFrame) -> DataFrame:
+    """Lines with their state and the state before, from neighbouring turns joined by number."""
+    state = role_state(F.col("role"), F.col("first"))
+    lines = raw.select("transcript", "line", "text", "blank", "turn", "first", state.alias("state"))
+    last = lines.groupBy("transcript", F.col("turn") + 1).agg(F.max_by("state", "line").alias("before_turn"))
+    last = last.toDF("t", "u", "before_turn")
+    opening = lines.where("first").join(last, (F.col("transcript") == F.col("t")) & (F.col("turn") == F.col("u")), "left")
+    opening = opening.select("text", "blank", "state", F.coalesce("before_turn", F.lit(-1)).alias("before"))
+    second = (F.col("line") % LINES_PER_TURN) == 1
+    further = lines.where("not first").select(
+        "text", "blank", "state", F.when(second, F.col("state") - 1).otherwise(F.col("state")).alias("before")
+    )
+    return opening.unionByName(further).where("state is not null")
+
+
+@query()
+def op3_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns recovered from the transcripts of all conversations, by a model of those not held out."""
+    raw = raw_lines(table(spark, sf_dir, "conversations"))
+    model = Model(*fit(labelled_lines(raw.where(~held_out("transcript")))))
+    turns = parse_transcripts(raw.select("transcript", "line", "text", "blank"), model, span=64 * LINES_PER_TURN)
+    return turns.select(
+        F.col("transcript").alias("conv_id"),
+        "turn",
+        "role",
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"),
+        held_out("transcript").alias("held_out"),
+    )
