@@ -83,12 +83,17 @@ class CuckooFilter:
 
     @classmethod
     def of(cls, digests, buckets: int) -> CuckooFilter:
-        """A filter of all digests, with as many buckets as it takes, ``buckets`` at least."""
-        while True:
+        """A filter of all digests, with as many buckets as it takes, ``buckets`` at least.
+
+        Digests must be evenly spread, as hashes are: more equal beginnings than two buckets hold are refused.
+        """
+        most = max(64, 16 * buckets, 16 * len(digests))
+        while buckets <= most:
             made = cls(buckets)
             if all(made.add(d) for d in digests):
                 return made
             buckets *= 2
+        raise ValueError("digests are not evenly spread")
 
 
 def _smaller(a: tuple, b: tuple) -> tuple:

@@ -7,7 +7,7 @@ them (an e-mail's signs spelled out, a phone number without its prefix), so that
 the patterns miss. Base spans stay as they are; an added span overlaps none of them.
 
 Only stretches around a digit, an at sign or a spelled-out one are looked at: a candidate without any of
-these is no segment of the model.
+these is no segment of the model. An e-mail must hold an at sign, the other kinds have no letters.
 """
 
 from __future__ import annotations
@@ -134,6 +134,14 @@ def span_features(span: str, left: str, right: str) -> list[str]:
     return out
 
 
+def allowed(span: str) -> np.ndarray:
+    """What to add to the score of each kind: nothing, or minus infinity where a span cannot be of that kind."""
+    digits = sum(map(len, _GROUPS.findall(span)))
+    plain = not any(c.isalpha() for c in span)
+    can = (bool(_AT.search(span)), plain and digits >= 4, plain and digits >= 12, plain and digits >= 7)
+    return np.where(can, 0.0, -np.inf)
+
+
 def _class(letter: str) -> str:
     if not letter:
         return "^"
@@ -146,10 +154,10 @@ def _class(letter: str) -> str:
 
 @dataclass
 class Lattice:
-    """Tokens of a stretch and its candidate segments: (first token, token after, features)."""
+    """Tokens of a stretch and its candidate segments: (first token, token after, features, kinds it can be)."""
 
     ends: list[int]
-    segments: list[tuple[int, int, np.ndarray]]
+    segments: list[tuple[int, int, np.ndarray, np.ndarray]]
 
     @property
     def size(self) -> int:
@@ -185,12 +193,15 @@ def lattice(text: str, start: int, end: int, index: dict[str, int], grow: bool,
             if not closes[j - 1] or seeds[j] == seeds[i]:
                 continue
             span = text[ends[i] : ends[j]]
+            can = allowed(span)
+            if not np.isfinite(can).any():
+                continue
             names = span_features(span, text[ends[i] - 1 : ends[i]], text[ends[j] : ends[j] + 1])
             if grow:
                 ids = [index.setdefault(x, len(index)) for x in names]
             else:
                 ids = [index[x] for x in names if x in index]
-            segments.append((i, j, np.array(ids, dtype=np.int64)))
+            segments.append((i, j, np.array(ids, dtype=np.int64), can))
     return Lattice(ends, segments)
 
 
@@ -203,7 +214,7 @@ class Field:
     moves: np.ndarray
 
     def scores(self, made: Lattice) -> np.ndarray:
-        return np.array([self.weights[ids].sum(axis=0) for _, _, ids in made.segments]).reshape(-1, len(KINDS))
+        return np.array([self.weights[ids].sum(axis=0) + can for _, _, ids, can in made.segments]).reshape(-1, len(KINDS))
 
     def decode(self, made: Lattice) -> list[tuple[int, int, int]]:
         """Segments (first, after, kind) of the best labelling."""
@@ -212,7 +223,7 @@ class Field:
         best[0, k] = 0.0
         back: dict[tuple[int, int], tuple[int, int]] = {}
         by_end: list[list[int]] = [[] for _ in range(n + 1)]
-        for s, (_, j, _) in enumerate(made.segments):
+        for s, (_, j, _, _) in enumerate(made.segments):
             by_end[j].append(s)
         scores = self.scores(made)
         into = np.full((n + 1, k + 1), -np.inf)
@@ -257,7 +268,7 @@ def train(examples: list[tuple[Lattice, set[tuple[int, int, int]]]], index: dict
             n = made.size
             scores = field.scores(made)
             ahead, behind = [[[] for _ in range(n + 1)] for _ in range(2)]
-            for s, (i, j, _) in enumerate(made.segments):
+            for s, (i, j, _, _) in enumerate(made.segments):
                 behind[j].append(s)
                 ahead[i].append(s)
             alpha = np.full((n + 1, k + 1), -np.inf)
@@ -286,7 +297,7 @@ def train(examples: list[tuple[Lattice, set[tuple[int, int, int]]]], index: dict
                 wanted += np.exp(np.minimum(alpha[j][:, None] + field.moves + out[j][None, :] - total, 0))
             grad_m = wanted
             grad_w = 1e-3 * field.weights
-            for s, (i, j, ids) in enumerate(made.segments):
+            for s, (i, j, ids, _) in enumerate(made.segments):
                 p = np.exp(np.minimum(into[i, :k] + scores[s] + beta[j, :k] - total, 0))
                 for kind in range(k):
                     if (i, j, kind) in gold:
@@ -339,7 +350,7 @@ def fit_field(texts: list[str], epochs: int = 6) -> Field:
         for a, b in stretches(text):
             made = lattice(text, a, b, index, True)
             place = {p: i for i, p in enumerate(made.ends)}
-            known = {(i, j) for i, j, _ in made.segments}
+            known = {(i, j) for i, j, _, _ in made.segments}
             gold, end = set(), -1
             for kind, s, e in spans:
                 pair = (place.get(s), place.get(e))
