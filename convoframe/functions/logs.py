@@ -124,7 +124,8 @@ _CLOSES = {"}": "{", "]": "["}
 def _is_valid(text: str) -> bool:
     try:
         json.loads(text)
-    except ValueError:
+    except (ValueError, RecursionError):
+        # A value nested deeper than the parser goes counts as none.
         return False
     return True
 

@@ -1,122 +1,45 @@
-"""Splitting hot keys, so that an ordered pass over one key never runs in one task.
+"""Cutting keys into blocks, so that an ordered pass over one key never runs in one task.
 
-An ordered window ``partitionBy(key)`` puts all rows of a key into one task. Here a key with more
-rows than one task should sort is cut into blocks along the order; the window runs per
-``(key, block)``, each block hands its state on as one row, and the state that enters a block is
-joined back. All other keys stay whole (block -1). When no key is hot, what is left is the plain
-window.
+An ordered window ``partitionBy(key)`` puts all rows of a key into one task. Here the rows are dealt out by
+ranges of (key, order) whatever the keys' sizes, and written with the number of their range. The window
+runs per ``(key, block)``, each block hands its state on as one row, and the state that enters a block is
+joined back. A key of any size, null included, and a burst of rows at one instant are spread alike; a small
+key lies in one block, or two where a range ends in it.
 
-The cuts of a key are evenly spaced; a cell that is still overfull, as rows may crowd together, is cut
-again, and so on. The keys and cells to cut are counted when the operator is called.
-
-The cut only spreads the work. The result does not depend on where the cuts lie or on which keys
-were found to be hot.
+The cut only spreads the work: the result does not depend on where it lies.
 """
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from convoframe.functions import times
 from convoframe.session import materialise
 
 BLOCK = "_block"
-ROWS_PER_BLOCK = 2_000_000
-# Bounds the tables of hot keys and of their overfull cells, which are broadcast. A key or cell beyond
-# the 10,000 largest holds less than a ten-thousandth of all rows and may stay whole.
-MAX_HOT = 10_000
-# Cells per ROWS_PER_BLOCK rows, as rows are not spread evenly.
-_OVERSPLIT = 8
-# How often overfull cells are cut again. Every time a cell shrinks at least by _OVERSPLIT.
-_MAX_LEVELS = 8
-
-
-def position(df: DataFrame, column: str) -> Column:
-    """A whole number that never falls as ``column`` rises."""
-    kind = dict(df.dtypes)[column]
-    if kind.startswith("timestamp"):
-        return times.micros(F.col(column), kind)
-    return F.floor(F.col(column)).cast("bigint")
-
-
-def _largest(counted: DataFrame, rows_per_block: int) -> DataFrame:
-    large = counted.where(F.col("_n") > rows_per_block)
-    return large.orderBy(F.col("_n").desc()).limit(MAX_HOT)
-
-
-def _step(span: Column, rows_per_block: int) -> Column:
-    """How far apart to cut ``span`` positions that hold ``_n`` rows."""
-    blocks = F.ceil(F.col("_n") / rows_per_block) * _OVERSPLIT
-    return F.greatest(F.ceil(span / blocks), F.lit(1)).cast("bigint")
-
-
-def _cut(at: Column, start: Column, step: Column) -> Column:
-    """The last cut at or before a position, with cuts every ``step`` from ``start`` on."""
-    return start + F.floor((at - start) / step).cast("bigint") * step
-
-
-def hot_keys(df: DataFrame, keys: list[str], order: str, rows_per_block: int) -> DataFrame:
-    """The keys to cut: ``keys, _lo, _step``. Counts combine before the shuffle, and only the key
-    and order columns are read."""
-    at = position(df, order)
-    counted = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(at).alias("_lo"), F.max(at).alias("_hi")
-    )
-    return _largest(counted.where("_lo is not null"), rows_per_block).select(
-        *keys, "_lo", _step(F.col("_hi") - F.col("_lo") + 1, rows_per_block).alias("_step")
-    )
 
 
 class Blocks:
-    """Rows with their block (the position at which it starts), and the same for hot keys alone."""
+    """Rows with the number of their block; blocks of a key are numbered in its order.
 
-    def __init__(
-        self, df: DataFrame, keys: list[str], order: str, rows_per_block: int = ROWS_PER_BLOCK
-    ):
+    ``order`` should leave no ties, else rows that tie may lie on both sides of a cut. ``partitions`` sets the
+    number of ranges; by default the session's shuffle partitions, which AQE merges where they are small.
+    """
+
+    def __init__(self, df: DataFrame, keys: list[str], order: list[Column], partitions: int | None = None):
         self.keys = list(keys)
         self.by = [*self.keys, BLOCK]
-        self._columns = df.columns
-        hot = materialise(hot_keys(df, self.keys, order, rows_per_block), "hot-keys")
-        if hot.isEmpty():
-            self.rows = df.withColumn(BLOCK, F.lit(-1).cast("bigint"))
-            self.hot_rows = self.rows.where(F.lit(False))
-            return
-        # Rows without an order value come first, so they belong to the first block.
-        at = F.coalesce(position(df, order), F.col("_lo")).alias("_at")
-        cell = _cut(at, F.col("_lo"), F.col("_step")).alias("_cell")
-        placed = [*self._columns, at, cell, "_step"]
-        rows = df.join(F.broadcast(hot), self.keys, "left").select(*placed)
-        hot_rows = df.join(F.broadcast(hot), self.keys).select(*placed)
-        for _ in range(_MAX_LEVELS):
-            overfull = materialise(self._overfull(hot_rows, rows_per_block), "overfull-cells")
-            if overfull.isEmpty():
-                break
-            rows, hot_rows = self._cut_again(rows, overfull), self._cut_again(hot_rows, overfull)
-        self.rows, self.hot_rows = self._finish(rows), self._finish(hot_rows)
-
-    def _overfull(self, hot_rows: DataFrame, rows_per_block: int) -> DataFrame:
-        counted = (
-            hot_rows.where("_step > 1")
-            .groupBy(*self.keys, "_cell", "_step")
-            .agg(F.count(F.lit(1)).alias("_n"))
-        )
-        fine = _step(F.col("_step"), rows_per_block).alias("_fine")
-        return _largest(counted, rows_per_block).select(*self.keys, "_cell", fine)
-
-    def _cut_again(self, rows: DataFrame, overfull: DataFrame) -> DataFrame:
-        finer = _cut(F.col("_at"), F.col("_cell"), F.col("_fine"))
-        return rows.join(F.broadcast(overfull), [*self.keys, "_cell"], "left").select(
-            *self._columns,
-            "_at",
-            F.coalesce(finer, "_cell").alias("_cell"),
-            F.coalesce("_fine", "_step").alias("_step"),
-        )
-
-    def _finish(self, rows: DataFrame) -> DataFrame:
-        block = F.coalesce("_cell", F.lit(-1)).cast("bigint")
-        return rows.select(*self._columns, block.alias(BLOCK))
+        cuts = [*[F.col(k) for k in self.keys], *order]
+        dealt = df.repartitionByRange(partitions, *cuts) if partitions else df.repartitionByRange(*cuts)
+        # Written once: a number that is computed again might differ.
+        self.rows = materialise(dealt.withColumn(BLOCK, F.spark_partition_id()), "blocks")
 
     def with_carry(self, rows: DataFrame, carry: DataFrame) -> DataFrame:
-        """Add to each row the state that enters its block: one carry row per block of hot keys."""
-        return rows.join(carry, self.by, "left")
+        """Add to each row the state that enters its block: ``carry`` has one row per (key, block)."""
+        renamed = carry.withColumnsRenamed({c: f"_carry_{c}" for c in self.by})
+        same = [F.col(c).eqNullSafe(F.col(f"_carry_{c}")) for c in self.by]
+        joined = rows.join(renamed, functools.reduce(operator.and_, same), "left")
+        return joined.drop(*[f"_carry_{c}" for c in self.by])

@@ -41,6 +41,12 @@ def tier_counts(items: DataFrame, by: str = "owner") -> DataFrame:
     )
 
 
+def first_tier(items: DataFrame, ordered: bool = False) -> DataFrame:
+    """A1: the first-tier items themselves; ``ordered`` sorts them by name."""
+    found = items.where(is_priority(F.col("name")))
+    return found.orderBy("name") if ordered else found
+
+
 def prioritised_fill(
     items: DataFrame, cap: int = 20, by: str = "owner", ordered: bool = False
 ) -> DataFrame:

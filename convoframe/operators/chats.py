@@ -7,17 +7,21 @@ from pyspark.sql import functions as F
 
 from convoframe.functions import ids, text
 
-# Largest number of messages in one document row. A longer chat becomes several rows, in order.
+# Largest number of messages in one document row, which needs a bound. A chat of any length is one or more
+# rows: ``part`` numbers them and ``first_turn`` is the position of a part's first message. Every operator
+# and every read takes a chat as all of its parts; a document without these fields is part 0 from turn 0.
 FOLD_PART = 10_000
 
 
 def list_chats(chats: DataFrame, ordered: bool = False) -> DataFrame:
     """``chat_id, chat_name`` of every chat; the messages are never read.
 
-    A chat stored in several parts is listed once, by its first part.
+    A chat stored in several parts is listed once, by the least part that it has.
     """
-    first = chats.where("part = 0") if "part" in chats.columns else chats
-    listing = first.select("chat_id", "chat_name")
+    listing = chats.select("chat_id", "chat_name")
+    if "part" in chats.columns:
+        least = F.min(F.struct(F.coalesce("part", F.lit(0)).alias("part"), "chat_name")).alias("_first")
+        listing = chats.groupBy("chat_id").agg(least).select("chat_id", F.col("_first.chat_name").alias("chat_name"))
     return listing.orderBy("chat_id") if ordered else listing
 
 
@@ -35,7 +39,7 @@ def load_chat(chats: DataFrame, chat_ids: DataFrame | list[str]) -> DataFrame:
 
 def explode_chats(chats: DataFrame) -> DataFrame:
     """Chat documents to message rows."""
-    start = F.col("first_turn") if "first_turn" in chats.columns else F.lit(0)
+    start = F.coalesce("first_turn", F.lit(0)) if "first_turn" in chats.columns else F.lit(0)
     name = [c for c in ("chat_name",) if c in chats.columns]
     rows = chats.select("chat_id", *name, start.alias("_start"), F.posexplode("messages"))
     return rows.select(
@@ -89,9 +93,22 @@ def render_transcript(msgs: DataFrame, fmt: str = "text", part_size: int = FOLD_
 
 
 def latest(df: DataFrame, version: list[str], keys: tuple[str, ...]) -> DataFrame:
-    """The newest row per key. The rank limit also runs before the shuffle, so a key that was saved
-    very often sends one row per task."""
-    newest = Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() for c in version])
+    """The newest row per key; of a key with parts, all parts of its newest save.
+
+    The newest version of a key is combined before the shuffle and so is the rank limit, so a key that was
+    saved very often sends one row per task. Parts of older saves go, also when the chat has shrunk. Of
+    rows that tie in key, part and version one stays.
+    """
+    by = list(keys)
+    if "part" in df.columns and "part" not in by:
+        save = F.struct(*[F.col(c) for c in version])
+        newest = df.groupBy(*by).agg(F.max(save).alias("_newest")).withColumnsRenamed({c: f"_key_{c}" for c in by})
+        same = save.eqNullSafe(F.col("_newest"))
+        for c in by:
+            same = same & F.col(c).eqNullSafe(F.col(f"_key_{c}"))
+        df = df.join(newest, same).drop("_newest", *[f"_key_{c}" for c in by])
+        by = [*by, "part"]
+    newest = Window.partitionBy(*by).orderBy(*[F.col(c).desc_nulls_last() for c in version])
     return df.withColumn("_rank", F.row_number().over(newest)).where("_rank = 1").drop("_rank")
 
 
@@ -101,7 +118,7 @@ def upsert_chats(
     version_col: str | list[str],
     keys: tuple[str, ...] = ("chat_id",),
 ) -> DataFrame:
-    """The last write of a key replaces the whole row. Write the result to a new path."""
+    """The last save of a key replaces the whole chat, parts and all. Write the result to a new path."""
     version = [version_col] if isinstance(version_col, str) else list(version_col)
     return latest(base.unionByName(updates, allowMissingColumns=True), version, tuple(keys))
 
@@ -146,7 +163,10 @@ def title_chats(msgs: DataFrame, names: DataFrame | None = None) -> DataFrame:
     titled = first_messages(msgs).select("chat_id", text.title(F.col("content")).alias("_title"))
     if names is None:
         return titled.withColumnRenamed("_title", "chat_name")
-    named = names.select("chat_id", ids.not_empty(F.col("chat_name")).alias("_name"))
+    # A long chat has several document rows; its name is that of the least part with one.
+    part = F.col("part") if "part" in names.columns else F.lit(0)
+    name = ids.not_empty(F.col("chat_name"))
+    named = names.groupBy("chat_id").agg(F.min_by(name, F.when(name.isNotNull(), part)).alias("_name"))
     return titled.join(named, "chat_id", "left").select(
         "chat_id", F.coalesce("_name", "_title").alias("chat_name")
     )
@@ -166,7 +186,7 @@ def title_prompts(
     ``batch_generate(..., strip=True)``."""
     first = first_messages(msgs)
     if names is not None:
-        named = names.where("chat_name <> ''").select("chat_id")
+        named = names.where("chat_name <> ''").select("chat_id").distinct()
         first = first.join(named, "chat_id", "left_anti")
     request = F.concat(F.lit("Give a title for the chat that starts with this message: "), "content")
     return first.select(

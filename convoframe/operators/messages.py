@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 from convoframe import schemas
 from convoframe.functions import settings as rules
-from convoframe.operators.blocks import BLOCK, ROWS_PER_BLOCK, Blocks
+from convoframe.operators.blocks import BLOCK, Blocks
 
 # Positions per group when looking at neighbours.
 PAIR_PART = 100_000
-# Positions whose messages are kept inline as history.
+# Positions per group when gathering histories.
 CONTEXT_PART = 1_000
 
 
@@ -31,13 +31,14 @@ def validate_messages(msgs: DataFrame) -> DataFrame:
 
 
 def number_turns(
-    msgs: DataFrame, order: str = "turn", rows_per_block: int = ROWS_PER_BLOCK
+    msgs: DataFrame, order: str = "turn", tie: str | None = None, partitions: int | None = None
 ) -> DataFrame:
-    """Renumber each chat's messages 0, 1, 2, ... in the given order."""
-    blocks = Blocks(msgs, ["chat_id"], order, rows_per_block)
-    within = Window.partitionBy(*blocks.by).orderBy(order)
+    """Renumber each chat's messages 0, 1, 2, ... in the given order; ``tie`` orders equal ones."""
+    by = [order, tie] if tie else [order]
+    blocks = Blocks(msgs, ["chat_id"], [F.col(c) for c in by], partitions)
+    within = Window.partitionBy(*blocks.by).orderBy(*by)
     earlier = Window.partitionBy("chat_id").orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = blocks.hot_rows.groupBy(*blocks.by).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = blocks.rows.groupBy(*blocks.by).agg(F.count(F.lit(1)).alias("_n"))
     carry = sizes.select(*blocks.by, F.sum("_n").over(earlier).alias("_before"))
     rows = blocks.rows.withColumn("_at", F.row_number().over(within))
     place = F.col("_at") - 1 + F.coalesce("_before", F.lit(0))
@@ -73,76 +74,58 @@ def pair_turns(msgs: DataFrame, part_size: int = PAIR_PART) -> DataFrame:
     )
 
 
-def _context_rows(msgs: DataFrame, max_turns: int | None, part_size: int) -> tuple[DataFrame, int]:
-    """Messages under every range of positions that needs them: their own and, with a bounded
-    history, the next one if it looks back that far."""
-    size = max(part_size, max_turns or 0)
-    own = _range(size)
-    if max_turns is None:
-        return msgs.withColumn("part", own).withColumn("_mine", F.lit(True)), size
-    last = F.floor((F.col("turn") + max_turns) / size).cast("bigint")
-    parts = F.when(last > own, F.array(own, last)).otherwise(F.array(own))
-    rows = msgs.withColumn("_own", own).withColumn("part", F.explode(parts))
-    return rows.withColumn("_mine", F.col("_own") == F.col("part")).drop("_own"), size
-
-
-def _history(max_turns: int | None):
-    """The messages before position ``pos`` of ``_rows``, at most ``max_turns`` positions back."""
-    if max_turns is None:
-        return F.slice("_rows", F.lit(1), F.col("pos"))
-    first = F.greatest(F.col("pos") - max_turns, F.lit(0))
-    near = F.slice("_rows", first + 1, F.col("pos") - first)
-    return F.filter(near, lambda m: m["turn"] >= F.col("m.turn") - max_turns)
-
-
-def _plain(messages):
-    return F.transform(
-        messages, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))
-    )
+def _with_history(msgs: DataFrame, max_turns: int | None, part_size: int) -> DataFrame:
+    """User messages with ``_history``, the messages before them, all or up to ``max_turns`` positions back.
 
-
-def _user_turns(rows: DataFrame) -> DataFrame:
-    """One row per user message: its range's messages in order (``_rows``), its place among them
-    (``pos``) and itself (``m``). Rows without a turn only bring a ``_system`` prompt."""
-    message = F.struct("turn", "role", "content", "_mine", "system_prompt")
-    gathered = rows.groupBy("chat_id", "part").agg(
-        F.array_sort(F.collect_list(F.when(F.col("turn").isNotNull(), message))).alias("_rows"),
-        F.max("_system").alias("_system"),
+    Rows are grouped by ranges of positions. With a bound, a range also gets the rows of the one before it
+    that its first messages look back to. Without one, a range gets all rows before it, gathered once;
+    the histories are that large anyway, as the caller asked for all of it.
+    """
+    size = part_size if max_turns is None else max(part_size, max_turns)
+    own = _range(size)
+    spoken = F.struct("role", "content")
+    ordered = Window.partitionBy("chat_id", "_part").orderBy("turn")
+    if max_turns is not None:
+        last = F.floor((F.col("turn") + max_turns) / size).cast("bigint")
+        parts = F.when(last > own, F.array(own, last)).otherwise(F.array(own))
+        rows = msgs.withColumn("_own", own).withColumn("_part", F.explode(parts))
+        if max_turns:
+            near = F.collect_list(spoken).over(ordered.rangeBetween(-max_turns, -1))
+        else:
+            near = F.array().cast("array<struct<role:string,content:string>>")
+        rows = rows.withColumn("_history", near).where("_own = _part and role = 'user'")
+        return rows.drop("_own", "_part")
+    placed = msgs.withColumn("_part", own)
+    within = F.collect_list(spoken).over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    users = placed.withColumn("_within", within).where("role = 'user'")
+    # Rows travel to later ranges in which a user asks; a chat of one range sends none.
+    asked = placed.where("role = 'user' and _part > 0").select(F.col("chat_id").alias("_chat"), F.col("_part").alias("_to"))
+    last = asked.groupBy("_chat").agg(F.max("_to").alias("_last"))
+    earlier = placed.join(last, (F.col("chat_id") == F.col("_chat")) & (F.col("_part") < F.col("_last")))
+    sent = earlier.select(
+        "_chat", "turn", "role", "content", F.explode(F.sequence(F.col("_part") + 1, "_last")).alias("_to")
     )
-    placed = gathered.select(
-        "chat_id", "part", "_system", "_rows", F.posexplode("_rows").alias("pos", "m")
+    gathered = sent.groupBy("_chat", "_to").agg(
+        F.array_sort(F.collect_list(F.struct("turn", "role", "content"))).alias("_before")
     )
-    return placed.where(F.col("m._mine") & (F.col("m.role") == "user"))
-
-
-def _first_inline(max_turns: int | None, size: int):
-    """The first position that an inline history covers."""
-    if max_turns is None:
-        return (F.col("part") * size).cast("bigint")
-    return F.greatest(F.col("m.turn") - max_turns, F.lit(0)).cast("bigint")
+    before = F.transform("_before", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
+    joined = users.join(gathered, (F.col("chat_id") == F.col("_chat")) & (F.col("_part") == F.col("_to")), "left")
+    history = F.when(F.col("_before").isNull(), F.col("_within")).otherwise(F.concat(before, "_within"))
+    return joined.withColumn("_history", history).drop("_chat", "_to", "_before", "_within", "_part")
 
 
 def build_context(
     msgs: DataFrame, max_turns: int | None = None, part_size: int = CONTEXT_PART
 ) -> DataFrame:
-    """The messages before each user turn: ``chat_id, turn, content, history_from, history``.
+    """The messages before each user turn: ``chat_id, turn, content, history``.
 
-    ``max_turns=k`` keeps the previous k positions. Without it the history is unbounded; all of it
-    inline would grow with the square of a chat's length, so ``history`` holds the positions
-    ``history_from <= position < turn`` and everything before ``history_from`` is the message table
-    itself. ``history_from`` is 0 for every chat of up to ``part_size`` turns.
+    ``max_turns=k`` keeps the previous k positions. Without it the history is all earlier messages of
+    the chat, whose total grows with the square of a chat's length; give a bound for very long chats.
+    ``part_size`` only spreads the work.
     """
-    none = F.lit(None).cast("string")
-    talk = msgs.select(
-        "chat_id", "turn", "role", "content", none.alias("system_prompt"), none.alias("_system")
-    )
-    rows, size = _context_rows(talk, max_turns, part_size)
-    return _user_turns(rows).select(
-        "chat_id",
-        F.col("m.turn").alias("turn"),
-        F.col("m.content").alias("content"),
-        _first_inline(max_turns, size).alias("history_from"),
-        _plain(_history(max_turns)).alias("history"),
+    talk = msgs.select("chat_id", "turn", "role", "content")
+    return _with_history(talk, max_turns, part_size).select(
+        "chat_id", "turn", "content", F.col("_history").alias("history")
     )
 
 
@@ -166,56 +149,58 @@ def build_prompts(
     max_turns: int | None = None,
     part_size: int = CONTEXT_PART,
 ) -> DataFrame:
-    """``chat_id, turn, history_from, prompt`` for each user turn; the prompt is system, history,
-    human.
+    """``chat_id, turn, prompt`` for each user turn; the prompt is system, history, human.
 
     The system prompt is the chat's opening system row, else the chat's row in ``settings``
     (``chat_id, system_prompt``), else the message's own ``system_prompt`` column if there is one,
-    else the default. System rows are no part of the history. See ``build_context`` for ``max_turns``.
+    else the default. System rows are no part of the history; rows without a role are. ``model`` and
+    ``temperature`` columns of the messages (W5) are passed on. See ``build_context`` for ``max_turns``.
     """
     none = F.lit(None).cast("string")
     own_prompt = F.col("system_prompt") if "system_prompt" in msgs.columns else none
-    talk = msgs.select("chat_id", "turn", "role", "content", own_prompt.alias("system_prompt"))
-    rows, size = _context_rows(talk.where("role <> 'system'"), max_turns, part_size)
-    # The prompt travels to each range as one more row, so the histories are shuffled only once.
-    # Ranges after the first are few and found from the position column alone.
-    prompts = _system_prompts(talk, settings)
-    later = talk.where(F.col("turn") >= size).select(
-        "chat_id", _range(size).alias("part")
-    )
-    placed = prompts.withColumn("part", F.lit(0).cast("bigint")).unionByName(
-        later.distinct().join(prompts, "chat_id").select("chat_id", "_system", "part")
-    )
-    users = _user_turns(
-        rows.withColumn("_system", none).unionByName(placed, allowMissingColumns=True)
-    )
-    system = F.coalesce("_system", "m.system_prompt", F.lit(schemas.DEFAULT_SYSTEM_PROMPT))
+    passed = [c for c in ("model", "temperature") if c in msgs.columns]
+    talk = msgs.select("chat_id", "turn", "role", "content", own_prompt.alias("system_prompt"), *passed)
+    users = _with_history(talk.where("role is null or role <> 'system'"), max_turns, part_size)
+    users = users.join(_system_prompts(talk, settings), "chat_id", "left")
+    system = F.coalesce("_system", "system_prompt", F.lit(schemas.DEFAULT_SYSTEM_PROMPT))
 
     def message(role, content):
         return F.array(F.struct(F.lit(role).alias("role"), content.alias("content")))
 
     return users.select(
         "chat_id",
-        F.col("m.turn").alias("turn"),
-        _first_inline(max_turns, size).alias("history_from"),
-        F.concat(
-            message("system", system),
-            _plain(_history(max_turns)),
-            message("human", F.col("m.content")),
-        ).alias("prompt"),
+        "turn",
+        *passed,
+        F.concat(message("system", system), "_history", message("human", F.col("content"))).alias("prompt"),
     )
 
 
-def append_responses(msgs: DataFrame, responses: DataFrame) -> DataFrame:
-    """The chats with one more assistant row each, after the last message.
+def append_responses(
+    msgs: DataFrame, responses: DataFrame, partitions: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """``(messages, rejected)``: the chats with each answer after the user turn it answers, renumbered.
 
-    ``responses`` is ``chat_id, content``, one row per chat; chats it does not name are unchanged.
+    ``responses`` are the rows of ``batch_generate`` (``chat_id, turn, response, error``). Rejected, with a
+    ``reason``, are rows with an error or without a response (``failed``), rows whose chat has no such user
+    turn (``unknown_turn``), and further answers to one turn (``repeated``; the least text stays).
     """
-    ends = msgs.groupBy("chat_id").agg(F.max("turn").alias("_last"))
-    replies = responses.join(ends, "chat_id").select(
-        "chat_id",
-        (F.col("_last") + 1).alias("turn"),
-        F.lit("assistant").alias("role"),
-        "content",
+    turns = msgs.where("role = 'user'").select("chat_id", "turn").distinct().withColumn("_known", F.lit(True))
+    first = Window.partitionBy("chat_id", "turn", "_failed").orderBy("response")
+    failed = F.col("response").isNull() | F.col("error").isNotNull()
+    judged = (
+        responses.select("chat_id", "turn", "response", "error")
+        .withColumn("_failed", failed)
+        .withColumn("_rank", F.row_number().over(first))
+        .join(turns, ["chat_id", "turn"], "left")
+    )
+    reason = (
+        F.when(F.col("_failed"), "failed").when(F.col("_known").isNull(), "unknown_turn").when(F.col("_rank") > 1, "repeated")
+    )
+    judged = judged.withColumn("reason", reason)
+    replies = judged.where("reason is null").select(
+        "chat_id", "turn", F.lit("assistant").alias("role"), F.col("response").alias("content"), F.lit(1).alias("_after")
     )
-    return msgs.select("chat_id", "turn", "role", "content").unionByName(replies)
+    both = msgs.select("chat_id", "turn", "role", "content", F.lit(0).alias("_after")).unionByName(replies)
+    numbered = number_turns(both, "turn", "_after", partitions)
+    rejected = judged.where("reason is not null").select("chat_id", "turn", "response", "error", "reason")
+    return numbered.select("chat_id", "turn", "role", "content"), rejected

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from convoframe import schemas
 from convoframe.functions import settings as rules
-from convoframe.operators.blocks import BLOCK, ROWS_PER_BLOCK, Blocks
+from convoframe.operators.blocks import BLOCK, Blocks
 
 _SETTINGS = ("model", "temperature", "system_prompt", "theme")
 _DEFAULTS = {
@@ -53,16 +53,16 @@ def _with_theme(events: DataFrame) -> DataFrame:
 
 
 def _last_known(
-    df: DataFrame, keys: list[str], ts: str, order: list[str], rows_per_block: int
+    df: DataFrame, keys: list[str], ts: str, order: list[str], partitions: int | None
 ) -> DataFrame:
     """Each setting's last non-null value up to and including the row."""
-    blocks = Blocks(df, keys, ts, rows_per_block)
+    blocks = Blocks(df, keys, [F.col(c) for c in (ts, *order)], partitions)
     sequence = F.struct(ts, *order)
     so_far = Window.partitionBy(*blocks.by).orderBy(ts, *order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     rows = blocks.rows.withColumns({c: F.last(c, ignorenulls=True).over(so_far) for c in _SETTINGS})
-    closing = blocks.hot_rows.groupBy(*blocks.by).agg(
+    closing = blocks.rows.groupBy(*blocks.by).agg(
         *[F.max_by(c, F.when(F.col(c).isNotNull(), sequence)).alias(c) for c in _SETTINGS]
     )
     earlier = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
@@ -81,11 +81,11 @@ def effective_settings(
     session: str = "session_id",
     ts: str = "ts",
     tie: str = "event_id",
-    rows_per_block: int = ROWS_PER_BLOCK,
+    partitions: int | None = None,
 ) -> DataFrame:
     """The settings in force after each accepted change, starting from the defaults."""
     changes = _with_theme(accepted_changes(events))
-    known = _last_known(changes, [session], ts, [tie], rows_per_block)
+    known = _last_known(changes, [session], ts, [tie], partitions)
     return fill_settings_defaults(known).select(session, tie, ts, *_SETTINGS)
 
 
@@ -95,7 +95,7 @@ def settings_at(
     session: str = "session_id",
     ts: str = "ts",
     tie: str = "event_id",
-    rows_per_block: int = ROWS_PER_BLOCK,
+    partitions: int | None = None,
 ) -> DataFrame:
     """The settings in force when each message arrives.
 
@@ -108,7 +108,7 @@ def settings_at(
         msgs.select(session, ts, tie, *extra).withColumn("_is_msg", F.lit(True)),
         allowMissingColumns=True,
     )
-    known = _last_known(both, [session], ts, ["_is_msg", tie], rows_per_block)
+    known = _last_known(both, [session], ts, ["_is_msg", tie], partitions)
     return fill_settings_defaults(known.where("_is_msg")).select(
         session, ts, tie, *extra, *_SETTINGS
     )

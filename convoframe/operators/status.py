@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from convoframe.functions import ids, logs
-from convoframe.operators.blocks import BLOCK, ROWS_PER_BLOCK, Blocks
+from convoframe.operators.blocks import BLOCK, Blocks
 
 
 def classify_health(
@@ -93,7 +93,7 @@ def time_to_state(
     by: str = "app_id",
     ts: str = "ts",
     tie: str = "event_id",
-    rows_per_block: int = ROWS_PER_BLOCK,
+    partitions: int | None = None,
 ) -> DataFrame:
     """For each start row, when the same app is first ready afterwards, or that it timed out.
 
@@ -103,18 +103,20 @@ def time_to_state(
 
     ``timeout`` is in seconds and inclusive. With ``poll_every`` the state is looked at only every
     so many seconds, from the start on: readiness is seen at the first look after it, looks stop
-    before ``timeout``, and the elapsed text counts the look's whole interval.
+    before ``timeout``, and the elapsed text counts the look's whole interval. Rows without a time
+    are neither starts nor ready.
     """
     kinds = F.array_compact(F.array(F.when(start, F.lit(0)), F.when(ready, F.lit(1))))
     rows = status.where(F.col(ts).isNotNull()).select(
         by, F.col(ts).alias("ts"), F.col(tie).alias("_tie"), F.explode(kinds).alias("_kind")
     )
-    blocks = Blocks(rows, [by], "ts", rows_per_block)
+    in_time = [F.col("ts"), F.col("_kind").desc(), F.col("_tie")]
+    blocks = Blocks(rows, [by], in_time, partitions)
     ready_ts = F.when(F.col("_kind") == 1, F.col("ts"))
-    backwards = Window.partitionBy(*blocks.by).orderBy(F.col("ts").desc(), "_kind")
+    backwards = Window.partitionBy(*blocks.by).orderBy(F.col("ts").desc(), "_kind", F.col("_tie").desc())
     seen = backwards.rowsBetween(Window.unboundedPreceding, -1)
     near = blocks.rows.withColumn("_near", F.min(ready_ts).over(seen)).where("_kind = 0")
-    opening = blocks.hot_rows.groupBy(*blocks.by).agg(F.min(ready_ts).alias("_first"))
+    opening = blocks.rows.groupBy(*blocks.by).agg(F.min(ready_ts).alias("_first"))
     later = (
         Window.partitionBy(by)
         .orderBy(F.col(BLOCK).desc())

@@ -40,9 +40,12 @@ _DOCS_SQL = """
     f"select chat_id, chat_name, n as n_messages, transcript from ({_DOCS_SQL})",
 )
 def s1(t: Tables):
+    """One document per file, over several lines, as single saves leave them."""
     path = scratch_path(t.spark, "chats-json")
-    files.write_chats(_documents(t), path, "json")
-    read = files.read_chats(t.spark, path, lines=True)
+    whole = F.to_json(F.struct("chat_id", "chat_name", "messages"), {"pretty": "true"})
+    docs = _documents(t).select("chat_id", whole.alias("value"))
+    docs.repartition("chat_id").write.partitionBy("chat_id").text(path)
+    read = files.read_chats(t.spark, f"{path}/chat_id=*", pattern="*.txt")
     good, _ = files.split_bad_chats(read)
     return good.select(
         "chat_id",
@@ -382,18 +385,21 @@ def c10(t: Tables):
 @query(
     "u2_append_responses",
     """
-    select conv_id as chat_id, turn, role, text as content from conversations
-    union all
-    select conv_id, max(turn) + 1, 'assistant', 'echo ' || max_by(text, turn) from conversations
-    group by conv_id having max_by(role, turn) = 'user'""",
+    select chat_id, row_number() over (partition by chat_id order by turn, after) - 1 as turn, role, content
+    from (select conv_id as chat_id, turn, role, text as content, 0 as after from conversations
+      union all
+      select conv_id, turn, 'assistant', 'echo ' || text, 1 from conversations where role = 'user')""",
 )
 def u2(t: Tables):
-    """Chats that end on a user turn get their reply."""
-    last = t.msgs.groupBy("chat_id").agg(F.max_by(F.struct("role", "content"), "turn").alias("m"))
-    replies = last.where("m.role = 'user'").select(
-        "chat_id", F.concat(F.lit("echo "), "m.content").alias("content")
+    """Every user turn is answered anew, by rows as the model's batch job gives them."""
+    replies = t.msgs.where("role = 'user'").select(
+        "chat_id",
+        "turn",
+        F.concat(F.lit("echo "), "content").alias("response"),
+        F.lit(None).cast("string").alias("error"),
     )
-    return messages.append_responses(t.msgs, replies)
+    appended, _ = messages.append_responses(t.msgs, replies)
+    return appended
 
 
 @query(

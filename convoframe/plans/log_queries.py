@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from convoframe.functions import logs as log_rules
 from convoframe.operators import catalog, logs, status, usage
 from convoframe.plans.registry import Tables, query, time_text
+from convoframe.session import scratch_path
 from convoframe.streaming.time_to_state import stream_time_to_state
 
 _DAY = 86400
@@ -104,24 +105,25 @@ def j3_polled(t: Tables):
     f"""
     select app_id, event_id, case when ok then 'ready' else 'timeout' end as outcome,
       case when ok then {_TIME.format("ready_ts")} end as ready_at
-    from ({_starts_sql(f"waited <= {_DAY} * 1000000::bigint")})
-    where (epoch_us(start_ts) // ({_DAY} * 1000000::bigint) + 2) * {_DAY} * 1000000::bigint
-      <= (select epoch_us(max(ts)) // 1000 * 1000 - 60000000 from events)""",
+    from ({_starts_sql(f"waited <= {_DAY} * 1000000::bigint")})""",
     ("v_status",),
 )
 def t2(t: Tables):
-    """Starts whose window the watermark has passed at the end of the events."""
-    from convoframe.session import scratch_path
-
-    schema = t.read("events").schema
-    stream = (
-        t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
+    """All starts, as a stream that one late row of an app of its own closes."""
+    rows = t.view("v_status")
+    source = scratch_path(t.spark, "status")
+    rows.write.parquet(source)
+    late = (F.max("ts") + F.make_dt_interval(days=F.lit(4))).alias("ts")
+    closing = rows.agg(late).select(
+        F.lit(-1).cast("bigint").alias("app_id"),
+        F.lit(-1).cast("bigint").alias("event_id"),
+        "ts",
+        F.lit("RUNNING").alias("app_state"),
+        F.lit("ACTIVE").alias("compute_state"),
     )
-    stream.createOrReplaceTempView("convoframe_event_stream")
-    from convoframe.plans.views import VIEWS
-
-    rows = t.spark.sql(VIEWS["v_status"][0].format(events="convoframe_event_stream"))
-    decided = stream_time_to_state(rows, _start(), _up(), timeout=_DAY)
+    closing.select(*rows.columns).write.mode("append").parquet(source)
+    stream = t.spark.readStream.schema(rows.schema).parquet(source)
+    decided = stream_time_to_state(stream, _start(), _up(), timeout=_DAY)
     out, checkpoint = scratch_path(t.spark, "time-to-state"), scratch_path(t.spark, "stream")
     run = (
         decided.writeStream.format("parquet")
@@ -135,6 +137,34 @@ def t2(t: Tables):
     )
 
 
+@query(
+    "j3_time_to_delete",
+    f"""
+    select app_id, event_id, case when ok then 'ready' else 'timeout' end as outcome
+    from (select app_id, event_id, coalesce(ceil((epoch_us(gone) - epoch_us(ts)) / 10000000.0) * 10 < 300, false) as ok
+      from (select s.app_id, s.event_id, s.ts, min(r.ts) as gone from v_status s left join v_status r
+          on r.app_id = s.app_id and r.ts > s.ts and r.app_state = 'CRASHED'
+        where s.app_state = 'PENDING' group by s.app_id, s.event_id, s.ts))""",
+    ("v_status",),
+)
+def j3_delete(t: Tables):
+    """The wait for a deletion: 30 looks, 10 seconds apart. Pending apps stand for those being deleted,
+    crashed ones for those gone."""
+    pending, gone = F.col("app_state") == "PENDING", F.col("app_state") == "CRASHED"
+    found = status.time_to_state(t.view("v_status"), pending, gone, timeout=300, poll_every=10)
+    return found.select("app_id", "event_id", "outcome")
+
+
+@query(
+    "c4_already_up",
+    "select event_id, compute_state = 'ACTIVE' or app_state = 'RUNNING' as up from v_status",
+    ("v_status",),
+)
+def c4_up(t: Tables):
+    up = log_rules.already_up(F.col("app_state"), F.col("compute_state"))
+    return t.view("v_status").select("event_id", up.alias("up"))
+
+
 @query(
     "a1_tier_counts",
     """
@@ -146,6 +176,15 @@ def a1(t: Tables):
     return catalog.tier_counts(t.view("v_items"))
 
 
+@query(
+    "a1_first_tier_names",
+    "select owner, name from v_items where starts_with(lower(name), 'shared')",
+    ("v_items",),
+)
+def a1_names(t: Tables):
+    return catalog.first_tier(t.view("v_items")).select("owner", "name")
+
+
 _STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
 _NOISY = " or ".join(f"contains(x, '{word}')" for word in log_rules.NOISE)
 _FAULTY = " or ".join(f"contains(lower(x), '{word}')" for word in log_rules.ERROR_WORDS)
@@ -238,6 +277,11 @@ def w7(t: Tables):
       'example' as platform,
       case when event_type <> 'click' then left('dep' || cast(s.event_id as varchar) || 'abcdef', 8) || '...' end
         as deployment,
+      'https://app' || cast(s.app_id as varchar) || '.example.com' as url, 'No message' as compute_message,
+      case when event_type <> 'click' then 'Unknown' end as deployment_state,
+      case when event_type <> 'click' then 'No message' end as deployment_message,
+      case when event_type <> 'click' then 'Unknown' end as created,
+      case when event_type <> 'click' then 'Unknown' end as updated,
       case when event_type <> 'click' then 'Unknown' end as creator, d.recent
     from v_status s join events e on e.event_id = s.event_id
     join (select app_id, string_agg(state || ' at ' || {_TIME.format("create_time")}, chr(10) order by rank)
@@ -282,6 +326,12 @@ def c5(t: Tables):
         "app_message",
         "platform",
         "deployment",
+        "url",
+        "compute_message",
+        "deployment_state",
+        "deployment_message",
+        "created",
+        "updated",
         "creator",
         F.array_join(lines, "\n").alias("recent"),
     )
@@ -358,23 +408,26 @@ _HOST = "split_part(split_part(url, '//', 2), '/', 1)"
 @query(
     "c8_first_valid",
     f"""
-    select page_id, host, coalesce(nullif(split_part(host, '.', 2), ''), 'Unknown') as region
-    from (select page_id, case when starts_with(url, 'https') or length(html) > 1500 then {_HOST}
+    select page_id, host, coalesce(nullif(split_part(host, '.', 2), ''), 'Unknown') as region, cloud
+    from (select page_id, case when starts_with(url, 'https') then 'AWS' when length(html) > 1500 then 'AZURE' end
+        as cloud, case when starts_with(url, 'https') or length(html) > 1500 then {_HOST}
       else 'config.example.com' end as host from pages)""",
 )
 def c8(t: Tables):
     """Pages stand for profiles: one is valid when its page is secure, one when it is long."""
     host = F.split_part(F.split_part("url", F.lit("//"), F.lit(2)), F.lit("/"), F.lit(1))
 
-    def profile(valid):
-        return F.struct(host.alias("host"), valid.alias("valid"))
+    def profile(valid, cloud):
+        return F.struct(host.alias("host"), valid.alias("valid"), F.lit(cloud).alias("cloud"))
 
     rows = t.read("pages").select(
         "page_id",
-        F.array(profile(F.col("url").startswith("https")), profile(F.length("html") > 1500)).alias("profiles"),
+        F.array(
+            profile(F.col("url").startswith("https"), "aws"), profile(F.length("html") > 1500, "azure")
+        ).alias("profiles"),
         F.lit("config.example.com").alias("config_host"),
     )
-    return logs.first_valid(rows).select("page_id", "host", "region")
+    return logs.first_valid(rows).select("page_id", "host", "region", "cloud")
 
 
 @query(

@@ -101,15 +101,14 @@ def w4(t: Tables):
           system_prompt, dark_mode
         from v_settings where {_VALID}
         union all
-        select user_id, event_id, ts, 1, props, null, null, null, null from events
-        where event_type in ('click', 'view'))
+        select user_id, event_id, ts, 1, props, null, null, null, null from events)
       window w as ({_CHANGES.format("ts, is_msg,")}))
     where is_msg = 1""",
     ("v_settings",),
 )
 def w5(t: Tables):
-    """Clicks and views stand for messages of their user's session."""
-    asked = t.read("events").where("event_type in ('click', 'view')").select(
+    """All events stand for messages of their user's session."""
+    asked = t.read("events").select(
         F.col("user_id").alias("session_id"), "ts", "event_id", F.col("props").alias("content")
     )
     return settings.settings_at(asked, t.view("v_settings")).drop("ts")

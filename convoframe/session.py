@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,28 +31,41 @@ def build_session(app_name: str = "convoframe", master: str | None = None, **con
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
-
-    Only a local master may go without that setting: driver and executors are then one process.
-    """
+    """The folder that driver and executors share, as named by ``spark.checkpoint.dir``."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    named = tempfile.mkdtemp(prefix="convoframe-")
-    spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    if not named:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named.rstrip("/")
+
+
+# The scratch tables of this process are in a folder of their own.
+_RUN = uuid.uuid4().hex
+
+
+def _run_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/convoframe/{_RUN}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; never one that another run reads."""
-    return f"{shared_dir(spark)}/convoframe/{name}-{uuid.uuid4().hex}"
+    return f"{_run_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Removes this process's scratch tables. Results that were not written yet can't be read after it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_run_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+# Called with every DataFrame that is written as an intermediate table, for tests that look at plans.
+observers: list[Callable[[DataFrame], None]] = []
 
 
 def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = path or scratch_path(spark, name)
+    for see in observers:
+        see(df)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -20,13 +20,22 @@ def stream_autosave(
 ) -> StreamingQuery:
     """Save each micro-batch of messages as one batch of a chat table, keyed by chat and turn.
 
-    A batch that is repeated after a failure replaces itself. ``version`` names the columns that
-    order several saves of one message within a micro-batch.
+    A batch that is repeated after a failure replaces itself. The run is the stream's own id, which its
+    checkpoint keeps, so a stream with another checkpoint adds to the table and replaces nothing.
+    ``version`` names the columns that order several saves of one message within a micro-batch; without it,
+    a micro-batch that saves a message twice ends the stream.
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        rows = latest(batch, list(version), KEYS) if version else batch
-        chat_log.write_batch(rows, path, batch_id)
+        if version:
+            rows = latest(batch, list(version), KEYS)
+        else:
+            rows = batch
+            twice = batch.groupBy(*KEYS).count().where("count > 1")
+            if not twice.isEmpty():
+                raise ValueError("a message is saved twice in one micro-batch: name its version columns")
+        run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        chat_log.write_batch(rows, path, batch_id, run)
 
     writer = msg_stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
     if available_now:

@@ -1,38 +1,37 @@
-import datetime as dt
-
+import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from convoframe.operators.blocks import BLOCK, Blocks
 
 
-def test_a_burst_is_cut_finely(spark, at):
-    """A key with 9 of 10 rows in one second of a year, beside ordinary keys."""
-    data = [("hot", at(i * 31_000 if i % 10 == 0 else 500 + i / 1000)) for i in range(1000)]
-    data += [(f"k{i % 20}", at(i)) for i in range(200)] + [("hot", None)]
-    df = spark.createDataFrame(data, "k string, ts timestamp_ntz")
-    blocks = Blocks(df, ["k"], "ts", rows_per_block=50)
-    found = blocks.rows.groupBy("k", BLOCK).agg(
-        F.count(F.lit(1)).alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last")
-    ).collect()
-    assert {r[BLOCK] for r in found if r.k != "hot"} == {-1}
-    assert sum(r.n for r in found) == len(data)
-    hot = sorted((r for r in found if r.k == "hot"), key=lambda r: r[BLOCK])
-    assert max(r.n for r in hot) <= 50
-    ends = [(r["first"] or dt.datetime.min, r["last"]) for r in hot]
-    assert all(a[1] < b[0] for a, b in zip(ends, ends[1:]))
-    assert blocks.hot_rows.count() == 1001
-
-
-def test_no_hot_keys_no_second_part(spark, at):
-    df = spark.createDataFrame([("a", at(0)), ("b", at(1))], "k string, ts timestamp_ntz")
-    blocks = Blocks(df, ["k"], "ts")
-    assert {r[BLOCK] for r in blocks.rows.collect()} == {-1}
-    assert blocks.hot_rows.count() == 0
-    plan = blocks.with_carry(blocks.rows, blocks.hot_rows.withColumnRenamed("ts", "carried"))
-    assert "Join" not in plan._jdf.queryExecution().executedPlan().toString()
-
-
-def test_rows_of_one_instant_stay_together(spark, at):
-    df = spark.createDataFrame([("a", at(5))] * 100 + [("a", at(6))], "k string, ts timestamp_ntz")
-    found = Blocks(df, ["k"], "ts", rows_per_block=10).rows.groupBy(BLOCK, "ts").count().collect()
-    assert sorted(r["count"] for r in found) == [1, 100]
+@pytest.fixture
+def crowded(spark, at):
+    """A key with most rows at one instant, a null key, and many small keys."""
+    data = [("hot", at(5), i) for i in range(600)] + [("hot", None, -1)]
+    data += [(None, at(i), 1000 + i) for i in range(300)]
+    data += [(f"k{i % 40}", at(i), 2000 + i) for i in range(200)]
+    return spark.createDataFrame(data, "k string, ts timestamp_ntz, n int")
+
+
+def test_hot_and_null_keys_and_bursts_are_cut(crowded):
+    blocks = Blocks(crowded, ["k"], [F.col("ts"), F.col("n")], partitions=20)
+    found = blocks.rows.groupBy("k", BLOCK).agg(F.count("*").alias("n"), F.min("n").alias("a"), F.max("n").alias("b")).collect()
+    assert sum(r["n"] for r in found) == crowded.count()
+    assert max(r["n"] for r in found) < 250
+    assert len([r for r in found if r.k == "hot"]) >= 5 and len([r for r in found if r.k is None]) >= 3
+    burst = sorted((r[BLOCK], r.a, r.b) for r in found if r.k == "hot")
+    assert all(x[2] < y[1] for x, y in zip(burst, burst[1:], strict=False))
+
+
+@pytest.mark.parametrize("partitions", [1, 7, 50])
+def test_carried_counts_do_not_depend_on_the_cuts(crowded, partitions):
+    blocks = Blocks(crowded, ["k"], [F.col("ts"), F.col("n")], partitions)
+    earlier = Window.partitionBy("k").orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = blocks.rows.groupBy(*blocks.by).agg(F.count("*").alias("c"))
+    carry = sizes.select(*blocks.by, F.sum("c").over(earlier).alias("before"))
+    within = F.row_number().over(Window.partitionBy(*blocks.by).orderBy("ts", "n"))
+    rows = blocks.with_carry(blocks.rows.withColumn("at", within), carry)
+    found = {r["n"]: r["at"] + (r["before"] or 0) for r in rows.collect()}
+    plain = F.row_number().over(Window.partitionBy("k").orderBy("ts", "n"))
+    assert found == {r["n"]: r["at"] for r in crowded.withColumn("at", plain).collect()}

@@ -70,24 +70,33 @@ def test_context_keeps_order_and_roles(talk):
 def test_bounded_context_does_not_depend_on_the_cuts(spark, k, size):
     msgs, data = long_chat(spark)
     found = {
-        (r.chat_id, r.turn): (r.history_from, [m.content for m in r.history])
+        (r.chat_id, r.turn): [m.content for m in r.history]
         for r in messages.build_context(msgs, max_turns=k, part_size=size).collect()
     }
     assert found == {
-        (c, t): (max(t - k, 0), [x for c2, t2, _, x in sorted(data) if c2 == c and t - k <= t2 < t])
+        (c, t): [x for c2, t2, _, x in sorted(data) if c2 == c and t - k <= t2 < t]
         for c, t, r, x in data if r == "user"
     }
 
 
 @pytest.mark.parametrize("size", [4, 10, 100])
-def test_unbounded_context_is_whole_with_the_table_before_it(spark, size):
+def test_unbounded_context_is_whole(spark, size):
     msgs, data = long_chat(spark)
     ordered = sorted(data)
     for r in messages.build_context(msgs, part_size=size).collect():
-        before = [x for c, t, _, x in ordered if c == r.chat_id and t < r.history_from]
-        inline = [m.content for m in r.history]
-        assert before + inline == [x for c, t, _, x in ordered if c == r.chat_id and t < r.turn]
-        assert r.turn >= size or r.history_from == 0
+        assert [m.content for m in r.history] == [x for c, t, _, x in ordered if c == r.chat_id and t < r.turn]
+
+
+def test_history_of_a_long_chat_is_whole(spark):
+    """2,500 turns at the default sizes, beside short chats."""
+    data = [("long", t, "user" if t % 50 == 0 else "assistant", f"m{t}") for t in range(2_500)]
+    data += [("short", 0, "user", "a"), ("short", 1, "user", "b"), ("odd", 3, None, "x"), ("odd", 4, "user", "y")]
+    msgs = spark.createDataFrame(data, MSGS)
+    found = {(r.chat_id, r.turn): [m.content for m in r.history] for r in messages.build_context(msgs).collect()}
+    assert found["short", 1] == ["a"] and found["odd", 4] == ["x"]
+    assert all(found["long", t] == [f"m{i}" for i in range(t)] for t in range(0, 2_500, 50))
+    prompts = {(r.chat_id, r.turn): r.prompt for r in messages.build_prompts(msgs).collect()}
+    assert len(prompts["long", 2_450]) == 2_452 and [m.content for m in prompts["odd", 4]][1:] == ["x", "y"]
 
 
 def test_prompts(spark, talk):
@@ -112,7 +121,7 @@ def test_prompts_of_long_chats_keep_their_system_row(spark, size):
     found = messages.build_prompts(spark.createDataFrame(data, MSGS), part_size=size).collect()
     assert len(found) == 11
     for r in found:
-        inline = [f"m{t}" for t in range(max(r.history_from, 1), r.turn)]
+        inline = [f"m{t}" for t in range(1, r.turn)]
         assert [m.content for m in r.prompt] == ["rule", *inline, f"m{r.turn}"]
 
 
@@ -185,7 +194,7 @@ def test_message_validation(spark):
         "missing_content", "empty_content", None, None, "unknown_role", "unknown_role"]
 
 
-@pytest.mark.parametrize("limit", [3, 1000])
+@pytest.mark.parametrize("limit", [40, 1])
 def test_numbering_does_not_depend_on_the_cuts(spark, rows, limit):
     msgs, data = long_chat(spark)
     seen: dict = {}
@@ -193,14 +202,45 @@ def test_numbering_does_not_depend_on_the_cuts(spark, rows, limit):
     for c, t, r, x in sorted(data):
         expected.append((c, r, x, seen.setdefault(c, 0)))
         seen[c] += 1
-    assert rows(messages.number_turns(msgs, rows_per_block=limit)) == sorted(expected, key=repr)
+    assert rows(messages.number_turns(msgs, partitions=limit)) == sorted(expected, key=repr)
 
 
 def test_append_responses(spark, rows):
     msgs = spark.createDataFrame([("a", 0, "user", "q"), ("b", 0, "user", "q")], MSGS)
-    replies = spark.createDataFrame([("a", "r"), ("none", "r")], "chat_id string, content string")
-    assert rows(messages.append_responses(msgs, replies)) == [
-        ("a", 0, "user", "q"), ("a", 1, "assistant", "r"), ("b", 0, "user", "q")]
+    replies = spark.createDataFrame(
+        [("a", 0, "r", None), ("a", 0, "s", None), ("none", 0, "r", None), ("b", 0, None, "Broken: x"), ("b", 7, "r", None)],
+        "chat_id string, turn long, response string, error string")
+    appended, rejected = messages.append_responses(msgs, replies)
+    assert rows(appended) == [("a", 0, "user", "q"), ("a", 1, "assistant", "r"), ("b", 0, "user", "q")]
+    assert sorted((r.chat_id, r.turn, r.reason) for r in rejected.collect()) == [
+        ("a", 0, "repeated"), ("b", 0, "failed"), ("b", 7, "unknown_turn"), ("none", 0, "unknown_turn")]
+
+
+def test_answers_go_back_into_the_chat(spark):
+    """Generated rows are appended as they are, each after its own question."""
+    from convoframe.operators import generate
+
+    msgs = spark.createDataFrame(
+        [("a", 0, "user", "q0"), ("a", 1, "user", "q1"), ("a", 2, "assistant", "old")], MSGS
+    ).withColumn("model", F.lit("m")).withColumn("temperature", F.lit(0.5))
+
+    def make():
+        return lambda prompt, model, temperature: f"{model} {temperature} {prompt[-1]['content']}"
+
+    answers = generate.batch_generate(messages.build_prompts(msgs), make, with_columns=("model", "temperature"))
+    assert answers.columns == ["chat_id", "turn", "model", "temperature", "response", "error"]
+    appended, rejected = messages.append_responses(msgs, answers)
+    found = [(r.turn, r.role, r.content) for r in appended.orderBy("turn").collect()]
+    assert found == [(0, "user", "q0"), (1, "assistant", "m 0.5 q0"), (2, "user", "q1"), (3, "assistant", "m 0.5 q1"),
+                     (4, "assistant", "old")]
+    assert rejected.count() == 0
+
+
+def test_numbering_by_text_and_date(spark):
+    data = [("a", "x", "2024-01-02"), ("a", "b", "2024-01-03"), ("a", "m", "2024-01-01")]
+    df = spark.createDataFrame(data, "chat_id string, name string, day string").withColumn("day", F.to_date("day"))
+    assert {r.name: r.turn for r in messages.number_turns(df, "name").collect()} == {"b": 0, "m": 1, "x": 2}
+    assert {r.name: r.turn for r in messages.number_turns(df, "day").collect()} == {"m": 0, "x": 1, "b": 2}
 
 
 def test_collisions(spark, rows):

@@ -152,3 +152,9 @@ def test_chat_ids_do_not_depend_on_the_zone(spark, zone):
         assert [r.t for r in odd.select(ids.chat_id_to_ts(F.col("i")).alias("t")).collect()] == [None] * 3
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_a_deeply_nested_text_is_no_json(spark):
+    df = spark.createDataFrame([("[" * 200_000,), ('x {"a": 1} y',), ("{" * 200_000 + "}" * 200_000,)], "raw string")
+    found = logs.extract_json(df).collect()
+    assert len(found) == 3

@@ -187,3 +187,26 @@ def test_autosave_equals_the_batch_table(spark, tmp_path, rows):
     expected = [("a", 0, "user", "edited", 5), ("a", 1, "assistant", "reply", 3), ("b", 0, "user", "x", 4)]
     assert rows(current) == expected
     assert rows(run()) == expected
+
+
+def test_two_streams_save_to_one_table(spark, tmp_path, rows):
+    """Streams with checkpoints of their own, on one path: neither replaces the other's batches."""
+    kind = MSGS
+    path = str(tmp_path / "table")
+    for name, content in (("one", "a"), ("two", "b")):
+        source = str(tmp_path / name)
+        spark.createDataFrame([(name, 0, "user", content)], kind).write.parquet(source)
+        stream = spark.readStream.schema(kind).parquet(source)
+        for _ in range(2):
+            run = autosave.stream_autosave(stream, path, str(tmp_path / f"cp-{name}"), available_now=True)
+            run.awaitTermination()
+    assert rows(autosave.read_autosave(spark, path, stream.schema)) == [("one", 0, "user", "a"), ("two", 0, "user", "b")]
+
+
+def test_a_message_saved_twice_needs_a_version(spark, tmp_path):
+    source = str(tmp_path / "in")
+    spark.createDataFrame([("a", 0, "user", "x"), ("a", 0, "user", "y")], MSGS).coalesce(1).write.parquet(source)
+    stream = spark.readStream.schema(MSGS).parquet(source)
+    run = autosave.stream_autosave(stream, str(tmp_path / "t"), str(tmp_path / "cp"), available_now=True)
+    with pytest.raises(Exception, match="version"):
+        run.awaitTermination()

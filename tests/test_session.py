@@ -17,14 +17,10 @@ def test_the_named_folder_is_used():
     assert shared_dir(fake("yarn", {}, "hdfs:///other")) == "hdfs:///other"
 
 
-def test_a_cluster_needs_a_shared_folder():
+@pytest.mark.parametrize("master", ["yarn", "local[2]"])
+def test_a_shared_folder_must_be_named(master):
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        shared_dir(fake("yarn", {}))
-
-
-def test_a_local_session_gets_one_folder():
-    session = fake("local[2]", {})
-    assert shared_dir(session) == shared_dir(session)
+        shared_dir(fake(master, {}))
 
 
 def test_materialised_rows_come_from_files(spark, rows):

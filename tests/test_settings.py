@@ -82,9 +82,9 @@ def brute_force(changes, asked):
     return after, seen
 
 
-@pytest.mark.parametrize("limit", [5, 40, 10**6])
+@pytest.mark.parametrize("limit", [40, 5, 1])
 def test_hot_sessions_do_not_change_results(spark, at, limit):
-    """One session holds most events, many at one instant; small limits cut it into blocks."""
+    """One session holds most events, many at one instant; many ranges cut it into blocks."""
     rng = random.Random(limit)
 
     def maybe(value):
@@ -100,8 +100,8 @@ def test_hot_sessions_do_not_change_results(spark, at, limit):
              for e in range(2000, 2100)]
     after, seen = brute_force(changes, asked)
     changed = spark.createDataFrame(changes, EVENTS)
-    found = settings.effective_settings(changed, rows_per_block=limit).collect()
+    found = settings.effective_settings(changed, partitions=limit).collect()
     assert {r.event_id: tuple(r)[3:] for r in found} == after
     msgs = spark.createDataFrame(asked, "session_id string, event_id bigint, ts timestamp_ntz")
-    found = settings.settings_at(msgs, changed, rows_per_block=limit).collect()
+    found = settings.settings_at(msgs, changed, partitions=limit).collect()
     assert {r.event_id: tuple(r)[3:] for r in found} == seen

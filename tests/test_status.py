@@ -44,12 +44,12 @@ def test_time_to_state(spark, at):
     assert polled[8] == ("ready", 65.25, "1m 30s elapsed")
 
 
-@pytest.mark.parametrize("limit", [4, 50, 10**6])
+@pytest.mark.parametrize("limit", [40, 5, 1])
 def test_hot_apps_do_not_change_results(spark, at, limit):
     rng = random.Random(limit)
     data = [("hot" if rng.random() < 0.6 else f"a{rng.randrange(5)}", e, at(rng.randrange(2000)),
              rng.choice("SSR-")) for e in range(400)]
-    found = status.time_to_state(spark.createDataFrame(data, STATUS), start(), ready(), 20, rows_per_block=limit)
+    found = status.time_to_state(spark.createDataFrame(data, STATUS), start(), ready(), 20, partitions=limit)
     expected = {}
     for app, e, ts, state in data:
         if state == "S":
