@@ -11,7 +11,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from convoframe.plans import QUERIES  # noqa: E402
-from convoframe.session import build_session  # noqa: E402
+from convoframe.session import build_session, cleanup  # noqa: E402
 
 HEADLINE = [
     "titled_listing",
@@ -54,7 +54,7 @@ def main() -> None:
             "spark.driver.memory": "12g",
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
-            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="bench-"),
+            "spark.checkpoint.dir": os.environ.get("BENCH_SHARED_DIR") or tempfile.mkdtemp(prefix="bench-"),
         },
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -75,6 +75,7 @@ def main() -> None:
             }
         )
     )
+    cleanup(spark)
     spark.stop()
 
 

@@ -14,9 +14,6 @@ Documents with the same text are indexed and scored once, and so are questions w
 a group of copies, however large, is one row until the end, where only its first ``k`` documents can
 be among the best.
 
-With few enough pairs of a question's term and a document that has it (their number is known before
-any is formed) the plain join is quicker, and is used.
-
 Contributions are rounded to millionths and summed as whole numbers, so the order of summation, and
 with it the partitioning, cannot change a score or a rank.
 """
@@ -37,8 +34,6 @@ _SCALE = 1_000_000
 # Rarest terms of a question whose best documents give the bound. More terms tighten the bound;
 # the result is the same for any number.
 _SEED_TERMS = 4
-# Up to so many (question, term, document) pairs are joined without looking for bounds.
-_DIRECT_PAIRS = 20_000_000
 # Terms fetch no candidates while their largest contributions add up to less than this share of the
 # bound. A larger share means fewer candidates to fetch, but more of them to look up.
 _SPARE = 0.4
@@ -247,9 +242,11 @@ def search_documents(
     index = docs if isinstance(docs, SearchIndex) else index_documents(docs)
     others = [c for c in queries.columns if c != text_col]
     term_set = F.array_sort(F.array_distinct(rules.tokens(F.col(text_col))))
+    # Written, so that the questions are read and cut into terms once.
     keyed = queries.select(*others, term_set.alias("_terms")).withColumn(
         "_key", F.sha2(F.array_join("_terms", " "), 256)
     )
+    keyed = materialise(keyed, "asked")
     # Tables that number their rows are written once, so that the numbers stay the same.
     asked = materialise(
         keyed.groupBy("_key")
@@ -271,12 +268,7 @@ def search_documents(
         .select("_q", "term_id", "n_texts"),
         "question-terms",
     )
-    n_pairs = q_terms.agg(F.sum("n_texts")).first()[0] or 0
-    scored = (
-        _all_scores(q_terms, weights)
-        if n_pairs <= _DIRECT_PAIRS
-        else _scores_that_matter(q_terms, weights, k)
-    )
+    scored = _scores_that_matter(q_terms, weights, k)
     texts = materialise(_best(scored, k).select("_q", "doc_id", "points"), "hits")
     hits = _best(_with_copies(texts, index, k), k)
     found = asked.select("_key", "_q").join(hits, "_q")
