@@ -229,7 +229,8 @@ def read_records(manifest: DataFrame, folder: str) -> DataFrame:
     placed = manifest.select(
         "part", "file", "bytes", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("start")
     )
-    files = placed.repartitionByRange("part")
+    # One task for each file; a repartition without a number would be merged to one task for all.
+    files = placed.repartition(max(1, manifest.count()))
     return files.mapInArrow(_reader(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
