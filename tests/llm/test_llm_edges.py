@@ -351,7 +351,7 @@ def test_records_of_odd_rows(spark, odd, none):
 def test_pieces_of_odd_rows(spark, odd, none):
     file = queries.vocabulary(queries.PIECES)
     pieces = Pieces.load(file)
-    texts = ["a  b", " lead", "tail ", "   ", "é😀\n\n漢字", "<s> </s>", "x" * 500, "tab\tand\r\n", "ab " * 40, None, "▁"]
+    texts = ["a  b", " lead", "tail ", "   ", "é😀\n\n漢字", "<s> </s>", "x" * 500, "tab\tand\r\n", "ab " * 40, None, "▁", "a\0b \0\0 c"]
     rows = [(i, t) for i, t in enumerate(texts)]
     found = {r.doc_id: r.ids for r in encode(table(spark, rows).withColumn("ids", F.lit(1)), file, buckets=3).collect()}
     for i, text in rows:
@@ -360,6 +360,8 @@ def test_pieces_of_odd_rows(spark, odd, none):
     back = {r.doc_id: r.text for r in decode(encode(table(spark, rows), file), file).collect()}
     assert all(back[i] == (t or "").replace(SPACE, " ") for i, t in rows)
     assert encode(odd, file).count() == odd.count()
+    (alone,) = encode(table(spark, [(1, "\0")]), file).collect()
+    assert alone.ids == pieces.best_path(SPACE + "\0")
     assert encode(none, file).count() == 0 and decode(encode(none, file), file).count() == 0
 
 
