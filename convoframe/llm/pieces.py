@@ -6,7 +6,7 @@ of bounded length are exploded and equi-joined to the piece table; the edges of
 Spark's ``aggregate`` folds them to the path with the largest sum of scores (of equal sums the one whose last
 piece begins first). Letters without a piece cost less than any piece and become byte pieces.
 
-Units travel, texts do not: each block gets the paths of its own units back as files in the shared
+Units and their hashes travel, texts do not: each block gets the paths of its own units back as files in the shared
 folder, and a second scan of the documents looks them up. A block is a run of rows of one source file, known
 by the file's name and the row's place in it, and so the same in every scan.
 """
@@ -19,24 +19,32 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyarrow import fs as pafs
+from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convoframe.llm.common import small_batches
-from convoframe.llm.features import spread
 from convoframe.session import materialise, scratch_path
 
 SPACE = "▁"
 # Rows of a file that share a dictionary of units.
-BLOCK_ROWS = 16_384
+BLOCK_ROWS = 8_192
+# Bytes of text that a task cuts at once.
+BATCH_BYTES = 4_000_000
 # Longer units (no such word is in a language) are folded in Python, in time linear in their length.
 LONGEST_UNIT = 64
 
+_TAIL = ".,!?;:|#$%&*"
+
+# Stands between units in a text of many. No piece holds it, so that it is in no other unit than itself.
+BREAK = "\x00"
+
 
 @dataclass
 class Pieces:
@@ -63,6 +71,11 @@ class Pieces:
         rows = zip(self.names, self.scores, self.normal, strict=True)
         return {n: (i, s) for i, (n, s, ok) in enumerate(rows) if ok}
 
+    @property
+    def id_type(self) -> pa.DataType:
+        """Two bytes for an id where they are enough."""
+        return pa.int16() if len(self.names) < 1 << 15 else pa.int32()
+
     @functools.cached_property
     def longest(self) -> int:
         return max(map(len, self.table))
@@ -88,6 +101,11 @@ class Pieces:
             out.append(text[start:])
         return out
 
+    @functools.cached_property
+    def tails_apart(self) -> bool:
+        """Whether no piece spans a letter and one of the signs that end most chunks."""
+        return not any(pair[0].isalpha() and pair[1] in _TAIL for pair in self.joined)
+
     def bytes_of(self, letter: str) -> list[int]:
         return [self.byte_ids[b] for b in letter.encode()]
 
@@ -111,8 +129,12 @@ class Pieces:
         return out
 
 
-def _cut(texts: pa.Array, pieces: Pieces, cache: dict[str, list[str]]) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Units of each text in order: (row offsets, code of each unit, distinct units)."""
+def _cut(texts: pa.Array, pieces: Pieces) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Units of each text in order: (row offsets, code of each unit, units).
+
+    Letters with a tail of signs, as most chunks between spaces are, are cut there, all at once; other chunks
+    are cut letter by letter.
+    """
     texts = pc.fill_null(texts, "").cast(pa.large_string())
     texts = pc.replace_substring(texts, SPACE, " ")
     lists = pc.split_pattern(texts, " ")
@@ -120,67 +142,105 @@ def _cut(texts: pa.Array, pieces: Pieces, cache: dict[str, list[str]]) -> tuple[
     coded = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
     offsets = offsets - offsets[0]
     codes = coded.indices.to_numpy(zero_copy_only=False)
-    places: dict[str, int] = {}
-    flat, ends = [], [0]
+    chunks = coded.dictionary.cast(pa.string())
+    bodies = pc.utf8_rtrim(chunks, characters=_TAIL)
+    plain = pc.utf8_is_alpha(bodies).to_numpy(zero_copy_only=False) & pieces.tails_apart
+    signs = plain & pc.not_equal(pc.binary_length(bodies), pc.binary_length(chunks)).to_numpy(zero_copy_only=False)
+    marked = pc.binary_join_element_wise(SPACE, bodies.filter(pa.array(plain)), "").dictionary_encode()
+    units = marked.dictionary
+
+    # Units of tails and of the other chunks, as numbers after those of the marked bodies.
+    others: dict[str, int] = {}
+
+    def number(unit: str) -> int:
+        return others.setdefault(unit, len(units) + len(others))
+
+    lengths = np.ones(len(chunks), dtype=np.int64)
+    parts: dict[int, list[int]] = {}
+    tails: dict[str, list[int]] = {}
+    tailed = np.flatnonzero(signs)
+    ends = pc.utf8_length(bodies.take(pa.array(tailed))).to_pylist()
+    for at, chunk, end in zip(tailed.tolist(), chunks.take(pa.array(tailed)).to_pylist(), ends, strict=True):
+        own = tails.get(chunk[end:])
+        if own is None:
+            own = tails[chunk[end:]] = [number(u) for u in pieces.units(chunk[end:])]
+        parts[at] = own
+    rest = np.flatnonzero(~plain)
     empty = -1
-    for at, chunk in enumerate(coded.dictionary.to_pylist()):
+    for at, chunk in zip(rest.tolist(), chunks.take(pa.array(rest)).to_pylist(), strict=True):
         if chunk == "":
             empty = at
-        own = cache.get(chunk)
-        if own is None:
-            own = cache[chunk] = pieces.units(SPACE + chunk)
-        flat.extend(places.setdefault(u, len(places)) for u in own)
-        ends.append(len(flat))
-    starts, flat = np.array(ends), np.array(flat, dtype=np.int64)
-    owner, at = spread(codes, starts)
-    unit_codes = flat[at]
-    counts = np.concatenate([[0], np.cumsum((starts[1:] - starts[:-1])[codes])])
-    unit_offsets = counts[offsets]
+        parts[at] = [number(u) for u in pieces.units(SPACE + chunk)]
+    held = np.fromiter(parts, dtype=np.int64, count=len(parts))
+    sizes = np.fromiter(map(len, parts.values()), dtype=np.int64, count=len(parts))
+    more = np.fromiter((n for own in parts.values() for n in own), dtype=np.int64, count=int(sizes.sum()))
+    lengths[held] = sizes + plain[held]
+    starts = np.concatenate([[0], np.cumsum(lengths)])
+    flat = np.empty(int(starts[-1]), dtype=np.int64)
+    flat[starts[:-1][plain]] = marked.indices.to_numpy(zero_copy_only=False)
+    flat[_ranges(starts[:-1][held] + plain[held], sizes)] = more
+
+    unit_codes = flat[_ranges(starts[codes], lengths[codes])]
+    unit_offsets = np.concatenate([[0], np.cumsum(lengths[codes])])[offsets]
     # Runs of spaces may be pieces of their own: texts with an empty chunk are cut as a whole.
     if empty >= 0:
         rows = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-        odd = np.unique(rows[codes == empty])
-        parts = np.split(unit_codes, unit_offsets[1:-1])
-        for row in odd.tolist():
+        known = {u: i for i, u in enumerate(units.to_pylist())}
+        whole = np.split(unit_codes, unit_offsets[1:-1])
+        for row in np.unique(rows[codes == empty]).tolist():
             text = texts[row].as_py()
-            whole = pieces.units(SPACE + text.replace(" ", SPACE)) if text else []
-            parts[row] = np.array([places.setdefault(u, len(places)) for u in whole], dtype=np.int64)
-        unit_offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-        unit_codes = np.concatenate(parts) if parts else unit_codes
-    if len(cache) > 500_000:
-        cache.clear()
-    return unit_offsets, unit_codes, list(places)
+            own = pieces.units(SPACE + text.replace(" ", SPACE)) if text else []
+            whole[row] = np.array([known[u] if u in known else number(u) for u in own], dtype=np.int64)
+        unit_offsets = np.concatenate([[0], np.cumsum([len(p) for p in whole])])
+        unit_codes = np.concatenate(whole)
+    return unit_offsets, unit_codes, pa.concat_arrays([units, pa.array(list(others), pa.string())])
 
 
-def _bucket(unit: str, buckets: int) -> int:
-    import xxhash
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of consecutive ranges."""
+    first = np.concatenate([[0], np.cumsum(lengths)])[:-1]
+    return np.arange(int(lengths.sum())) - np.repeat(first - starts, lengths)
 
-    return xxhash.xxh3_64_intdigest(unit.encode("utf-8", "surrogatepass")) % buckets
+
+def _hashes(units: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each unit, the same in every process."""
+    if not len(units):
+        return np.zeros(0, dtype=np.uint64)
+    return pd.util.hash_array(units.to_numpy(zero_copy_only=False), categorize=False)
 
 
 def _gather(pieces: Pieces, buckets: int):
-    """(block, text) to (block, bucket, units): the distinct units of each block."""
-
-    def rows(block: int, seen: set[str]) -> pa.RecordBatch:
-        by: dict[int, list[str]] = {}
-        for unit in seen:
-            by.setdefault(_bucket(unit, buckets), []).append(unit)
-        order = sorted(by)
-        lists = [sorted(by[b]) for b in order]
-        arrays = [pa.array([block] * len(order), pa.int64()), pa.array(order, pa.int32()), pa.array(lists, pa.list_(pa.string()))]
+    """(block, text) to (block, bucket, units): the distinct units of each block, as one text for each bucket."""
+
+    def rows(block: int, seen: list[pa.Array]) -> pa.RecordBatch:
+        units = pc.unique(pa.concat_arrays(seen))
+        units = units.filter(pc.not_equal(units, BREAK))
+        bucket = (_hashes(units) % np.uint64(buckets)).astype(np.int32)
+        order = pc.sort_indices(pa.table([pa.array(bucket), units], names=["b", "u"]), [("b", "ascending"), ("u", "ascending")])
+        bucket, units = bucket[order.to_numpy()], units.take(order)
+        if not len(units):
+            bucket, units = np.zeros(1, dtype=np.int32), pa.array([""])
+        cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+        # One text for each bucket, headed by where it is from: as one column it is shuffled once for both uses.
+        lists = pa.ListArray.from_arrays(pa.array([*cuts, len(units)], pa.int32()), units)
+        head = f"{block}:{TaskContext.get().partitionId()}{BREAK}"
+        joined = pc.binary_join_element_wise(head, pc.binary_join(lists, BREAK), "")
+        arrays = [pa.array([block] * len(cuts), pa.int64()), pa.array(bucket[cuts], pa.int32()), joined]
         return pa.RecordBatch.from_arrays(arrays, names=["block", "bucket", "units"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, seen, cache = None, set(), {}
+        block, seen = None, []
         for whole in batches:
-            for batch in small_batches([whole], "text"):
+            for batch in small_batches([whole], "text", BATCH_BYTES):
                 for part in _by_block(batch):
                     now = part.column(0)[0].as_py()
                     if now != block:
                         if seen:
                             yield rows(block, seen)
-                        block, seen = now, set()
-                    seen.update(_cut(part.column(1), pieces, cache)[2])
+                        block, seen = now, []
+                    units = _cut(part.column(1), pieces)[2]
+                    # Kept distinct, so that a block holds its units once.
+                    seen = [pc.unique(pa.concat_arrays([*seen, units]))]
         if seen:
             yield rows(block, seen)
 
@@ -203,16 +263,27 @@ def piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
     return spark.createDataFrame(pa.table(columns, names=["piece", "id", "score"]))
 
 
-def _fold(edges: Column, size: Column) -> Column:
-    """Piece ids (-1 - start for a letter without piece) of the best path over sorted edges (e, s, score, id)."""
-    start = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("s"), F.lit(0).alias("id")))
+# An edge as one number, sorted by end and then start: end, start, and the piece's id (0: a letter without one).
+_START, _END = 1 << 20, 1 << 27
+
+
+def _fold(edges: Column, size: Column, scores: Column) -> Column:
+    """Piece ids (-1 - start for a letter without piece) of the best path over sorted edges.
+
+    ``scores`` has a score for each id, from 1 on, and that of a letter without piece first.
+    """
+    start = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("edge")))
+
+    def begin(edge: Column) -> Column:
+        return F.floor((edge % _END) / _START).cast("int")
 
     def step(best: Column, edge: Column) -> Column:
-        score = F.get(best, edge["s"])["score"] + edge["score"]
-        new = F.array(F.struct(score.alias("score"), edge["s"].alias("s"), edge["id"].alias("id")))
+        score = F.get(best, begin(edge))["score"] + F.get(scores, (edge % _START).cast("int"))
+        new = F.array(F.struct(score.alias("score"), edge.alias("edge")))
+        end = F.floor(edge / _END).cast("int")
         return (
-            F.when(F.size(best) == edge["e"], F.concat(best, new))
-            .when(score > F.element_at(best, -1)["score"], F.concat(F.slice(best, 1, edge["e"]), new))
+            F.when(F.size(best) == end, F.concat(best, new))
+            .when(score > F.element_at(best, -1)["score"], F.concat(F.slice(best, 1, end), new))
             .otherwise(best)
         )
 
@@ -221,9 +292,11 @@ def _fold(edges: Column, size: Column) -> Column:
     path = F.struct(size.alias("at"), F.array().cast("array<int>").alias("ids"), best.alias("best"))
 
     def back(held: Column, end: Column) -> Column:
-        here = F.get(held["best"], end)
+        edge = F.get(held["best"], end)["edge"]
+        number = (edge % _START).cast("int")
+        piece = F.when(number == 0, -1 - begin(edge)).otherwise(number - 1)
         took = F.struct(
-            here["s"].alias("at"), F.concat(F.array(here["id"]), held["ids"]).alias("ids"), held["best"].alias("best")
+            begin(edge).alias("at"), F.concat(F.array(piece), held["ids"]).alias("ids"), held["best"].alias("best")
         )
         return F.when(held["at"] == end, took).otherwise(held)
 
@@ -240,33 +313,92 @@ def best_paths(units: DataFrame, pieces: Pieces) -> DataFrame:
     # The piece table has as many rows as its file, whatever the corpus.
     table = F.broadcast(piece_table(units.sparkSession, pieces))
     matched = spans.join(table, "piece", "left").where("id is not null or n = 1")
-    edge = F.struct(
-        (F.col("s") + F.col("n")).alias("e"),
-        F.col("s"),
-        F.coalesce("score", F.lit(pieces.unknown)).alias("score"),
-        F.coalesce("id", -1 - F.col("s")).alias("id"),
+    number = F.coalesce(F.col("id") + 1, F.lit(0)).cast("long")
+    edge = (F.col("s") + F.col("n")).cast("long") * _END + F.col("s").cast("long") * _START + number
+    # The edges of a unit stand together from here on; its first one, of its first letter, carries it.
+    opens = (F.col("s") == 0) & (F.col("n") == 1)
+    edges = matched.select(
+        F.when(opens, F.col("bucket")).alias("bucket"), F.when(opens, F.col("unit")).alias("unit"), edge.alias("edge")
     )
-    lattice = matched.groupBy("bucket", "unit").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
-    return lattice.select("bucket", "unit", _fold(F.col("edges"), size).alias("ids"))
+    lattice = edges.mapInArrow(_group_edges, "bucket int, unit string, edges array<long>")
+    # One score for each row of the vocabulary file, as a constant of the plan.
+    scores = F.split(F.lit(",".join(map(repr, [pieces.unknown, *pieces.scores]))), ",").cast("array<double>")
+    return lattice.select("bucket", "unit", _fold(F.col("edges"), size, scores).alias("ids"))
+
+
+def _group_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Consecutive edges to one row for each unit, its edges sorted."""
+
+    def grouped(batch: pa.RecordBatch) -> pa.RecordBatch:
+        edges = batch.column(2).to_numpy(zero_copy_only=False)
+        opens = np.flatnonzero(pc.is_valid(batch.column(1)).to_numpy(zero_copy_only=False))
+        owner = np.cumsum(np.isin(np.arange(len(edges)), opens, assume_unique=True)) - 1
+        edges = edges[np.lexsort((edges, owner))]
+        lists = pa.ListArray.from_arrays(pa.array([*opens, len(edges)], pa.int32()), pa.array(edges))
+        columns = [batch.column(c).take(pa.array(opens)) for c in (0, 1)]
+        return pa.RecordBatch.from_arrays([*columns, lists], names=["bucket", "unit", "edges"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        opens = np.flatnonzero(pc.is_valid(batch.column(1)).to_numpy(zero_copy_only=False))
+        if not len(opens):
+            held.append(batch)
+            continue
+        last = int(opens[-1])
+        before = pa.Table.from_batches([*held, batch.slice(0, last)]).combine_chunks()
+        for part in before.to_batches():
+            yield grouped(part)
+        held = [batch.slice(last)]
+    if held:
+        for part in pa.Table.from_batches(held).combine_chunks().to_batches():
+            yield grouped(part)
 
 
 def _deal(pieces: Pieces):
-    """The paths of a bucket's units, for each block that asked: (block, units, ids, ends)."""
+    """The paths of a bucket's units, for each block that asked: (block, part, bucket, ids, lengths) in the
+    order of the units that it sent."""
 
     def run(asked: pa.Table, paths: pa.Table) -> pa.Table:
-        names = paths.column("unit").to_pylist()
-        ids = paths.column("ids").to_pylist()
-        known: dict[str, list[int]] = {}
-        for unit, path in zip(names, ids, strict=True):
-            known[unit] = _bytes_in(pieces, unit, path) if min(path) < 0 else path
+        units = paths.column("unit").combine_chunks()
+        lists = paths.column("ids").combine_chunks()
+        flat = [lists.values.to_numpy(zero_copy_only=False)] if len(units) else []
+        bounds = lists.offsets.to_numpy().astype(np.int64) if len(units) else np.zeros(1, dtype=np.int64)
+        starts, lengths = bounds[:-1].copy(), np.diff(bounds)
+        total = int(bounds[-1])
+
+        def put(place: int, path: list[int]) -> None:
+            nonlocal total
+            flat.append(np.array(path, dtype=np.int32))
+            starts[place], lengths[place] = total, len(path)
+            total += len(path)
+
+        # Letters without a piece become bytes.
+        owner = np.repeat(np.arange(len(units)), lengths)
+        for place in np.unique(owner[flat[0][bounds[0] :][: len(owner)] < 0]).tolist() if flat else ():
+            path = flat[0][starts[place] : starts[place] + lengths[place]].tolist()
+            put(place, _bytes_in(pieces, units[place].as_py(), path))
+        # Units too long for the fold are not among the paths.
+        wanted = pc.split_pattern(asked.column("units").combine_chunks(), BREAK)
+        heads = [own[0].as_py().split(":") for own in wanted]
+        wanted = [own.values.slice(1) for own in wanted]
+        every = pc.unique(pa.concat_arrays(wanted))
+        missing = every.filter(pc.is_null(pc.index_in(every, value_set=units))).to_pylist()
+        units = pa.concat_arrays([units.cast(pa.string()), pa.array(missing, pa.string())])
+        at = len(starts)
+        starts, lengths = (np.concatenate([x, np.zeros(len(missing), dtype=np.int64)]) for x in (starts, lengths))
+        for place, unit in enumerate(missing, at):
+            put(place, pieces.best_path(unit))
+        values = np.concatenate(flat) if flat else np.zeros(0, dtype=np.int32)
         out = []
-        for block, units in zip(asked.column("block").to_pylist(), asked.column("units").to_pylist(), strict=True):
-            found = [known.get(u) or pieces.best_path(u) for u in units]
-            out.append((block, units, [i for path in found for i in path], np.cumsum([len(p) for p in found]).tolist()))
-        columns = list(zip(*out, strict=True)) or [[], [], [], []]
-        kinds = (pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()))
+        buckets = asked.column("bucket").to_pylist()
+        for (block, part), bucket, own in zip(heads, buckets, wanted, strict=True):
+            place = pc.index_in(own, value_set=units).to_numpy()
+            ids = values[_ranges(starts[place], lengths[place])]
+            out.append((int(block), int(part), bucket, ids, lengths[place]))
+        columns = list(zip(*out, strict=True)) or [[], [], [], [], []]
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pieces.id_type), pa.list_(pa.int32()))
         arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-        return pa.table(arrays, names=["block", "units", "ids", "ends"])
+        return pa.table(arrays, names=["block", "part", "bucket", "ids", "lengths"])
 
     return run
 
@@ -278,40 +410,58 @@ def _bytes_in(pieces: Pieces, unit: str, path: list[int]) -> list[int]:
     return out
 
 
-def _look_up(pieces: Pieces, folder: str):
-    """(block, key, text) to (key, ids) by the block's dictionary in the shared folder."""
-
-    def load(block: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-        store, path = pafs.FileSystem.from_uri(folder)
-        held = pq.read_table(f"{path}/block={block}", filesystem=store, partitioning=None, columns=["units", "ids", "ends"])
-        units, ids, starts, total = [], [], [np.zeros(1, dtype=np.int64)], 0
-        for u, i, e in zip(*(held.column(c).combine_chunks() for c in ("units", "ids", "ends")), strict=True):
-            units.append(u.values)
-            ids.append(i.values.to_numpy())
-            starts.append(e.values.to_numpy().astype(np.int64) + total)
-            total += len(i.values)
-        return pa.concat_arrays(units), np.concatenate(ids), np.concatenate(starts)
+def _look_up(pieces: Pieces, asked: str, folder: str):
+    """(block, key, text) to (key, ids) by the units that the block sent and the paths that it got."""
+
+    def load(block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        def read(place: str, columns: list[str]) -> pa.Table:
+            store, path = pafs.FileSystem.from_uri(place)
+            return pq.read_table(f"{path}/block={block}", filesystem=store, partitioning=None, columns=columns)
+
+        sent = {}
+        for row in read(asked, ["bucket", "units"]).to_pylist():
+            head, units = row["units"].split(BREAK, 1)
+            sent[int(head.split(":")[1]), row["bucket"]] = units
+        units, ids, lengths = [], [], []
+        got = read(folder, ["part", "bucket", "ids", "lengths"]).combine_chunks()
+        keys = zip(got.column("part").to_pylist(), got.column("bucket").to_pylist(), strict=True)
+        for key, i, n in zip(keys, got.column("ids"), got.column("lengths"), strict=True):
+            if sent[key]:
+                units.append(sent[key])
+                ids.append(i.values.to_numpy())
+                lengths.append(n.values.to_numpy())
+        every = pc.split_pattern(pa.array([BREAK.join(units)] if units else [], pa.large_string()), BREAK).values
+        # The unit that stands between the others is not sent.
+        path = np.array(pieces.best_path(BREAK))
+        names = np.concatenate([_hashes(every), _hashes(pa.array([BREAK]))])
+        ids.append(path)
+        lengths = np.concatenate([*lengths, [len(path)]])
+        starts = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])[:-1]
+        # A unit that two parts of a block sent has the same path twice.
+        names, order = np.unique(names, return_index=True)
+        pa.default_memory_pool().release_unused()
+        return names, np.concatenate(ids), starts[order], lengths[order]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, names, ids, starts, cache = None, None, None, None, {}
+        block, names, ids, starts, lengths = None, None, None, None, None
         for whole in batches:
-            for batch in small_batches([whole], "text"):
+            for batch in small_batches([whole], "text", BATCH_BYTES):
                 for part in _by_block(batch):
-                    offsets, codes, units = _cut(part.column(2), pieces, cache)
-                    if not units:
+                    offsets, codes, units = _cut(part.column(2), pieces)
+                    if not len(units):
                         flat, counts = np.zeros(0, dtype=np.int32), np.zeros(1, dtype=np.int64)
                     else:
                         now = part.column(0)[0].as_py()
                         if now != block:
-                            block, (names, ids, starts) = now, load(now)
-                        place = pc.index_in(pa.array(units, pa.string()), value_set=names.cast(pa.string()))
-                        if place.null_count:
+                            block, (names, ids, starts, lengths) = now, load(now)
+                        own = _hashes(units)
+                        place = np.minimum(np.searchsorted(names, own), len(names) - 1)
+                        if (names[place] != own).any():
                             raise ValueError(f"block {now} lacks units; was the source changed between scans?")
-                        ranges = place.to_numpy(zero_copy_only=False)[codes]
-                        _, at = spread(ranges, starts)
-                        flat = ids[at]
-                        counts = np.concatenate([[0], np.cumsum((starts[1:] - starts[:-1])[ranges])])
-                    lists = pa.ListArray.from_arrays(pa.array(counts[offsets], pa.int32()), pa.array(flat, pa.int32()))
+                        place = place[codes]
+                        flat = ids[_ranges(starts[place], lengths[place])]
+                        counts = np.concatenate([[0], np.cumsum(lengths[place], dtype=np.int64)])
+                    lists = pa.ListArray.from_arrays(pa.array(counts[offsets], pa.int32()), pa.array(flat).cast(pa.int32()))
                     yield pa.RecordBatch.from_arrays([part.column(1), lists], names=["key", "ids"])
 
     return run
@@ -333,53 +483,72 @@ def encode(docs: DataFrame, file: str, key: str = "doc_id", buckets: int | None
     spaces are marked; nothing else is normalised. Null and empty texts have no ids. Rows are encoded one by
     one, repeated or not; other columns are not read. An empty table gives an empty table.
     """
+    return _encoded(docs, file, key, buckets, False)
+
+
+def encode_and_decode(docs: DataFrame, file: str, key: str = "doc_id", buckets: int | None = None) -> DataFrame:
+    """(``key``, ids, text): as ``encode``, and the text that ``decode`` gives for the ids, in one pass."""
+    return _encoded(docs, file, key, buckets, True)
+
+
+def _encoded(docs: DataFrame, file: str, key: str, buckets: int | None, back: bool) -> DataFrame:
     spark = docs.sparkSession
     pieces = Pieces.load(file)
     buckets = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = dict(docs.dtypes)[key]
     source = _placed(docs.select(key, "text") if key != "text" else docs.select("text"))
     source = source.select(F.col("__block").alias("block"), F.col(key).alias("key"), "text")
-    asked = source.select("block", "text").mapInArrow(_gather(pieces, buckets), "block long, bucket int, units array<string>")
-    asked = materialise(asked, "units")
-    every = asked.repartition("bucket").select("bucket", F.explode("units").alias("unit")).distinct()
-    paths = best_paths(every.where(F.length("unit") <= LONGEST_UNIT), pieces)
+    asked = source.select("block", "text").mapInArrow(_gather(pieces, buckets), "block long, bucket int, units string")
+    sent = scratch_path(spark, "units")
+    asked.write.partitionBy("block").parquet(sent)
+    placed = spark.read.schema("bucket int, units string").parquet(sent).select("bucket", "units").repartition("bucket")
+    units = F.split("units", BREAK)
+    every = placed.select("bucket", F.explode(F.slice(units, F.lit(2), F.size(units))).alias("unit")).distinct()
+    paths = best_paths(every.where(F.length("unit").between(1, LONGEST_UNIT)), pieces)
     paths = paths.select(F.col("bucket").alias("of"), "unit", "ids")
-    dealt = asked.groupBy("bucket").cogroup(paths.groupBy("of")).applyInArrow(
-        _deal(pieces), "block long, units array<string>, ids array<int>, ends array<int>"
+    ids = "array<smallint>" if pieces.id_type == pa.int16() else "array<int>"
+    dealt = placed.groupBy("bucket").cogroup(paths.groupBy("of")).applyInArrow(
+        _deal(pieces), f"block long, part int, bucket int, ids {ids}, lengths array<int>"
     )
     folder = scratch_path(spark, "paths")
     dealt.repartition("block").write.partitionBy("block").parquet(folder)
-    return source.mapInArrow(_look_up(pieces, folder), f"key {kind}, ids array<int>").withColumnRenamed("key", key)
+    look_up, texts_of = _look_up(pieces, sent, folder), _texts_of(pieces)
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in look_up(batches):
+            columns = [*batch.columns, texts_of(batch.column(1))]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "ids", "text"])
 
+    if back:
+        found = source.mapInArrow(both, f"key {kind}, ids array<int>, text string")
+    else:
+        found = source.mapInArrow(look_up, f"key {kind}, ids array<int>")
+    return found.withColumnRenamed("key", key)
 
-def _join_pieces(pieces: Pieces):
+
+def _texts_of(pieces: Pieces):
+    """The function from lists of ids to texts."""
     names = [name.replace(SPACE, " ").encode() for name in pieces.names]
     for i, (name, normal) in enumerate(zip(pieces.names, pieces.normal, strict=True)):
         if not normal:
             byte = re.fullmatch(r"<0x([0-9A-F]{2})>", name)
             names[i] = bytes([int(byte[1], 16)]) if byte else b""
-    starts = np.concatenate([[0], np.cumsum([len(n) for n in names])])
-    letters = np.frombuffer(b"".join(names), dtype=np.uint8)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(1)
-            lists = lists.fill_null([]) if lists.null_count else lists
-            offsets = lists.offsets.to_numpy()
-            for row in range(0, batch.num_rows, 256):
-                end = min(row + 256, batch.num_rows)
-                flat = lists.values.to_numpy(zero_copy_only=False)[offsets[row] : offsets[end]]
-                own = offsets[row : end + 1] - offsets[row]
-                _, at = spread(flat, starts)
-                counts = np.concatenate([[0], np.cumsum((starts[1:] - starts[:-1])[flat])])[own]
-                data = letters[at].tobytes()
-                texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(counts[:-1], counts[1:], strict=True)]
-                # The space before the text is the encoder's own.
-                texts = [t[1:] if t.startswith(" ") else t for t in texts]
-                arrays = [batch.column(0).slice(row, end - row), pa.array(texts, pa.string())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["key", "text"])
+    def texts_of(lists: pa.Array) -> pa.Array:
+        table = pa.array(names, pa.binary())
+        lists = lists.fill_null([]) if lists.null_count else lists
+        texts: list[str] = []
+        for row in range(0, len(lists), 512):
+            own = lists.slice(row, 512)
+            bounds = own.offsets.to_numpy()
+            letters = table.take(own.values.slice(bounds[0], bounds[-1] - bounds[0]))
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds - bounds[0], pa.int32()), letters), b"")
+            found = [t.decode("utf-8", "replace") for t in joined.to_pylist()]
+            # The space before the text is the encoder's own.
+            texts.extend(t[1:] if t.startswith(" ") else t for t in found)
+        return pa.array(texts, pa.string())
 
-    return run
+    return texts_of
 
 
 def decode(encoded: DataFrame, file: str, key: str = "doc_id") -> DataFrame:
@@ -389,4 +558,12 @@ def decode(encoded: DataFrame, file: str, key: str = "doc_id") -> DataFrame:
     """
     kind = dict(encoded.dtypes)[key]
     rows = encoded.select(F.col(key).alias("key"), "ids")
-    return rows.mapInArrow(_join_pieces(Pieces.load(file)), f"key {kind}, text string").withColumnRenamed("key", key)
+    texts_of = _texts_of(Pieces.load(file))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for row in range(0, whole.num_rows, 512):
+                batch = whole.slice(row, 512)
+                yield pa.RecordBatch.from_arrays([batch.column(0), texts_of(batch.column(1))], names=["key", "text"])
+
+    return rows.mapInArrow(run, f"key {kind}, text string").withColumnRenamed("key", key)

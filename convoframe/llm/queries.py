@@ -12,7 +12,7 @@ from convoframe.llm.cuckoo import exact_duplicates
 from convoframe.llm.decontaminate import contaminated
 from convoframe.llm.licenses import scan_licenses
 from convoframe.llm.near_dup import near_duplicates
-from convoframe.llm.pieces import decode, encode
+from convoframe.llm.pieces import encode_and_decode
 from convoframe.llm.pii import find_pii
 from convoframe.llm.quality import score_quality
 from convoframe.llm.records import read_records, write_records
@@ -158,15 +158,13 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     file = vocabulary(PIECES)
     row = F.struct(F.col("doc_id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
-    encoded = encode(docs.select(row.alias("row"), "text"), file, key="row")
-    counted = encoded.select(F.struct("row", F.size("ids").alias("n"), F.xxhash64("ids").alias("h")).alias("row"), "ids")
-    decoded = decode(counted, file, key="row")
-    return decoded.select(
-        F.col("row.row.doc_id").alias("doc_id"),
-        F.col("row.n").cast("long").alias("n_pieces"),
-        F.col("row.h").alias("ids_hash"),
+    found = encode_and_decode(docs.select(row.alias("row"), "text"), file, key="row")
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"),
+        F.size("ids").cast("long").alias("n_pieces"),
+        F.xxhash64("ids").alias("ids_hash"),
         F.sha2("text", 256).alias("decoded_sha256"),
-        (F.sha2("text", 256) == F.col("row.row.sha")).alias("round_trip"),
+        (F.sha2("text", 256) == F.col("row.sha")).alias("round_trip"),
     )
 
 

@@ -11,7 +11,7 @@ from convoframe.llm.common import table
 from convoframe.llm.cuckoo import exact_duplicates
 from convoframe.llm.decontaminate import contaminated
 from convoframe.llm.near_dup import near_duplicates
-from convoframe.llm.pieces import decode, encode
+from convoframe.llm.pieces import encode_and_decode
 from convoframe.llm.queries import PIECES, vocabulary
 from convoframe.llm.toxicity import fit_toxicity, toxicity_scores
 from convoframe.session import materialise
@@ -64,13 +64,12 @@ def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """doc_id, ids of the whole text, the text they decode to, and whether it is the text encoded."""
     file = vocabulary(PIECES)
     same = F.struct("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
-    encoded = encode(docs.select(same.alias("row"), "text"), file, key="row")
-    decoded = decode(encoded.select(F.struct("row", "ids").alias("row"), "ids"), file, key="row")
-    return decoded.select(
-        F.col("row.row.doc_id").alias("doc_id"),
-        F.col("row.ids").alias("ids"),
+    found = encode_and_decode(docs.select(same.alias("row"), "text"), file, key="row")
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"),
+        "ids",
         "text",
-        (F.sha2("text", 256) == F.col("row.row.sha")).alias("round_trip"),
+        (F.sha2("text", 256) == F.col("row.sha")).alias("round_trip"),
     )
 
 
