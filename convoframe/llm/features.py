@@ -126,11 +126,14 @@ def feature_lists(bits: int, pairs: bool):
 class Rows:
     """Feature lists as one flat array with row starts."""
 
-    def __init__(self, lists: list[np.ndarray]) -> None:
-        sizes = [len(x) for x in lists]
-        self.starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        self.ids = np.concatenate(lists).astype(np.int64) if sum(sizes) else np.zeros(0, dtype=np.int64)
-        self.owner = np.repeat(np.arange(len(lists)), sizes)
+    def __init__(self, starts: np.ndarray, ids: np.ndarray) -> None:
+        self.starts, self.ids = starts.astype(np.int64), ids
+        self.owner = np.repeat(np.arange(len(self), dtype=np.int32), np.diff(self.starts))
+
+    @classmethod
+    def of(cls, lists: list[np.ndarray]) -> Rows:
+        starts = np.concatenate([[0], np.cumsum([len(x) for x in lists], dtype=np.int64)])
+        return cls(starts, np.concatenate(lists) if lists else np.zeros(0, dtype=np.int32))
 
     def __len__(self) -> int:
         return len(self.starts) - 1
@@ -138,8 +141,19 @@ class Rows:
     def dot(self, weights: np.ndarray) -> np.ndarray:
         return np.bincount(self.owner, weights=weights[self.ids], minlength=len(self))
 
-    def only(self, mask: np.ndarray) -> Rows:
-        return Rows([x[mask[x]] for x in self])
+    def counts(self, size: int) -> np.ndarray:
+        """How many rows have each feature, a slice at a time."""
+        out = np.zeros(size, dtype=np.int64)
+        for at in range(0, len(self.ids), 1_000_000):
+            out += np.bincount(self.ids[at : at + 1_000_000], minlength=size)
+        return out
+
+    def only(self, place: np.ndarray) -> Rows:
+        """The features with a place of 0 or more, numbered by it."""
+        moved = place[self.ids]
+        keep = moved >= 0
+        lengths = np.bincount(self.owner[keep], minlength=len(self))
+        return Rows(np.concatenate([[0], np.cumsum(lengths)]), moved[keep])
 
     def __iter__(self):
         return (self.ids[a:b] for a, b in zip(self.starts[:-1], self.starts[1:], strict=True))
@@ -157,10 +171,14 @@ def sampled_features(
     chosen = rows.orderBy(order, "doc_id", "label").limit(limit).select("doc_id", "label")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
     made = texts.select("label", "text").mapInArrow(feature_lists(bits, pairs), "label int, features array<int>")
-    found = made.toArrow().combine_chunks()
+    found = made.toArrow()
     labels = found.column("label").to_numpy()
-    lists = found.column("features").to_pandas().to_list() if found.num_rows else []
-    return labels, Rows([np.asarray(x, dtype=np.int64) for x in lists])
+    parts = [c for c in found.column("features").chunks if len(c)]
+    if not parts:
+        return labels, Rows.of([])
+    lists = pa.concat_arrays(parts)
+    starts = lists.offsets.to_numpy()
+    return labels, Rows(starts - starts[0], lists.values.to_numpy()[starts[0] : starts[-1]])
 
 
 def training_labels(labels: DataFrame, column: str) -> DataFrame:

@@ -110,7 +110,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, limit: int = LABELLED, cost:
         n1 = float((y > 0).sum())
         return NbSvm(np.zeros(size), np.zeros(size), 0.0, float(np.log((n1 + 1) / (len(y) - n1 + 1))), bits)
     every = list(rows)
-    train = Rows([every[i] for i in fits])
+    train = Rows.of([every[i] for i in fits])
     ratio = log_count_ratio(train, y[fits], size)
     lists = [x[ratio[x] != 0] for x in train]
     values = [ratio[x] / max(float(np.sqrt((ratio[x] ** 2).sum())), 1e-12) for x in lists]
@@ -118,7 +118,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, limit: int = LABELLED, cost:
     costs = np.where(y[fits] > 0, cost * 0.5 / share, cost * 0.5 / max(1 - share, 1e-3))
     weights = dual_descent(lists, values, y[fits], size, costs)
     model = NbSvm(ratio, weights, 1.0, 0.0, bits)
-    check = Rows([every[i] for i in proves])
+    check = Rows.of([every[i] for i in proves])
     margins = model.margins(check.owner, check.ids, len(check))
     model.slope, model.offset = fit_curve(margins, y[proves] > 0)
     return model

@@ -119,17 +119,14 @@ def fit_toxicity(
         return LinearModel(np.zeros(0, dtype=np.int64), np.zeros(0), -30.0, bits)
     prior = min(max(share, 1e-3), 0.5)
     size = 1 << bits
-    cp = np.bincount(p_rows.ids, minlength=size)
-    cu = np.bincount(u_rows.ids, minlength=size)
+    cp, cu = p_rows.counts(size), u_rows.counts(size)
     pool = (cp + cu + 1) / (len(p_rows) + len(u_rows) + 2)
     error = np.sqrt(pool * (1 - pool) * (1 / len(p_rows) + 1 / len(u_rows)))
     z = np.abs(cp / len(p_rows) - cu / len(u_rows)) / error
     ids = np.flatnonzero((z >= least_z) & (cp + cu >= 5))
-    place = np.zeros(size, dtype=np.int64)
+    place = np.full(size, -1, dtype=np.int32)
     place[ids] = np.arange(len(ids))
-    mask = np.zeros(size, dtype=bool)
-    mask[ids] = True
-    compact = [Rows([place[x] for x in rows.only(mask)]) for rows in (p_rows, u_rows)]
+    compact = [rows.only(place) for rows in (p_rows, u_rows)]
     weights, bias = nn_pu(*compact, len(ids), prior)
     return LinearModel(ids, weights, bias, bits)
 
