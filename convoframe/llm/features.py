@@ -14,9 +14,9 @@ from convoframe.llm.common import U64, held_out, mix, small_batches, split_words
 
 BITS = 20
 
-# Inner runs of letters, looked for in the first letters of a word (junk has words of any length).
+# Letters of an inner run of a word, and letters whose runs are hashed at once.
 INNER = 5
-LONGEST = 60
+RUNS_AT_ONCE = 1 << 20
 
 _WORD = re.compile(r"[^\W\d_]+")
 _PARTS = re.compile(r"[^\W_]+|[\W_]+")
@@ -68,16 +68,47 @@ def word_parts(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.array(starts), np.array(low, dtype=np.uint64), np.array(shape, dtype=np.uint64)
 
 
+def _inner_runs(letters: np.ndarray) -> np.ndarray:
+    """Hash of the ``INNER`` code points from each position on that has so many after it."""
+    n = max(len(letters) - INNER + 1, 0)
+    out = np.empty(n, dtype=np.uint64)
+    for low in range(0, n, RUNS_AT_ONCE):
+        high = min(low + RUNS_AT_ONCE, n)
+        # Code points take 21 bits, so that three fit in a number.
+        a, b, c, d, e = (letters[low + at : high + at].astype(np.uint64) for at in range(INNER))
+        with np.errstate(over="ignore"):
+            half = mix((a << U64(42) | b << U64(21) | c) + U64(1)) * U64(0x9E3779B97F4A7C15)
+            out[low:high] = mix(half + (d << U64(21) | e))
+    return out
+
+
 def word_grams(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Words of each distinct chunk with their beginnings and inner runs of letters: (ranges, hashes)."""
-    starts, found = [0], []
-    for chunk in words.to_pylist():
+    """Words of each distinct chunk with their beginnings and all their inner runs of letters, however long
+    they are: (ranges, hashes). A word of ``INNER`` letters is its only run."""
+    owner, found, owners, every = [], [], [], []
+    for at, chunk in enumerate(words.to_pylist()):
         for word in _WORD.findall(chunk.lower()):
-            grams = {word, *("^" + word[:n] for n in range(3, min(len(word), 6) + 1))}
-            grams.update(word[i : i + INNER] for i in range(min(len(word), LONGEST) - INNER + 1))
-            found.extend(map(_hash, sorted(grams)))
-        starts.append(len(found))
-    return np.array(starts), np.array(found, dtype=np.uint64)
+            grams = ["^" + word[:n] for n in range(3, min(len(word), 6) + 1)]
+            if len(word) != INNER:
+                grams.append(word)
+            found.extend(map(_hash, grams))
+            owner.extend([at] * len(grams))
+            if len(word) >= INNER:
+                every.append(word)
+                owners.append(at)
+    sizes = np.fromiter(map(len, every), dtype=np.int64, count=len(every))
+    letters = np.frombuffer("".join(every).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    runs = _inner_runs(letters)
+    # Runs that begin in the last letters of a word would reach into the next one.
+    inside = np.ones(len(letters), dtype=bool)
+    for back in range(1, INNER):
+        inside[np.cumsum(sizes) - back] = False
+    runs = runs[inside[: len(runs)]]
+    whose = np.repeat(np.array(owners, dtype=np.int64), sizes - INNER + 1)
+    whose = np.concatenate([np.array(owner, dtype=np.int64), whose])
+    order = np.argsort(whose, kind="stable")
+    starts = np.concatenate([[0], np.cumsum(np.bincount(whose, minlength=len(words)))])
+    return starts, np.concatenate([np.array(found, dtype=np.uint64), runs])[order]
 
 
 def text_features(texts: pa.Array, bits: int = BITS, pairs: bool = True) -> tuple[np.ndarray, np.ndarray]:

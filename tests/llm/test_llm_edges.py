@@ -15,6 +15,7 @@ from convoframe.llm import queries
 from convoframe.llm.components import connected_components
 from convoframe.llm.cuckoo import CuckooFilter, CuckooIndex, exact_duplicates
 from convoframe.llm.decontaminate import contaminated
+from convoframe.llm.features import INNER, RUNS_AT_ONCE, word_grams
 from convoframe.llm.licenses import scan_licenses
 from convoframe.llm.near_dup import bands_for, near_duplicates, shingle_hashes, signatures
 from convoframe.llm.pieces import LONGEST_UNIT, SPACE, Pieces, decode, encode
@@ -295,6 +296,38 @@ def test_scores_on_odd_rows(spark, odd, none, score, column):
     assert score(odd, labels.limit(0)).count() == odd.count()
 
 
+def test_inner_runs_of_a_whole_word():
+    draw = random.Random(8)
+    long = "".join(draw.choices("abcdefgéß漢字", k=300))
+    chunks = [long, "", "toxin", "a1b", f"x-{long[100:140]}", long[200:204], long[290:]]
+    starts, hashes = word_grams(pa.array(chunks))
+    own = [set(hashes[a:b].tolist()) for a, b in zip(starts[:-1], starts[1:], strict=True)]
+    assert len(own[0]) == len({long[i : i + INNER] for i in range(296)}) + 5 and own[1] == set()
+    # Runs are the same wherever they stand; the word and its beginnings are of its own.
+    assert [len(own[0] & x) for x in own] == [len(own[0]), 0, 0, 0, 36, 0, 6]
+    assert len(own[2]) == 4 and len(own[3]) == 2 and len(own[5]) == 3
+    starts, hashes = word_grams(pa.array(["z" * RUNS_AT_ONCE + long, long]))
+    assert len(np.intersect1d(hashes[: starts[1]], hashes[starts[1] :])) == len({long[i : i + INNER] for i in range(296)})
+
+
+def test_toxic_word_late_in_an_unspaced_run(spark):
+    draw = random.Random(9)
+    toxic = ["grumblewortish", "snarklebladder", "vexomandibule"]
+    rows, labels = [], []
+    for i in range(600):
+        words = draw.choices(WORD, k=12)
+        if i % 4 == 0:
+            words[3] = draw.choice(toxic)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 4 == 0)))
+    glued, bad = "".join(draw.choices(WORD, k=40)), "".join(toxic)
+    rows += [(1_000, glued), (1_001, glued[:9] + bad + glued[9:]), (1_002, glued[:90] + bad), (1_003, glued + bad)]
+    found = score_toxicity(table(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    named = {r.doc_id: r for r in found}
+    assert [named[i].predicted for i in range(1_000, 1_004)] == [0, 1, 1, 1]
+    assert named[1_003].score == pytest.approx(named[1_002].score, abs=0.05)
+
+
 def test_dual_descent_separates():
     lists = [np.array([0, 1]), np.array([0, 2]), np.array([3, 1]), np.array([3, 2])]
     y = np.array([1.0, 1.0, -1.0, -1.0])
