@@ -177,12 +177,16 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses of each text, a family (gpl) only where none of its versions (gpl-3.0) is, and the templates' places."""
     found = scan_licenses(table(spark, sf_dir, "documents"))
-    names = F.transform("matches", lambda m: m["license"])
+    names = F.array_distinct(F.transform("matches", lambda m: F.substring_index(m["license"], "#", 1)))
+    found = found.withColumn("every", F.array_sort(names))
+    finer = lambda name: F.exists("every", lambda other: F.startswith(other, F.concat(name, F.lit("-"))))
+    found = found.withColumn("names", F.filter("every", lambda name: ~finer(name)))
     return found.select(
         "doc_id",
-        F.size("matches").cast("long").alias("n_licenses"),
-        F.array_join(names, ",").alias("licenses"),
+        F.size("names").cast("long").alias("n_licenses"),
+        F.array_join("names", ",").alias("licenses"),
         F.array_join(
             F.transform("matches", lambda m: F.concat_ws(":", m["license"], m["first"], m["after"])), ","
         ).alias("places"),

@@ -428,6 +428,50 @@ def test_licenses_on_odd_rows(spark, odd, none):
         assert names == {1: ["long"], 2: ["long", "two"], 3: [], 4: []}
 
 
+NOTICES = {
+    "mit": "Distributed under the MIT Licence, see the file",
+    "mpl-2.0": "subject to the terms of the Mozilla Public License, v. 2.0. If a copy was not given",
+    "epl-2.0": "made available under the terms of the Eclipse Public License 2.0 as it is",
+    "cc0-1.0": "To the extent possible under law, given out under CC0 1.0 Universal",
+    "cc-by-4.0": "This text is licensed under a Creative Commons Attribution 4.0 International License.",
+    "cc-by-sa-3.0": "see <https://creativecommons.org/licenses/by-sa/3.0/> for more",
+    "isc": "SPDX-License-Identifier: ISC",
+    "zlib": "use is granted under the zlib license",
+    "unlicense": "This is free and unencumbered software released into the public domain.",
+    "bsd-3-clause": "published under the three-clause BSD license",
+    "gpl-3.0": "you may copy it under the GNU GPL v3 or what you like",
+    "lgpl-2.1": "covered by the GNU Lesser General Public License, version 2.1",
+    "apache-2.0": "Published subject to the Apache License 2.0 by its authors",
+    "": "a MIT professor and a licence to fish, apache helicopters, general public",
+}
+# Bodies with one changed word and without their openings.
+BODIES = {
+    "mit": "obtaining a copy of this software and associated documentation files, to deal in the Software without any "
+    "restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
+    "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to",
+    "isc": "Permission to use, copy, change, and/or distribute this software for any purpose with or without fee is hereby "
+    "granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event shall the authors be "
+    "held liable for any damages arising from the use of this software.",
+    "mpl-2.0": "You may choose to offer, and to charge a price for, warranty, support, indemnity or liability obligations "
+    "to one or more recipients of Covered Software. However, You may do so only on Your own behalf, and not on behalf of "
+    "any Contributor. You must make it absolutely clear that any such warranty, support, indemnity, or liability "
+    "obligation is offered by You alone, and You hereby agree to indemnify every Contributor for any liability incurred "
+    "by such Contributor as a result of warranty, support, indemnity or liability terms You offer. You may include "
+    "additional disclaimers of warranty and limitations of liability specific to any jurisdiction.",
+    "lgpl": "redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by",
+}
+
+
+def test_licenses_in_other_words(spark, tmp_path):
+    texts = [*NOTICES.items(), *BODIES.items()]
+    rows = [(i, f"{'some words before ' * 9}{text} {'and words after ' * 7}") for i, (_, text) in enumerate(texts)]
+    table(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r for r in queries.QUERIES["op5_licenses"](spark, str(tmp_path)).collect()}
+    assert [found[i].licenses for i in range(len(texts))] == [name for name, _ in texts]
+    assert all(found[i].n_licenses == bool(name) for i, (name, _) in enumerate(texts))
+
+
 def test_viterbi_is_the_same_for_every_block_size(spark):
     draw = np.random.default_rng(0)
     model = Model(np.log(draw.random((7, 6))), np.log(draw.random((6, 96))))
