@@ -195,12 +195,19 @@ def sampled_features(
 ) -> tuple[np.ndarray, Rows]:
     """Labels and features of ``limit`` rows of (doc_id, label) at the most, with their texts.
 
-    The rows with the least hashes of their ids are taken, so that a sample is spread evenly and is the
-    same each time. This bounds what is collected: ``limit`` lists of the features of one text.
+    The rows with the least hashes of their ids are taken, each (doc_id, label) once, so that a sample is spread
+    evenly and is the same each time. Of the rows of ``docs`` with a sampled id, the one with the least hash of its
+    text counts. This bounds what is collected, however often an id is repeated: ``limit`` lists of the features of
+    one text.
     """
     order = F.xxhash64(F.col("doc_id"), F.lit(7))
-    chosen = rows.orderBy(order, "doc_id", "label").limit(limit).select("doc_id", "label")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    chosen = rows.select("doc_id", "label").distinct().orderBy(order, "doc_id", "label").limit(limit)
+    ids = chosen.select("doc_id").distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")
+    one = texts.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one"))
+    texts = one.select("doc_id", "one.text").join(F.broadcast(chosen), "doc_id")
+    # Fits depend on the order of rows; by id it is the same however the rows were shuffled.
+    texts = texts.orderBy("doc_id", "label")
     made = texts.select("label", "text").mapInArrow(feature_lists(bits, pairs), "label int, features array<int>")
     found = made.toArrow()
     labels = found.column("label").to_numpy()

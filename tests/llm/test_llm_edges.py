@@ -15,7 +15,7 @@ from convoframe.llm import queries
 from convoframe.llm.components import connected_components
 from convoframe.llm.cuckoo import CuckooFilter, CuckooIndex, exact_duplicates
 from convoframe.llm.decontaminate import contaminated
-from convoframe.llm.features import INNER, RUNS_AT_ONCE, word_grams
+from convoframe.llm.features import INNER, RUNS_AT_ONCE, sampled_features, word_grams
 from convoframe.llm.licenses import scan_licenses
 from convoframe.llm.near_dup import bands_for, near_duplicates, shingle_hashes, signatures
 from convoframe.llm.pieces import LONGEST_UNIT, SPACE, Pieces, decode, encode
@@ -328,6 +328,14 @@ def test_toxic_word_late_in_an_unspaced_run(spark):
     assert named[1_003].score == pytest.approx(named[1_002].score, abs=0.05)
 
 
+def test_sample_of_a_hot_id_is_bounded(spark):
+    rows = [(i, f"text {i}") for i in range(50)] + [(7, f"hot {i}") for i in range(400)]
+    docs = table(spark, rows)
+    for limit, expected in ((100, 50), (20, 20)):
+        labels, features = sampled_features(docs, docs.select("doc_id", F.lit(0).alias("label")), limit, 20, False)
+        assert len(labels) == len(features) == expected
+
+
 def test_dual_descent_separates():
     lists = [np.array([0, 1]), np.array([0, 2]), np.array([3, 1]), np.array([3, 2])]
     y = np.array([1.0, 1.0, -1.0, -1.0])
