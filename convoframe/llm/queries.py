@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from convoframe.llm.common import held_out, table
 from convoframe.llm.cuckoo import exact_duplicates
 from convoframe.llm.decontaminate import contaminated
+from convoframe.llm.divergence import audit_sources
 from convoframe.llm.licenses import scan_licenses
 from convoframe.llm.near_dup import near_duplicates
 from convoframe.llm.pieces import encode_and_decode
@@ -262,3 +263,51 @@ def op3_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"),
         held_out("transcript").alias("held_out"),
     )
+
+
+@query(
+    r"""
+with d as (
+  select coalesce(lang, '') as lang, coalesce(source, '') as source, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') as words
+  from documents
+), docs as (
+  select lang, term, count(*) as docs from (select lang, unnest(list_distinct(words)) as term from d) group by all
+), kept as (
+  select lang, term from docs where docs >= 3
+), counts as (
+  select lang, source, term, count(*) as n
+  from (select lang, source, unnest(words) as term from d) semi join kept using (lang, term) group by all
+), groups as (
+  select distinct lang, source from d
+), size as (
+  select lang, count(*) as v from kept group by all
+), share as (
+  select g.lang, g.source, k.term, coalesce(c.n, 0) as n, v,
+    sum(coalesce(c.n, 0)) over (partition by g.lang, g.source) as total,
+    sum(coalesce(c.n, 0)) over (partition by g.lang, k.term) as lang_n,
+    sum(coalesce(c.n, 0)) over (partition by g.lang) as lang_total
+  from groups g join kept k using (lang) join size using (lang)
+  left join counts c on c.lang = g.lang and c.source = g.source and c.term = k.term
+), p as (
+  select lang, source, term, n, 1 + (1000000000::hugeint * (n + 1)) // (total + v)::hugeint as p,
+    1 + (1000000000::hugeint * (lang_n + 1)) // (lang_total + v)::hugeint as q
+  from share
+), pairs as (
+  select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p) as value
+  from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all
+), result as (
+  select lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0) as value
+  from groups a join groups b using (lang) left join pairs p using (lang)
+  where a.source <> b.source and (p.source is null or (p.source = a.source and p.item = b.source))
+  union all
+  select lang, source, 'term', term, (p - q) * (p - q) // q from p where n > 0 and p > q
+)
+select lang, source, part, item, cast(value as bigint) as value, cast(rank as integer) as rank from (
+  select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from result
+) where part = 'pair' or rank <= 200
+"""
+)
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_sources(table(spark, sf_dir, "documents"))
