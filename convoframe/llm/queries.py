@@ -15,10 +15,12 @@ from convoframe.llm.licenses import scan_licenses
 from convoframe.llm.near_dup import near_duplicates
 from convoframe.llm.pieces import encode_and_decode
 from convoframe.llm.pii import find_pii
+from convoframe.llm.prefix_trie import borrowed_heads, prefix_trie
 from convoframe.llm.quality import score_quality
 from convoframe.llm.records import read_records, write_records
 from convoframe.llm.toxicity import score_toxicity
 from convoframe.llm.transcripts import Model, fit, parse_transcripts, role_state
+from convoframe.llm.warc import read_index, read_records as read_captures, write_archives
 
 WORD_BPE = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
@@ -311,3 +313,76 @@ select lang, source, part, item, cast(value as bigint) as value, cast(rank as in
 )
 def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_sources(table(spark, sf_dir, "documents"))
+
+
+@query(
+    r"""
+with p as (
+  select page_id, cast(strlen(coalesce(html, '')) as bigint) as payload_bytes, sha256(coalesce(html, '')) as payload_digest
+  from pages
+), f as (
+  select *, case when payload_bytes >= 100 then min(page_id) over (partition by payload_digest) else page_id end as first
+  from p
+)
+select page_id, payload_bytes, payload_digest, case when first = page_id then 'response' else 'revisit' end as record_type,
+  case when first <> page_id then first end as refers_to
+from f
+"""
+)
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records read back through the index. The pages bear no times: the id counts seconds from 2000."""
+    pages = table(spark, sf_dir, "pages")
+    folder, index = write_archives(pages, F.timestamp_seconds(F.col("page_id") + 946_684_800))
+    records = read_captures(folder, read_index(folder, index))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+# CRC-32 of the id's digits bit by bit; nodes as lists of turns; each node counts in all of its prefixes.
+TRIE_SQL = r"""
+with t as (
+  select conv_id as c, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) - 1 as pos,
+    {'role': coalesce(role, ''), 'text': coalesce(text, '')} as said
+  from conversations where conv_id is not null
+), crc as (
+  select c, xor(list_reduce(list_concat([4294967295::bigint], list_transform(
+    range(1, length(c::varchar) + 1), lambda i: ascii(substr(c::varchar, i, 1))::bigint)),
+    lambda a, b: list_reduce(list_concat([xor(a, b)], [0::bigint, 0, 0, 0, 0, 0, 0, 0]),
+      lambda x, y: xor(x >> 1, case when x % 2 = 1 then 3988292384 else 0 end))), 4294967295) as crc, own
+  from (select c, count(*) as own from t group by c)
+), convs as (
+  select a.c, a.own, a.crc % 6 as h, a.c - a.c % 100 as source, least(a.crc % 6, coalesce(b.own, 0)) as taken
+  from crc a left join crc b on b.c = a.c - a.c % 100
+), turns as (
+  select convs.c, pos, said from convs join t on t.c = convs.source and t.pos < convs.taken
+  union all
+  select convs.c, pos - h + taken, said from convs join t on t.c = convs.c and t.pos >= convs.h
+), whole as (
+  select convs.c, coalesce(said, []) as said from convs
+  left join (select c, list(said order by pos) as said from turns group by c) using (c)
+), members as (
+  select c, len(said) as total, unnest(range(0, len(said) + 1)) as depth, said from whole
+), nodes as (
+  select depth, said[1:depth] as prefix, min(c) as conv_id, count(*) as n,
+    string_agg(case when total = depth then c end, ',' order by c) as ends
+  from members group by depth, prefix
+), children as (
+  select depth - 1 as depth, prefix[1:depth - 1] as prefix, count(*) as n_children from nodes where depth > 0 group by all
+), counted as (
+  select nodes.*, coalesce(n_children, 0) as n_children,
+    case when depth = 0 then 0 else (n - 1) * length(prefix[depth].text) end as saved
+  from nodes left join children using (depth, prefix)
+), sums as (
+  select above as depth, prefix[1:above] as prefix, sum(saved) as saved, sum(cast(n_children = 0 as int)) as leaves
+  from (select *, unnest(range(0, depth + 1)) as above from counted) group by all
+)
+select a.conv_id, a.depth, p.conv_id as parent_conv_id, a.n as n_convs, a.n_children, cast(leaves as bigint) as n_leaves,
+  cast(s.saved as bigint) as saved_tokens, sha256(coalesce(a.ends, '')) as ends_sha256
+from counted a join sums s using (depth, prefix)
+left join nodes p on p.depth = a.depth - 1 and p.prefix = a.prefix[1:a.depth - 1]
+"""
+
+
+@query(TRIE_SQL)
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefixes of conversations whose first turns come from the one that their hundred begins with."""
+    return prefix_trie(table(spark, sf_dir, "conversations"), borrowed_heads)
