@@ -34,8 +34,9 @@ from convoframe.session import materialise
 UNIT = 1_000_000_000
 # Sources on each side of a tile: it holds 8 * 256 * 256 bytes of sums in each direction.
 BLOCK = 256
-# Cells that a tile's sums are brought up to date with at once.
+# Cells that a tile's sums are brought up to date with at once, and kept terms for each part of a tile's work.
 CELLS = 4_096
+TERMS_IN_PART = 65_536
 # A table is broadcast only if it has at most so many rows and bytes of text.
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 8_000_000
@@ -297,8 +298,6 @@ def audit_sources(
     length; a batch holds 2 MB of them, or one text. Other columns are not looked at. Without rows the result
     is empty; a language that keeps no term has pairs of value 0 and no terms.
     """
-    spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     named = docs.select(text_of("lang").alias("lang"), text_of("source").alias("source"), text_of().alias("text"))
     found = named.mapInArrow(_count_words, COUNTS)
     counted = found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
@@ -325,7 +324,8 @@ def audit_sources(
     groups = numbered.join(totals, ["lang", "place"], "left").join(langs, "lang", "left").fillna(0)
     groups = materialise(groups, "groups")
 
-    pairs = _pairs(groups, kept, block, parts)
+    # Each part gives a sum for each two sources, so that parts go by the vocabulary, not by the cluster's size.
+    pairs = _pairs(groups, kept, block, parts or -(-kept.count() // TERMS_IN_PART) or 1)
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     pairs = pairs.withColumn("rank", F.row_number().over(order)).withColumn("part", F.lit("pair"))
     marks = _marking(groups, kept, limit).withColumn("part", F.lit("term"))
