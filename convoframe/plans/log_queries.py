@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from convoframe.functions import logs as log_rules
+from convoframe.functions import times
 from convoframe.operators import catalog, logs, status, usage
 from convoframe.plans.registry import Tables, query, time_text
-from convoframe.session import scratch_path
+from convoframe.session import ROCKSDB, STATE_STORE, scratch_path
 from convoframe.streaming.time_to_state import stream_time_to_state
 
 _DAY = 86400
@@ -109,10 +110,10 @@ def j3_polled(t: Tables):
     ("v_status",),
 )
 def t2(t: Tables):
-    """All starts, as a stream that one late row of an app of its own closes."""
+    """All starts, as a stream that takes up its checkpoint for each third of the time; one late row of an app of
+    its own closes it."""
     rows = t.view("v_status")
-    source = scratch_path(t.spark, "status")
-    rows.write.parquet(source)
+    at = times.micros(F.col("ts"), dict(rows.dtypes)["ts"])
     late = (F.max("ts") + F.make_dt_interval(days=F.lit(4))).alias("ts")
     closing = rows.agg(late).select(
         F.lit(-1).cast("bigint").alias("app_id"),
@@ -121,17 +122,25 @@ def t2(t: Tables):
         F.lit("RUNNING").alias("app_state"),
         F.lit("ACTIVE").alias("compute_state"),
     )
-    closing.select(*rows.columns).write.mode("append").parquet(source)
-    stream = t.spark.readStream.schema(rows.schema).parquet(source)
-    decided = stream_time_to_state(stream, _start(), _up(), timeout=_DAY)
-    out, checkpoint = scratch_path(t.spark, "time-to-state"), scratch_path(t.spark, "stream")
-    run = (
-        decided.writeStream.format("parquet")
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start(out)
-    )
-    run.awaitTermination()
+    third, two = rows.agg(F.percentile_approx(at, [1 / 3, 2 / 3])).first()[0] or (0, 0)
+    thirds = [rows.where(at < third), rows.where((at >= third) & (at < two)), rows.where(at >= two)]
+    thirds[-1] = thirds[-1].unionByName(closing)
+    source, out = scratch_path(t.spark, "status"), scratch_path(t.spark, "time-to-state")
+    checkpoint = scratch_path(t.spark, "stream")
+    before = t.spark.conf.get(STATE_STORE, None)
+    t.spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        for part in thirds:
+            part.write.mode("append").parquet(source)
+            stream = t.spark.readStream.schema(rows.schema).parquet(source)
+            decided = stream_time_to_state(stream, _start(), _up(), timeout=_DAY)
+            writer = decided.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+            writer.start(out).awaitTermination()
+    finally:
+        if before is None:
+            t.spark.conf.unset(STATE_STORE)
+        else:
+            t.spark.conf.set(STATE_STORE, before)
     return t.spark.read.schema(decided.schema).parquet(out).select(
         "app_id", "event_id", "outcome", time_text(F.col("ready_ts")).alias("ready_at")
     )

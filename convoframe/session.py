@@ -7,6 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def build_session(app_name: str = "convoframe", master: str | None = None, **conf) -> SparkSession:
     """A session with the settings the operators are planned for.
@@ -23,6 +26,8 @@ def build_session(app_name: str = "convoframe", master: str | None = None, **con
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Streams with timers (T2) need this state store.
+        STATE_STORE: ROCKSDB,
         **conf,
     }
     for key, value in settings.items():
@@ -69,3 +74,54 @@ def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
         see(df)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class _TextFiles:
+    """Small text files through Spark's own file systems, from the driver."""
+
+    def __init__(self, spark: SparkSession):
+        self.jvm = spark._jvm
+        self.conf = spark._jsc.hadoopConfiguration()
+
+    def _open(self, path: str):
+        where = self.jvm.org.apache.hadoop.fs.Path(path)
+        return where, where.getFileSystem(self.conf)
+
+    def names(self, folder: str) -> list[str]:
+        """The names in a folder; none if it is not there."""
+        where, store = self._open(folder)
+        if not store.exists(where):
+            return []
+        return [status.getPath().getName() for status in store.listStatus(where)]
+
+    def read(self, path: str) -> str:
+        where, store = self._open(path)
+        stream = store.open(where)
+        try:
+            return self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def write_new(self, path: str, text: str) -> bool:
+        """Puts a whole file in place at once, unless there is one of that name: False then."""
+        where, store = self._open(path)
+        draft = self.jvm.org.apache.hadoop.fs.Path(where.getParent(), f".{uuid.uuid4().hex}.draft")
+        out = store.create(draft, True)
+        out.write(bytearray(text.encode("utf-8")))
+        out.close()
+        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(store.getUri(), self.conf)
+        rename = getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename")
+        options = self.jvm.java.lang.reflect.Array.newInstance(rename.NONE.getClass(), 1)
+        options[0] = rename.NONE
+        try:
+            context.rename(store.makeQualified(draft), store.makeQualified(where), options)
+        except Exception as problem:
+            store.delete(draft, False)
+            if store.exists(where):
+                return False
+            raise problem
+        return True
+
+
+def text_files(spark: SparkSession) -> _TextFiles:
+    return _TextFiles(spark)

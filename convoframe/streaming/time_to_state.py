@@ -2,24 +2,109 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from convoframe.functions import times
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _next_time(starts: pd.Series, ups: pd.Series) -> pd.Series:
-    """For each start the first of the sorted times after it, else null (all in microseconds)."""
+class _Waits(StatefulProcessor):
+    """The open starts of an app and the ready times that a start still to come may look for.
+
+    State: for each instant with open starts their ties and the first ready time known so far; ready times after
+    the watermark. A start is decided once the watermark has passed its ready time or its timeout, as no row can
+    arrive then that changes the answer. One timer waits for the earliest such moment.
+    """
+
+    def __init__(self, timeout: int):
+        self.timeout = timeout
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        at = T.StructType([T.StructField("at", T.LongType())])
+        start = T.StructType([T.StructField("ties", T.ArrayType(T.StringType())), T.StructField("up", T.LongType())])
+        self.open = handle.getMapState("open", at, start)
+        self.ups = handle.getMapState("ups", at, T.StructType([T.StructField("held", T.BooleanType())]))
+        self.timer = handle.getValueState("timer", T.StructType([T.StructField("at", T.LongType())]))
+
+    def _first_after(self, at: int, ups: np.ndarray) -> int | None:
+        place = int(np.searchsorted(ups, at, side="right"))
+        return int(ups[place]) if place < len(ups) and ups[place] <= at + self.timeout else None
+
+    def _wait(self, deadlines: list[int]) -> None:
+        """One timer, at the earliest deadline (in microseconds)."""
+        due = -(-min(deadlines) // 1000) if deadlines else None
+        set_to = self.timer.get()[0] if self.timer.exists() else None
+        if due == set_to:
+            return
+        if set_to is not None:
+            self.handle.deleteTimer(set_to)
+        if due is None:
+            self.timer.clear()
+        else:
+            self.handle.registerTimer(due)
+            self.timer.update((due,))
 
-    def look_up(at, sorted_times):
-        place = np.searchsorted(sorted_times, at, side="right")
-        return [int(sorted_times[i]) if i < len(sorted_times) else None for i in place]
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        starts: dict[int, list] = {}
+        new_ups: set[int] = set()
+        for part in rows:
+            new_ups.update(part.loc[part["ready"], "at"].tolist())
+            for at, tie in part.loc[part["own"], ["at", "tie"]].itertuples(index=False):
+                starts.setdefault(int(at), []).append(tie)
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        held = {at for (at,) in self.ups.keys()}
+        fresh = np.array(sorted(new_ups), dtype=np.int64)
+        every = np.array(sorted(new_ups | held), dtype=np.int64)
+        deadlines = []
+        for (at,), (ties, up) in list(self.open.iterator()):
+            found = self._first_after(at, fresh)
+            more = starts.pop(at, [])
+            if more or found is not None and (up is None or found < up):
+                up = found if up is None else up if found is None else min(up, found)
+                self.open.updateValue((at,), ([*ties, *more], up))
+            deadlines.append(at + self.timeout if up is None else up)
+        for at, ties in starts.items():
+            up = self._first_after(at, every)
+            self.open.updateValue((at,), (ties, up))
+            deadlines.append(at + self.timeout if up is None else up)
+        # Starts that are still to come lie after the watermark, and so do their ready times.
+        for at in held:
+            if at <= passed:
+                self.ups.removeKey((at,))
+        for at in new_ups - held:
+            if at > passed:
+                self.ups.updateValue((at,), (True,))
+        self._wait(deadlines)
+        return iter([])
 
-    return pd.Series([look_up(s, t) for s, t in zip(starts, ups)], dtype=object)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        deadlines, decided = [], []
+        for (at,), (ties, up) in list(self.open.iterator()):
+            due = at + self.timeout if up is None else up
+            if due <= passed:
+                decided += [(*key, tie, at, up) for tie in ties]
+                self.open.removeKey((at,))
+            else:
+                deadlines.append(due)
+        # The timer that went off is gone.
+        self.timer.clear()
+        self._wait(deadlines)
+        for (at,) in list(self.ups.keys()):
+            if at <= passed:
+                self.ups.removeKey((at,))
+        out = pd.DataFrame(decided, columns=["who", "salt", "tie", "at", "up"])
+        yield out.astype({"salt": "int32", "at": "int64", "up": "Int64"})
+
+    def close(self) -> None:
+        pass
 
 
 def stream_time_to_state(
@@ -33,73 +118,45 @@ def stream_time_to_state(
     ts: str = "ts",
     tie: str = "event_id",
 ) -> DataFrame:
-    """The rows of ``time_to_state`` for a stream, in append mode: ``by, tie, start_ts, outcome,
-    ready_ts``.
+    """The rows of ``time_to_state`` for a stream, in append mode: ``by, tie, start_ts, outcome, ready_ts``.
 
-    Windows of twice the timeout open every timeout. A start belongs to the window whose first half
-    it lies in; every ready row that can answer it lies in that window too. A window's starts are
-    decided, once, when the watermark passes its end; rows later than ``delay`` may be dropped.
+    A start comes out when the watermark passes its ready time or, without one, its timeout; not earlier, as
+    rows may arrive in any order within ``delay``. Rows later than that may be dropped. Rows without a time are
+    neither starts nor ready.
 
-    A window's state holds the times of one app over two timeouts. Starts are spread over ``salts``
-    groups, and ready times, which every group needs, are kept once per instant.
+    The state of an app is its open starts and the ready times after the watermark. Starts are spread over
+    ``salts`` groups, so that a busy app is not one task's work; each group needs the app's ready times. The
+    session must name the RocksDB state store when the query starts, as ``build_session`` does.
     """
-    seconds = f"{timeout} seconds"
-    kind = dict(status.dtypes)[ts]
+    types = dict(status.dtypes)
+    kind = types[ts]
     # Watermarks need an instant; a time without zone counts as UTC and is turned back below.
     event_time = F.timestamp_micros(times.micros(F.col(ts), kind))
-    salt = F.when(
-        start, F.array(F.pmod(F.xxhash64(tie), F.lit(salts)).cast("int"))
-    ).otherwise(F.array().cast("array<int>"))
-    every_salt = F.when(ready, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
-        F.array().cast("array<int>")
-    )
+    is_start, is_ready = F.coalesce(start, F.lit(False)), F.coalesce(ready, F.lit(False))
+    own_salt = F.when(is_start, F.pmod(F.xxhash64(tie), F.lit(salts)).cast("int"))
+    every_salt = F.when(is_ready, F.sequence(F.lit(0), F.lit(salts - 1)))
+    # Texts carry any type of key and tie through the state, nulls included.
     rows = (
-        status.where(start | ready)
+        status.where((is_start | is_ready) & F.col(ts).isNotNull())
         .select(
-            F.col(by).alias("_by"),
-            F.col(tie).alias("_tie"),
-            event_time.alias("_ts"),
-            start.alias("_start"),
-            ready.alias("_ready"),
-            F.array_distinct(F.concat(salt, every_salt)).alias("_salts"),
-            salt.alias("_own_salt"),
-        )
-        .withWatermark("_ts", delay)
-        .select("*", F.explode("_salts").alias("_salt"))
-    )
-    window = F.window("_ts", f"{2 * timeout} seconds", seconds)
-    first_half = F.col("_ts") < F.col("_window.start") + F.make_dt_interval(secs=F.lit(timeout))
-    own = F.coalesce(F.col("_own_salt")[0] == F.col("_salt"), F.lit(False))
-    micros = F.unix_micros("_ts")
-    counted = F.col("_start") & own & first_half
-    groups = (
-        rows.withColumn("_window", window)
-        .groupBy("_by", "_salt", "_window")
-        .agg(
-            F.array_sort(
-                F.collect_list(F.when(counted, F.struct(micros.alias("at"), F.col("_tie").alias("tie"))))
-            ).alias("_starts"),
-            F.array_sort(F.collect_set(F.when(F.col("_ready"), micros))).alias("_times"),
+            F.col(by).cast("string").alias("who"),
+            F.col(tie).cast("string").alias("tie"),
+            event_time.alias("moment"),
+            is_ready.alias("ready"),
+            own_salt.alias("own_salt"),
+            F.explode(F.coalesce(every_salt, F.array(own_salt))).alias("salt"),
         )
-        .where(F.size("_starts") > 0)
+        .withWatermark("moment", delay)
     )
-    decided = (
-        groups.withColumn("_next", _next_time(F.col("_starts.at"), F.col("_times")))
-        .select("_by", F.explode(F.arrays_zip("_starts", "_next")).alias("_s"))
-        .select(
-            "_by",
-            F.col("_s._starts.tie").alias("_tie"),
-            F.col("_s._starts.at").alias("_at"),
-            F.col("_s._next").alias("_up"),
-        )
-        .withColumn(
-            "_up", F.when(F.col("_up") <= F.col("_at") + timeout * 1_000_000, F.col("_up"))
-        )
+    own = F.coalesce(F.col("own_salt") == F.col("salt"), F.lit(False))
+    rows = rows.select("who", "salt", "tie", "moment", F.unix_micros("moment").alias("at"), "ready", own.alias("own"))
+    decided = rows.groupBy("who", "salt").transformWithStateInPandas(
+        _Waits(timeout * 1_000_000), "who string, salt int, tie string, at long, up long", "append", "eventTime"
     )
     return decided.select(
-        F.col("_by").alias(by),
-        F.col("_tie").alias(tie),
-        times.from_micros(F.col("_at"), kind).alias("start_ts"),
-        F.when(F.col("_up").isNotNull(), "ready").otherwise("timeout").alias("outcome"),
-        times.from_micros(F.col("_up"), kind).alias("ready_ts"),
+        F.col("who").cast(types[by]).alias(by),
+        F.col("tie").cast(types[tie]).alias(tie),
+        times.from_micros(F.col("at"), kind).alias("start_ts"),
+        F.when(F.col("up").isNotNull(), "ready").otherwise("timeout").alias("outcome"),
+        times.from_micros(F.col("up"), kind).alias("ready_ts"),
     )

@@ -106,6 +106,42 @@ def test_late_rows_are_dropped(spark, at, tmp_path):
         (1, "timeout")]
 
 
+def test_a_start_comes_out_when_its_time_is_over(spark, at, tmp_path):
+    """One file a batch; the watermark is a minute behind the latest row before the batch."""
+    source, seen = str(tmp_path / "in"), []
+    # The timeout of 1 ends at 60, 2 is ready at 8, 3 waits for more.
+    for row in [("a", 1, at(0), "S"), ("a", 2, at(2), "S"), ("a", 9, at(62), "R"), ("b", 3, at(70), "S"),
+                ("c", 8, at(121), "R"), ("c", 8, at(131), "R"), ("c", 8, at(190), "R"), ("c", 8, at(191), "R")]:
+        spark.createDataFrame([row], STATUS).coalesce(1).write.mode("append").parquet(source)
+        time.sleep(0.01)
+    stream = spark.readStream.schema(STATUS).option("maxFilesPerTrigger", 1).parquet(source)
+    decided = stream_time_to_state(stream, start(), ready(), timeout=60, salts=2)
+
+    def note(batch, number):
+        seen.extend((number, r.event_id, r.outcome) for r in batch.collect())
+
+    query = decided.writeStream.foreachBatch(note).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    # After 121 the watermark is 61, after 131 it is 71, after 190 130: each decides in the batch that follows.
+    assert sorted(seen) == [(5, 1, "timeout"), (6, 2, "ready"), (7, 3, "timeout")]
+
+
+def test_open_starts_are_the_state(spark, at, tmp_path):
+    """Ready times and decided starts leave the state; many starts of one instant and equal ties stay apart."""
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    rows = [("a", 1, at(5), "S")] * 3 + [("a", 2, at(5), "S")] + [("a", 10 + i, at(6 + i), "R") for i in range(200)]
+    spark.createDataFrame(rows, STATUS).write.parquet(source)
+    spark.createDataFrame([("a", 900, at(5000), "S"), ("z", 901, at(5000), "R")], STATUS).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(STATUS).parquet(source)
+    decided = stream_time_to_state(stream, start(), ready(), timeout=60, salts=1)
+    query = decided.writeStream.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(out)
+    query.awaitTermination()
+    found = spark.read.schema(decided.schema).parquet(out).collect()
+    assert sorted((r.event_id, r.outcome, r.ready_ts) for r in found) == [(1, "ready", at(6))] * 3 + [(2, "ready", at(6))]
+    state = query.lastProgress["stateOperators"][0]["customMetrics"]
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 6, state
+
+
 def test_health(spark):
     states = [("RUNNING", "ACTIVE"), ("RUNNING", "STARTING"), ("PENDING", "STOPPED"), ("RUNNING", "STOPPED"),
               (None, None), (None, "PENDING")]
