@@ -17,10 +17,9 @@ import operator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from convoframe.functions.names import free
 from convoframe.session import materialise
 
-BLOCK = "_block"
-
 
 class Blocks:
     """Rows with the number of their block; blocks of a key are numbered in its order.
@@ -31,15 +30,17 @@ class Blocks:
 
     def __init__(self, df: DataFrame, keys: list[str], order: list[Column], partitions: int | None = None):
         self.keys = list(keys)
-        self.by = [*self.keys, BLOCK]
+        # A name that the rows do not use.
+        self.block = free(df, "_block")
+        self.by = [*self.keys, self.block]
         cuts = [*[F.col(k) for k in self.keys], *order]
         dealt = df.repartitionByRange(partitions, *cuts) if partitions else df.repartitionByRange(*cuts)
         # Written once: a number that is computed again might differ.
-        self.rows = materialise(dealt.withColumn(BLOCK, F.spark_partition_id()), "blocks")
+        self.rows = materialise(dealt.withColumn(self.block, F.spark_partition_id()), "blocks")
 
     def with_carry(self, rows: DataFrame, carry: DataFrame) -> DataFrame:
         """Add to each row the state that enters its block: ``carry`` has one row per (key, block)."""
-        renamed = carry.withColumnsRenamed({c: f"_carry_{c}" for c in self.by})
-        same = [F.col(c).eqNullSafe(F.col(f"_carry_{c}")) for c in self.by]
-        joined = rows.join(renamed, functools.reduce(operator.and_, same), "left")
-        return joined.drop(*[f"_carry_{c}" for c in self.by])
+        theirs = {c: free(rows, f"_carry_{c}", carry) for c in self.by}
+        same = [F.col(c).eqNullSafe(F.col(theirs[c])) for c in self.by]
+        joined = rows.join(carry.withColumnsRenamed(theirs), functools.reduce(operator.and_, same), "left")
+        return joined.drop(*theirs.values())

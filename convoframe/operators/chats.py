@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from convoframe.functions import ids, text
+from convoframe.functions.names import free
 
 # Largest number of messages in one document row, which needs a bound. A chat of any length is one or more
 # rows: ``part`` numbers them and ``first_turn`` is the position of a part's first message. Every operator
@@ -102,14 +103,16 @@ def latest(df: DataFrame, version: list[str], keys: tuple[str, ...]) -> DataFram
     by = list(keys)
     if "part" in df.columns and "part" not in by:
         save = F.struct(*[F.col(c) for c in version])
-        newest = df.groupBy(*by).agg(F.max(save).alias("_newest")).withColumnsRenamed({c: f"_key_{c}" for c in by})
-        same = save.eqNullSafe(F.col("_newest"))
+        last, theirs = free(df, "_newest"), {c: free(df, f"_key_{c}") for c in by}
+        newest = df.groupBy(*by).agg(F.max(save).alias(last)).withColumnsRenamed(theirs)
+        same = save.eqNullSafe(F.col(last))
         for c in by:
-            same = same & F.col(c).eqNullSafe(F.col(f"_key_{c}"))
-        df = df.join(newest, same).drop("_newest", *[f"_key_{c}" for c in by])
+            same = same & F.col(c).eqNullSafe(F.col(theirs[c]))
+        df = df.join(newest, same).drop(last, *theirs.values())
         by = [*by, "part"]
     newest = Window.partitionBy(*by).orderBy(*[F.col(c).desc_nulls_last() for c in version])
-    return df.withColumn("_rank", F.row_number().over(newest)).where("_rank = 1").drop("_rank")
+    rank = free(df, "_rank")
+    return df.withColumn(rank, F.row_number().over(newest)).where(F.col(rank) == 1).drop(rank)
 
 
 def upsert_chats(

@@ -6,16 +6,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from convoframe.functions import ids, logs, text
+from convoframe.functions.names import free
 
 
 def clean_errors(log: DataFrame, col: str = "raw", out: str = "message") -> DataFrame:
     """Adds the error lines of a raw log."""
     # Column by column, as each is used more than once and a nested expression would be recomputed.
-    found = log.withColumn("_lines", logs.log_lines(F.col(col))).withColumn(
-        "_errors", logs.error_lines(F.col("_lines"))
-    )
-    message = logs.message(F.col(col), F.col("_lines"), F.col("_errors"))
-    return found.withColumn(out, message).drop("_lines", "_errors")
+    lines, errors = free(log, "_lines"), free(log, "_errors")
+    found = log.withColumn(lines, logs.log_lines(F.col(col))).withColumn(errors, logs.error_lines(F.col(lines)))
+    message = logs.message(F.col(col), F.col(lines), F.col(errors))
+    return found.withColumn(out, message).drop(lines, errors)
 
 
 def classify_errors(log: DataFrame, col: str = "message", out: str = "error_type") -> DataFrame:
@@ -36,9 +36,10 @@ def error_summary(log: DataFrame, col: str = "raw", ts: str = "ts") -> DataFrame
 def extract_json(log: DataFrame, col: str = "raw", out: str = "json") -> DataFrame:
     """Adds the JSON text within command output, null when there is none. Parse it with
     ``from_json`` and a declared schema."""
-    marked = log.withColumn("_direct", F.coalesce(logs.is_json(F.col(col)), F.lit(False)))
-    found = F.when(F.col("_direct"), F.col(col)).otherwise(logs.scanned_json(F.col(col), F.col("_direct")))
-    return marked.withColumn(out, found).drop("_direct")
+    direct = free(log, "_direct")
+    marked = log.withColumn(direct, F.coalesce(logs.is_json(F.col(col)), F.lit(False)))
+    found = F.when(F.col(direct), F.col(col)).otherwise(logs.scanned_json(F.col(col), F.col(direct)))
+    return marked.withColumn(out, found).drop(direct)
 
 
 def parse_listing(listing: DataFrame, col: str = "raw", out: str = "name") -> DataFrame:

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from convoframe import schemas
 from convoframe.functions import settings as rules
-from convoframe.operators.blocks import BLOCK, Blocks
+from convoframe.functions.names import free
+from convoframe.operators.blocks import Blocks
+from convoframe.session import materialise
 
 # Positions per group when looking at neighbours.
 PAIR_PART = 100_000
@@ -37,11 +39,12 @@ def number_turns(
     by = [order, tie] if tie else [order]
     blocks = Blocks(msgs, ["chat_id"], [F.col(c) for c in by], partitions)
     within = Window.partitionBy(*blocks.by).orderBy(*by)
-    earlier = Window.partitionBy("chat_id").orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("chat_id").orderBy(blocks.block).rowsBetween(Window.unboundedPreceding, -1)
+    at, before = free(msgs, "_at"), free(msgs, "_before")
     sizes = blocks.rows.groupBy(*blocks.by).agg(F.count(F.lit(1)).alias("_n"))
-    carry = sizes.select(*blocks.by, F.sum("_n").over(earlier).alias("_before"))
-    rows = blocks.rows.withColumn("_at", F.row_number().over(within))
-    place = F.col("_at") - 1 + F.coalesce("_before", F.lit(0))
+    carry = sizes.select(*blocks.by, F.sum("_n").over(earlier).alias(before))
+    rows = blocks.rows.withColumn(at, F.row_number().over(within))
+    place = F.col(at) - 1 + F.coalesce(before, F.lit(0))
     others = [c for c in msgs.columns if c != "turn"]
     return blocks.with_carry(rows, carry).select(*others, place.cast("bigint").alias("turn"))
 
@@ -100,7 +103,8 @@ def _with_history(msgs: DataFrame, max_turns: int | None, part_size: int) -> Dat
     users = placed.withColumn("_within", within).where("role = 'user'")
     # Rows travel to later ranges in which a user asks; a chat of one range sends none.
     asked = placed.where("role = 'user' and _part > 0").select(F.col("chat_id").alias("_chat"), F.col("_part").alias("_to"))
-    last = asked.groupBy("_chat").agg(F.max("_to").alias("_last"))
+    # Written, so that Spark may split a busy chat's rows in the join.
+    last = materialise(asked.groupBy("_chat").agg(F.max("_to").alias("_last")), "last-ranges")
     earlier = placed.join(last, (F.col("chat_id") == F.col("_chat")) & (F.col("_part") < F.col("_last")))
     sent = earlier.select(
         "_chat", "turn", "role", "content", F.explode(F.sequence(F.col("_part") + 1, "_last")).alias("_to")
@@ -140,7 +144,8 @@ def _system_prompts(msgs: DataFrame, settings: DataFrame | None) -> DataFrame:
                 "chat_id", F.lit(1).alias("_choice"), F.col("system_prompt").alias("_system")
             )
         )
-    return own.groupBy("chat_id").agg(F.min_by("_system", "_choice").alias("_system"))
+    # Written, so that Spark may split a busy chat's rows in the join to it.
+    return materialise(own.groupBy("chat_id").agg(F.min_by("_system", "_choice").alias("_system")), "system-prompts")
 
 
 def build_prompts(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from convoframe import schemas
 from convoframe.functions import settings as rules
-from convoframe.operators.blocks import BLOCK, Blocks
+from convoframe.operators.blocks import Blocks
 
 _SETTINGS = ("model", "temperature", "system_prompt", "theme")
 _DEFAULTS = {
@@ -65,14 +65,14 @@ def _last_known(
     closing = blocks.rows.groupBy(*blocks.by).agg(
         *[F.max_by(c, F.when(F.col(c).isNotNull(), sequence)).alias(c) for c in _SETTINGS]
     )
-    earlier = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*keys).orderBy(blocks.block).rowsBetween(Window.unboundedPreceding, -1)
     carry = closing.select(
         *blocks.by, *[F.last(c, ignorenulls=True).over(earlier).alias(f"_{c}") for c in _SETTINGS]
     )
     return (
         blocks.with_carry(rows, carry)
         .withColumns({c: F.coalesce(c, f"_{c}") for c in _SETTINGS})
-        .drop(BLOCK, *[f"_{c}" for c in _SETTINGS])
+        .drop(blocks.block, *[f"_{c}" for c in _SETTINGS])
     )
 
 

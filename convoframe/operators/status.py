@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from convoframe.functions import ids, logs
-from convoframe.operators.blocks import BLOCK, Blocks
+from convoframe.operators.blocks import Blocks
+from convoframe.session import materialise
 
 
 def classify_health(
@@ -41,7 +42,8 @@ def status_list(status: DataFrame) -> DataFrame:
 def status_report(status: DataFrame, deployments: DataFrame, by: str = "app_id") -> DataFrame:
     """The nested status document as one flat row, with health and recent deployments.
 
-    The history is at most three deployments per app, so the joined side has one short row per app.
+    The history is at most three deployments per app, so the joined side has one short row per app. It is
+    written, so that Spark may split the rows of an app with very many status documents in the join.
     """
 
     def known(column: str, default: str = "Unknown") -> Column:
@@ -58,6 +60,7 @@ def status_report(status: DataFrame, deployments: DataFrame, by: str = "app_id")
             ).alias("recent")
         )
     )
+    recent = materialise(recent, "recent-deployments")
     flat = status.select(
         *[c for c in status.columns if c not in _NESTED],
         known("url", "Not available").alias("url"),
@@ -119,7 +122,7 @@ def time_to_state(
     opening = blocks.rows.groupBy(*blocks.by).agg(F.min(ready_ts).alias("_first"))
     later = (
         Window.partitionBy(by)
-        .orderBy(F.col(BLOCK).desc())
+        .orderBy(F.col(blocks.block).desc())
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     carry = opening.select(*blocks.by, F.min("_first").over(later).alias("_later"))

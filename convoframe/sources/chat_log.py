@@ -16,12 +16,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from convoframe.functions.names import free
 from convoframe.operators.chats import latest
+from convoframe.session import materialise
 
 RUN = "run"
 BATCH = "batch"
 # When a row was saved, in microseconds of the writer's clock.
 SAVED = "saved_at"
+# Runs whose beginnings are broadcast (a short id and a number each).
+BROADCAST_RUNS = 10_000
 
 
 def write_batch(df: DataFrame, path: str, batch: int, run: str = "0", saved_at: int | None = None) -> None:
@@ -42,10 +46,13 @@ def read_current(
     fields = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
     placed = [T.StructField(SAVED, T.LongType()), T.StructField(RUN, T.StringType()), T.StructField(BATCH, T.LongType())]
     rows = spark.read.schema(T.StructType([*fields.fields, *placed])).parquet(path)
-    # One row per run, from the save times alone.
-    began = rows.groupBy(RUN).agg(F.min(SAVED).alias("_began"))
+    # One row per run, from the save times alone. A run is a writer, so there are few; a table of very many
+    # is joined as Spark sees fit, else all rows of one writer's table would be shuffled to one task.
+    first = free(rows, "_began")
+    began = materialise(rows.groupBy(RUN).agg(F.min(SAVED).alias(first)), "runs")
+    began = F.broadcast(began) if began.count() <= BROADCAST_RUNS else began
     rows = rows.join(began, RUN)
-    return latest(rows, ["_began", RUN, BATCH, *version], tuple(keys)).drop(RUN, BATCH, SAVED, "_began")
+    return latest(rows, [first, RUN, BATCH, *version], tuple(keys)).drop(RUN, BATCH, SAVED, first)
 
 
 def compact(
