@@ -11,6 +11,7 @@ from convoframe.plans.registry import Tables, query, time_text
 from convoframe.session import scratch_path
 from convoframe.sources import chat_log
 from convoframe.sources import chats as files
+from convoframe.sources.chat_table import ChatTable
 
 
 def _joined(column: str):
@@ -426,3 +427,58 @@ def x7(t: Tables):
     compacted = scratch_path(t.spark, "chat-log")
     chat_log.compact(t.spark, path, compacted, saves.schema, version=("ts", "event_id"))
     return chat_log.read_current(t.spark, compacted, saves.schema, version=("ts", "event_id")).drop("ts")
+
+
+def _saves(t: Tables):
+    """Events as saves of one chat for each user; the earlier half of the ids, and the later one."""
+    saves = t.read("events").select(F.col("user_id").cast("string").alias("chat_id"), "event_type", "value", "event_id")
+    half = F.col("event_id") * 2 <= saves.agg(F.max("event_id").alias("m")).select("m").scalar()
+    return saves, saves.where(half), saves.where(~half)
+
+
+@query(
+    "s4_published_saves",
+    """
+    with e as (
+      select cast(user_id as varchar) as chat_id, event_type, value, event_id,
+        event_id * 2 <= (select max(event_id) from events) as early from events)
+    select 1::bigint as version, chat_id, event_type, value, event_id from e where early
+    qualify row_number() over (partition by chat_id order by event_id desc) = 1
+    union all
+    select 2, chat_id, event_type, value, event_id from e
+    qualify row_number() over (partition by chat_id order by event_id desc) = 1""",
+)
+def s4_published(t: Tables):
+    """Two published saves of a chat table, each version read for itself."""
+    saves, early, late = _saves(t)
+    table = ChatTable(t.spark, scratch_path(t.spark, "chat-table"), saves.schema)
+    first = table.save(early, version=("event_id",))
+    second = table.save(late, version=("event_id",))
+    of = lambda n: table.read(n).select(F.lit(n).cast("bigint").alias("version"), *saves.columns)
+    return of(first).unionByName(of(second))
+
+
+@query(
+    "x7_table_deletes",
+    """
+    with e as (select cast(user_id as varchar) as chat_id, user_id, event_type, value, event_id from events),
+    n as (
+      select * from e where user_id % 7 <> 0 qualify row_number() over (partition by chat_id order by event_id desc) = 1),
+    again as (
+      select * from e where user_id % 14 = 0 and event_type = 'purchase'
+      qualify row_number() over (partition by chat_id order by event_id desc) = 1)
+    select chat_id, event_type, value, event_id from (select * from n union all select * from again)""",
+)
+def x7_deletes(t: Tables):
+    """Chats saved by one writer, some deleted by a second and some of these saved again by a third, then compacted."""
+    saves, early, late = _saves(t)
+    path = scratch_path(t.spark, "chat-table")
+    writer = ChatTable(t.spark, path, saves.schema)
+    writer.save(early, version=("event_id",))
+    writer.save(late, version=("event_id",))
+    number = F.col("chat_id").cast("bigint")
+    ChatTable(t.spark, path, saves.schema).delete(saves.where(number % 7 == 0).select("chat_id"))
+    third = ChatTable(t.spark, path, saves.schema)
+    third.save(saves.where((number % 14 == 0) & (F.col("event_type") == "purchase")), version=("event_id",))
+    third.compact()
+    return third.read()
