@@ -19,8 +19,11 @@ from convoframe.llm.prefix_trie import borrowed_heads, prefix_trie
 from convoframe.llm.quality import score_quality
 from convoframe.llm.records import read_records, write_records
 from convoframe.llm.toxicity import score_toxicity
-from convoframe.llm.transcripts import Model, fit, parse_transcripts, role_state
-from convoframe.llm.warc import read_index, read_records as read_captures, write_archives
+from convoframe.llm.transcripts import Model, fit, parse_transcripts, render, role_state
+from convoframe.llm.warc import read_index, write_archives
+from convoframe.llm.warc import read_records as read_captures
+from convoframe.operators.messages import number_turns
+from convoframe.session import materialise
 
 WORD_BPE = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
@@ -196,73 +199,71 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# Line numbers of a turn lie within one span of this many.
-LINES_PER_TURN = 1 << 20
-
-
 def raw_lines(conversations: DataFrame) -> DataFrame:
     """Lines of unlabelled transcripts as they are pasted: speakers named in one of four styles, one turn in
     eight unnamed after a blank line.
 
-    Columns: transcript, line, text, blank, and what is to be recovered: role, turn, first.
+    Every row is a turn, by number, null numbers last, and by role and text where numbers are equal; lines are
+    numbered through. Columns: transcript, line, text, blank, and what is to be recovered: role, turn, first.
     """
     styles = {
         "user": ("User: ", "Human: ", "[user] ", "Q: "),
         "assistant": ("Assistant: ", "AI: ", "[assistant] ", "A: "),
         "system": ("System: ", "SYS: ", "[system] ", "Note: "),
     }
-    style = F.pmod(F.xxhash64("conv_id"), F.lit(4)).cast("int")
+    place = F.struct(F.col("turn").isNull().alias("none"), "turn")
+    turns = conversations.select(F.col("conv_id").alias("chat_id"), F.struct("role", "text").alias("said"), place.alias("turn"))
+    turns = number_turns(turns, "turn", "said")
+    style = F.pmod(F.xxhash64("chat_id"), F.lit(4)).cast("int")
     name = F.lit("")
     for role, marks in styles.items():
-        name = F.when(F.col("role") == role, F.get(F.array(*[F.lit(m) for m in marks]), style)).otherwise(name)
-    unnamed = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(8)) == 0
-    lines = conversations.select(
-        "conv_id",
-        "turn",
-        "role",
+        name = F.when(F.col("said.role") == role, F.get(F.array(*[F.lit(m) for m in marks]), style)).otherwise(name)
+    unnamed = F.pmod(F.xxhash64("chat_id", "turn"), F.lit(8)) == 0
+    lines = turns.select(
+        "chat_id",
+        F.col("turn").alias("said_at"),
+        F.col("said.role").alias("role"),
         name.alias("name"),
         unnamed.alias("unnamed"),
         (style % 2 == 1).alias("spaced"),
-        F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("i", "part"),
+        F.posexplode(F.split(F.coalesce("said.text", F.lit("")), "\n")).alias("i", "part"),
     )
+    lines = number_turns(lines.withColumn("turn", F.struct("said_at", "i")))
     first = F.col("i") == 0
     return lines.select(
-        F.col("conv_id").alias("transcript"),
-        (F.col("turn") * LINES_PER_TURN + F.col("i")).alias("line"),
+        F.col("chat_id").alias("transcript"),
+        F.col("turn").alias("line"),
         F.when(first & ~F.col("unnamed"), F.concat("name", "part")).otherwise(F.col("part")).alias("text"),
         (first & (F.col("spaced") | F.col("unnamed"))).alias("blank"),
         "role",
-        "turn",
+        F.col("said_at").alias("turn"),
         first.alias("first"),
     )
 
 
 def labelled_lines(raw: DataFrame) -> DataFrame:
-    """Lines with their state and the state before, from neighbouring turns joined by number."""
+    """Lines with their state and that of the line before, -1 at a transcript's start."""
     state = role_state(F.col("role"), F.col("first"))
-    lines = raw.select("transcript", "line", "text", "blank", "turn", "first", state.alias("state"))
-    last = lines.groupBy("transcript", F.col("turn") + 1).agg(F.max_by("state", "line").alias("before_turn"))
-    last = last.toDF("t", "u", "before_turn")
-    opening = lines.where("first").join(last, (F.col("transcript") == F.col("t")) & (F.col("turn") == F.col("u")), "left")
-    opening = opening.select("text", "blank", "state", F.coalesce("before_turn", F.lit(-1)).alias("before"))
-    second = (F.col("line") % LINES_PER_TURN) == 1
-    further = lines.where("not first").select(
-        "text", "blank", "state", F.when(second, F.col("state") - 1).otherwise(F.col("state")).alias("before")
-    )
-    return opening.unionByName(further).where("state is not null")
+    lines = raw.select("transcript", "line", "text", "blank", state.alias("state"))
+    last = lines.select(F.col("transcript").alias("t"), (F.col("line") + 1).alias("l"), F.col("state").alias("before"))
+    both = lines.join(last, (F.col("transcript") == F.col("t")) & (F.col("line") == F.col("l")), "left")
+    both = both.select("text", "blank", "state", F.coalesce("before", F.lit(-1)).alias("before"))
+    return both.where("state is not null")
 
 
 @query()
 def op3_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns recovered from the transcripts of all conversations, by a model of those not held out."""
-    raw = raw_lines(table(spark, sf_dir, "conversations"))
+    """Turns recovered from the transcripts of all conversations, by a model of those not held out, and the
+    digest of each as it is rendered."""
+    raw = materialise(raw_lines(table(spark, sf_dir, "conversations")), "raw-lines")
     model = Model(*fit(labelled_lines(raw.where(~held_out("transcript")))))
-    turns = parse_transcripts(raw.select("transcript", "line", "text", "blank"), model, span=64 * LINES_PER_TURN)
+    turns = render(parse_transcripts(raw.select("transcript", "line", "text", "blank"), model))
     return turns.select(
         F.col("transcript").alias("conv_id"),
         "turn",
         "role",
-        F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"),
+        F.sha2("text", 256).alias("text_sha256"),
+        F.sha2("canonical", 256).alias("canonical_sha256"),
         held_out("transcript").alias("held_out"),
     )
 

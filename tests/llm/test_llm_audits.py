@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -13,8 +14,10 @@ import pytest
 from pyarrow import fs as pafs
 from pyspark.sql import functions as F
 
+from convoframe.llm import queries
 from convoframe.llm.divergence import Tile, audit_sources, divergence, only_letters, shares
 from convoframe.llm.prefix_trie import FACTORS, PRIME, DoubleArray, borrowed_heads, follow, prefix_trie
+from convoframe.llm.transcripts import STATES, Model, fit, parse_transcripts, render, viterbi
 from convoframe.llm.warc import (
     LoserTree,
     parse,
@@ -336,3 +339,52 @@ def test_prefix_hashes_follow_the_polynomial():
         key = np.array([draw.randrange(PRIME) for _ in range(200)])
         turn = np.array([draw.randrange(1 << 40) for _ in range(200)])
         assert follow(key, factor, turn).tolist() == [(k * factor + t + 1) % PRIME for k, t in zip(key.tolist(), turn.tolist(), strict=True)]
+
+
+# Transcripts
+
+
+@pytest.fixture(scope="module")
+def speaker_model(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    return Model(*fit(queries.labelled_lines(queries.raw_lines(rows))))
+
+
+def test_paths_are_the_best_of_all(spark, speaker_model):
+    """Against every sequence of states of short transcripts, for any cutting into blocks."""
+    draw = random.Random(9)
+    lines, best = [], {}
+    for t in range(8):
+        seen = [draw.randrange(len(speaker_model.lines)) for _ in range(draw.randrange(1, 6))]
+        lines += [(t, 3 * i, s) for i, s in enumerate(seen)]
+        scores = {}
+        for path in itertools.product(range(STATES), repeat=len(seen)):
+            steps = zip(seen, [STATES, *path], path, strict=False)
+            scores[path] = sum(speaker_model.lines[s, a, b] for s, a, b in steps)
+        best[t] = max(scores.values()), scores
+    table = spark.createDataFrame(lines, "transcript long, line long, seen int")
+    for block, span in ((512, 512), (2, 1), (2, 4)):
+        found: dict = {}
+        for r in sorted(viterbi(table, speaker_model, block, span).collect()):
+            found.setdefault(r.transcript, []).append(r.state)
+        for t, path in found.items():
+            assert best[t][1][tuple(path)] == pytest.approx(best[t][0])
+
+
+def test_no_row_of_a_conversation_is_lost(spark, speaker_model):
+    """Rows that share a turn number, rows without one, repeated rows and many lines."""
+    rows = [(1, 0, "user", "Hello there, how are you?"), (1, 0, "assistant", "I am fine."), (1, None, "user", "Thanks a lot."),
+            (1, None, "user", "Thanks a lot."), (2, None, "user", "only this"), (3, 5, "user", "\n".join(f"line {i}" for i in range(3_000))),
+            (3, 6, "assistant", None), (None, 0, "user", "whose?")]
+    table = with_clashes(conversations(spark, rows))
+    raw = queries.raw_lines(table).collect()
+    assert Counter((r.transcript, r.role) for r in raw if r["first"]) == Counter((c, role) for c, _, role, _ in rows)
+    for c in (1, 2, 3, None):
+        own = sorted(r.line for r in raw if r.transcript == c)
+        assert own == list(range(len(own)))
+    assert [r.role for r in sorted(raw, key=lambda r: r.line) if r.transcript == 1] == ["assistant", "user", "user", "user"]
+    lines = queries.raw_lines(table).select("transcript", "line", "text", "blank")
+    turns = render(parse_transcripts(lines, speaker_model)).collect()
+    assert {r.transcript for r in turns} == {1, 2, 3, None}
+    assert all(r.canonical == f"<|{r.role}|>\n{r.text}" for r in turns)
+    assert sum(r.text.count("line ") for r in turns) == 3_000
