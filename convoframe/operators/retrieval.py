@@ -10,6 +10,12 @@ documents, so most of it is never formed, without losing a hit:
 3. candidates that could not reach the bound even with all remaining terms are dropped, the rest
    get the remaining terms by a lookup on (document, term).
 
+Questions of frequent words only, which most documents answer somehow, are narrowed further by blocks of
+documents with their terms' largest contributions (block-max): a block whose contributions together stay
+below the bound is not looked into. Blocks are the cells of a k-d tree over what the commonest terms
+contribute, so that documents of a block are alike in just these terms; the tree is made from a bounded
+sample of texts, and decides only how much is skipped, never what is found.
+
 Documents with the same text are indexed and scored once, and so are questions with the same terms:
 a group of copies, however large, is one row until the end, where only its first ``k`` documents can
 be among the best.
@@ -20,8 +26,10 @@ with it the partitioning, cannot change a score or a rank.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +42,15 @@ _SCALE = 1_000_000
 # Rarest terms of a question whose best documents give the bound. More terms tighten the bound;
 # the result is the same for any number.
 _SEED_TERMS = 4
+# Texts that the tree of blocks is made from, the commonest terms among them that it divides by, and the
+# fewest sampled texts in a block.
+_SAMPLE = 20_000
+_COMMON = 8
+_LEAF = 16
+# Blocks that are scored whole for the bound of a question, and postings for each entry of a block from which
+# on a question goes by blocks.
+_FIRST_BLOCKS = 3
+_BLOCK_PAYS = 4
 # Terms fetch no candidates while their largest contributions add up to less than this share of the
 # bound. A larger share means fewer candidates to fetch, but more of them to look up.
 _SPARE = 0.4
@@ -41,7 +58,7 @@ _SPARE = 0.4
 
 @dataclass
 class SearchIndex:
-    """Written tables: ``documents (doc_id, text_key)``; ``postings (doc_id, n_tokens, copies, term,
+    """Written tables: ``documents (doc_id, text_key)``; ``postings (doc_id, n_tokens, copies, block, term,
     tf)``, where ``doc_id`` is the first document with that text and ``copies`` their number; and the
     one-row ``corpus (n_docs, avg_tokens)``."""
 
@@ -50,42 +67,82 @@ class SearchIndex:
     corpus: DataFrame
 
 
+def _divide(points: np.ndarray, least: int) -> tuple[list[int], list[float]]:
+    """A balanced k-d tree over rows of points, in heap order: the column and the value that divide each cell.
+
+    A cell is divided in the column whose values differ most, at its median; all cells of a level are.
+    """
+    columns, values, cells = [], [], [np.arange(len(points))]
+    while cells and len(points) // (2 * len(cells)) >= least:
+        below = []
+        for cell in cells:
+            own = points[cell] if len(cell) else np.zeros((1, points.shape[1]))
+            column = int(np.argmax(own.max(0) - own.min(0)))
+            value = float(np.median(own[:, column]))
+            columns.append(column)
+            values.append(value)
+            upper = points[cell, column] > value
+            below += [cell[~upper], cell[upper]]
+        cells = below
+    return columns, values
+
+
+def _with_blocks(texts: DataFrame, shares: list[str]) -> DataFrame:
+    """``texts`` with their block, by a tree made from a sample of what the commonest terms contribute."""
+    if not shares:
+        return texts.withColumn("block", F.lit(0))
+    sample = texts.orderBy(F.xxhash64("text_key")).limit(_SAMPLE).select(*shares).toArrow()
+    points = np.column_stack([sample.column(c).to_numpy() for c in shares]).reshape(-1, len(shares))
+    columns, values = _divide(points, _LEAF)
+    held = F.array(*shares)
+    column, value = (F.lit(x).cast(f"array<{kind}>") for x, kind in ((columns, "int"), (values, "double")))
+    # One column for each level of the tree.
+    texts = texts.withColumns({"block": F.lit(0), "_held": held})
+    for _ in range((len(columns) + 1).bit_length() - 1):
+        node = F.col("block")
+        texts = texts.withColumn("block", 2 * node + 1 + (F.get("_held", F.get(column, node)) > F.get(value, node)).cast("int"))
+    return texts.drop("_held")
+
+
 def index_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> SearchIndex:
-    """Tokenise every distinct text once and write the index to the shared folder."""
-    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
-    documents = materialise(
-        named.select("doc_id", F.sha2("_text", 256).alias("text_key")), "documents"
-    )
+    """Tokenise the texts and write the index to the shared folder.
+
+    Texts stay where they are: occurrences are counted by (text, term) before the shuffle, copies together,
+    and divided by the number of copies after it.
+    """
+    named = docs.select(F.col(id_col).alias("doc_id"), F.sha2(text_col, 256).alias("text_key"), F.col(text_col).alias("_text"))
+    documents = materialise(named.select("doc_id", "text_key"), "documents")
+    # The outer explode keeps Spark from testing for empty arrays, that is from tokenising twice.
+    occurrences = named.select("text_key", F.explode_outer(rules.tokens(F.col("_text"))).alias("term"))
+    counted = occurrences.where("term is not null").groupBy("text_key", "term").agg(F.count(F.lit(1)).alias("n"))
+    counted = materialise(counted, "term-counts")
     firsts = (
         documents.where("text_key is not null")
         .groupBy("text_key")
         .agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
-        .select("doc_id", "copies")
-    )
-    # A shuffled join on purpose: it spreads the texts by document, so the terms of a document are
-    # counted where they are, and the written postings lie together by document, which keeps later
-    # sums per document local.
-    tokenised = (
-        named.join(firsts.hint("merge"), "doc_id")
-        .select("doc_id", "copies", rules.tokens(F.col("_text")).alias("_tokens"))
-        .select("doc_id", "copies", "_tokens", F.size("_tokens").alias("n_tokens"))
     )
-    # The outer explode keeps Spark from testing for empty arrays, that is from tokenising twice.
-    occurrences = tokenised.select(
-        "doc_id", "n_tokens", "copies", F.explode_outer("_tokens").alias("term")
-    ).where("term is not null")
-    postings = materialise(
-        occurrences.groupBy("doc_id", "n_tokens", "copies", "term").agg(
-            F.count(F.lit(1)).alias("tf")
-        ),
-        "postings",
+    terms = counted.groupBy("term").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "term").limit(_COMMON)
+    common = [r["term"] for r in terms.collect()]
+    held = counted.groupBy("text_key").agg(
+        F.sum("n").alias("total"), *[F.max(F.when(F.col("term") == t, F.col("n"))).alias(f"n{i}") for i, t in enumerate(common)]
     )
     n_docs = documents.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
-    tokens = F.sum(F.col("tf") * F.col("copies"))
-    corpus = materialise(
-        postings.agg(n_docs.alias("n_docs"), (tokens / n_docs).alias("avg_tokens")), "corpus"
+    corpus = materialise(counted.agg(n_docs.alias("n_docs"), (F.sum("n") / n_docs).alias("avg_tokens")), "corpus")
+    average = corpus.select("avg_tokens").scalar()
+
+    def share(n: str) -> Column:
+        tf, size = F.coalesce(n, F.lit(0)) / F.col("copies"), F.col("total") / F.col("copies")
+        return (tf / (tf + K1 * (1 - B + B * size / average))).alias(n)
+
+    shares = [f"n{i}" for i in range(len(common))]
+    texts = held.join(firsts, "text_key").select(
+        "text_key", "doc_id", "copies", F.expr("total div copies").alias("n_tokens"), *[share(n) for n in shares]
     )
-    return SearchIndex(documents, postings, corpus)
+    texts = _with_blocks(materialise(texts, "texts"), shares).drop(*shares)
+    postings = counted.join(texts, "text_key").select(
+        "doc_id", "n_tokens", "copies", "block", "term", F.expr("n div copies").alias("tf")
+    )
+    return SearchIndex(documents, materialise(postings, "postings"), corpus)
 
 
 def _vocabulary(asked: DataFrame, index: SearchIndex, max_df_share: float | None) -> DataFrame:
@@ -138,18 +195,8 @@ def _lower_bounds(q_terms: DataFrame, weights: DataFrame, k: int) -> DataFrame:
         .select("term_id", "doc_id")
     )
     pairs = seeds.join(top_docs, "term_id").select("_q", "doc_id").distinct()
-    by_score = Window.partitionBy("_q").orderBy(F.col("points").desc())
-    return (
-        _looked_up(pairs, q_terms, weights)
-        .groupBy("_q", "doc_id")
-        .agg(F.sum("points").alias("points"))
-        .withColumn("_rank", F.row_number().over(by_score))
-        .where(F.col("_rank") <= k)
-        .groupBy("_q")
-        .agg(F.count(F.lit(1)).alias("_n"), F.min("points").alias("_bound"))
-        .where(F.col("_n") == k)
-        .select("_q", "_bound")
-    )
+    scored = _looked_up(pairs, q_terms, weights).groupBy("_q", "doc_id").agg(F.sum("points").alias("points"))
+    return _kth_best(scored, k)
 
 
 def _marked_terms(q_terms: DataFrame, weights: DataFrame, k: int) -> DataFrame:
@@ -182,24 +229,70 @@ def _all_scores(q_terms: DataFrame, weights: DataFrame) -> DataFrame:
     )
 
 
+def _kth_best(scored: DataFrame, k: int) -> DataFrame:
+    """``_q, _bound``: the ``k``-th best of the scores of each question that has so many."""
+    by_score = Window.partitionBy("_q").orderBy(F.col("points").desc())
+    ranked = scored.withColumn("_rank", F.row_number().over(by_score)).where(F.col("_rank") <= k)
+    bounds = ranked.groupBy("_q").agg(F.count(F.lit(1)).alias("_n"), F.min("points").alias("_bound"))
+    return bounds.where(F.col("_n") == k).select("_q", "_bound")
+
+
+def _block_scores(q_blocks: DataFrame, q_terms: DataFrame, weights: DataFrame) -> DataFrame:
+    """Scores of all documents of given blocks, by given terms of the questions."""
+    wanted = q_blocks.select("_q", "block").join(q_terms.select("_q", "term_id"), "_q")
+    found = wanted.join(weights, ["term_id", "block"])
+    return found.groupBy("_q", "doc_id").agg(F.sum("points").alias("points"))
+
+
+def _kept_blocks(marked: DataFrame, limits: DataFrame, tops: DataFrame, weights: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """The blocks that may hold one of a question's best documents, and the bound found on the way.
+
+    ``(_q, block)`` and ``(_q, _bound)``. A block's documents get no more from the fetching terms than the
+    largest contributions of these within the block.
+    """
+    reach = marked.where("_fetches").join(tops, "term_id").groupBy("_q", "block").agg(F.sum("top").alias("reach"))
+    reach = materialise(reach, "block-bounds")
+    first = Window.partitionBy("_q").orderBy(F.desc("reach"), "block")
+    promising = reach.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= _FIRST_BLOCKS)
+    found = _kth_best(_block_scores(promising, marked, weights), k).withColumnRenamed("_bound", "_found")
+    bounds = limits.join(found, "_q", "left").select(
+        "_q", "_spare", F.greatest("_bound", F.coalesce("_found", F.lit(0))).alias("_bound")
+    )
+    bounds = materialise(bounds, "block-limits")
+    kept = reach.join(bounds, "_q").where(F.col("reach") + F.col("_spare") >= F.col("_bound")).select("_q", "block")
+    return materialise(kept, "kept-blocks"), bounds
+
+
 def _scores_that_matter(q_terms: DataFrame, weights: DataFrame, k: int) -> DataFrame:
     """The scores of all documents that can be among a question's ``k`` best, and of some more."""
     marked = materialise(_marked_terms(q_terms, weights, k), "bounds")
-    fetching = marked.where("_fetches")
-    rest = marked.where("not _fetches")
+    fetching = F.col("_fetches")
+    n_blocks = weights.agg(F.count_distinct("block").alias("n")).select("n").scalar()
     limits = marked.groupBy("_q").agg(
         F.first("_bound").alias("_bound"),
-        F.coalesce(F.max(F.when(~F.col("_fetches"), F.col("_upto"))), F.lit(0)).alias("_spare"),
+        F.coalesce(F.max(F.when(~fetching, F.col("_upto"))), F.lit(0)).alias("_spare"),
+        F.coalesce(F.sum(F.when(fetching, F.col("n_texts"))), F.lit(0)).alias("_postings"),
+        F.count_if(fetching).alias("_terms"),
     )
+    broad = F.col("_postings") > _BLOCK_PAYS * F.col("_terms") * n_blocks
+    limits = materialise(limits.withColumn("_broad", broad), "limits")
+    narrow = limits.where("not _broad").select("_q", "_bound", "_spare")
+    wide = limits.where("_broad").select("_q", "_bound", "_spare")
+    columns = ["_q", "doc_id", "points"]
+    partial = _all_scores(marked.where(fetching).join(narrow.select("_q"), "_q", "left_semi"), weights).join(narrow, "_q")
+    partial = partial.select(*columns, "_bound", "_spare")
+    if not wide.isEmpty():
+        asked = marked.join(wide.select("_q"), "_q", "left_semi")
+        tops = weights.join(asked.where(fetching).select("term_id").distinct(), "term_id", "left_semi")
+        tops = tops.groupBy("term_id", "block").agg(F.max("points").alias("top"))
+        kept, bounds = _kept_blocks(asked, wide, tops, weights, k)
+        by_block = _block_scores(kept, asked.where(fetching), weights).join(bounds, "_q")
+        partial = partial.unionByName(by_block.select(*columns, "_bound", "_spare"))
     candidates = materialise(
-        _all_scores(fetching, weights)
-        .join(limits, "_q")
-        .where(F.col("points") + F.col("_spare") >= F.col("_bound"))
-        .select("_q", "doc_id", "points"),
-        "candidates",
+        partial.where(F.col("points") + F.col("_spare") >= F.col("_bound")).select(columns), "candidates"
     )
     return (
-        candidates.unionByName(_looked_up(candidates, rest, weights))
+        candidates.unionByName(_looked_up(candidates, marked.where(~fetching), weights))
         .groupBy("_q", "doc_id")
         .agg(F.sum("points").alias("points"))
     )
@@ -258,7 +351,7 @@ def search_documents(
     average = index.corpus.select("avg_tokens").scalar()
     weights = materialise(
         index.postings.join(vocabulary.select("term", "term_id", "idf"), "term").select(
-            "doc_id", "term_id", _points(average).alias("points")
+            "doc_id", "block", "term_id", _points(average).alias("points")
         ),
         "weights",
     )
