@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,9 +52,32 @@ def _run_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/convoframe/{_RUN}"
 
 
+# The scratch paths that this process has made, in order.
+_made: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; never one that another run reads."""
-    return f"{_run_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_run_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def scratch_paths() -> Iterator[list[str]]:
+    """The scratch paths that are made within, listed at its end; for ``release``."""
+    before, made = len(_made), []
+    yield made
+    made += _made[before:]
+
+
+def release(spark: SparkSession, paths: list[str], keep: DataFrame | None = None) -> None:
+    """Removes scratch tables once what was made from them is written. Those that ``keep`` reads stay."""
+    read = keep.inputFiles() if keep is not None else []
+    for path in paths:
+        if not any(path.split("://")[-1] in file for file in read):
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def cleanup(spark: SparkSession) -> None:

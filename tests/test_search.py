@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 import re
@@ -208,3 +209,39 @@ def test_a_message_saved_twice_needs_a_version(spark, tmp_path):
     run = autosave.stream_autosave(stream, str(tmp_path / "t"), str(tmp_path / "cp"), available_now=True)
     with pytest.raises(Exception, match="version"):
         run.awaitTermination()
+
+
+def test_frequent_words_are_pruned_by_blocks(spark, monkeypatch):
+    """Questions of the five commonest terms look into less than a tenth of the documents, and lose no hit."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").dropDuplicates(["text"])
+    held = [(r.doc_id, r.text) for r in docs.collect()]
+    split = {d: Counter(re.findall(r"[^\W_]+", t.lower())) for d, t in held}
+    common = [t for t, _ in Counter(t for c in split.values() for t in c).most_common(5)]
+    asked = [(i, " ".join(words)) for i, words in enumerate(itertools.combinations(common, 3))] + [(99, " ".join(common))]
+    index = retrieval.index_documents(docs)
+    kept = []
+    whole = retrieval._kept_blocks
+
+    def seen(*args):
+        found = whole(*args)
+        kept.append(found[0])
+        return found
+
+    monkeypatch.setattr(retrieval, "_kept_blocks", seen)
+    hits = retrieval.search_documents(spark.createDataFrame(asked, "q bigint, content string"), index, 5).collect()
+    sizes = index.postings.select("block", "doc_id").distinct().groupBy("block").count()
+    pairs = kept[0].join(sizes, "block").agg(F.sum("count")).first()[0]
+    assert pairs < 0.1 * len(asked) * len(held)
+    average = sum(sum(c.values()) for c in split.values()) / len(split)
+    df = Counter(t for c in split.values() for t in c)
+    for q, text in asked:
+        scores = {}
+        for d, counts in split.items():
+            size = sum(counts.values())
+            for t in text.split():
+                if counts[t]:
+                    idf = math.log(1 + (len(held) - df[t] + 0.5) / (df[t] + 0.5))
+                    share = counts[t] * 2.2 / (counts[t] + 1.2 * (1 - 0.75 + 0.75 * size / average))
+                    scores[d] = scores.get(d, 0) + int(math.floor(idf * share * 1e6 + 0.5))
+        best = sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:5]
+        assert [(r.doc_id, round(r.score * 1e6)) for r in sorted(hits, key=lambda r: r["rank"]) if r.q == q] == best

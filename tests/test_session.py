@@ -2,6 +2,7 @@ from types import SimpleNamespace
 
 import pytest
 
+from convoframe import session
 from convoframe.session import materialise, scratch_path, shared_dir
 
 
@@ -29,3 +30,15 @@ def test_materialised_rows_come_from_files(spark, rows):
     assert rows(written) == rows(df) and written.dtypes == df.dtypes
     assert written.inputFiles()[0].split(":", 1)[1].lstrip("/").startswith(shared_dir(spark).lstrip("/"))
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
+
+
+def test_released_tables_go_but_those_still_read(spark):
+    with session.scratch_paths() as made:
+        one = session.materialise(spark.range(3), "one")
+        two = session.materialise(spark.range(5), "two")
+    other = session.materialise(spark.range(7), "other")
+    assert len(made) == 2
+    session.release(spark, made, keep=two)
+    assert two.count() == 5 and other.count() == 7
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist"):
+        one.count()
