@@ -75,28 +75,33 @@ class DoubleArray:
 
     def _grow(self, size: int) -> None:
         if size > len(self.check):
-            more = max(size, len(self.check) * 5 // 4) - len(self.check)
+            more = max(size, len(self.check) * 65 // 64) - len(self.check)
             self.base = np.concatenate([self.base, np.zeros(more, np.int64)])
             self.check = np.concatenate([self.check, np.full(more, self.FREE, np.int64)])
 
     def insert(self, parents: np.ndarray, codes: np.ndarray) -> None:
-        """Gives each parent slot, which has no children yet, all of its children: rows by parent, then code."""
+        """Gives each parent slot, which has no children yet, all of its children; a parent's rows lie together."""
         if not len(parents):
             return
         starts = np.flatnonzero(np.concatenate([[True], parents[1:] != parents[:-1]]))
         sizes = np.diff(np.append(starts, len(parents)))
         free, at = np.flatnonzero(self.check == self.FREE), 0
         for k in np.flatnonzero(sizes > 1).tolist():
-            own = codes[starts[k] : starts[k] + sizes[k]]
-            for place in free[at : at + TRIES].tolist():
+            own = np.sort(codes[starts[k] : starts[k] + sizes[k]])
+            span = int(own[-1] - own[0]) + 1
+            # Places whose last child still lies in the array, from all over it: neighbours are full alike.
+            fits = int(np.searchsorted(free, len(self.check) - span, side="right"))
+            tried = free[(at + np.arange(TRIES) * (fits // TRIES + 1)) % fits] if fits else free[:0]
+            for place in tried.tolist():
                 slots = place - own[0] + own
-                if slots[-1] < len(self.check) and (self.check[slots] == self.FREE).all():
+                if (self.check[slots] == self.FREE).all():
                     break
             else:
                 end = len(self.check)
-                self._grow(end + int(own[-1] - own[0]) + 1)
+                self._grow(end + span)
+                free, at = np.flatnonzero(self.check == self.FREE), 0
                 slots = end - own[0] + own
-            at = at + 1 if at + 1 < len(free) else 0
+            at += 1
             self.base[parents[starts[k]]] = slots[0] - own[0]
             self.check[slots] = parents[starts[k]]
         # A node of one child fits into any free slot.
@@ -122,8 +127,11 @@ def _block(rows: dict[str, np.ndarray], span: int) -> Iterator[pa.RecordBatch]:
     """The parts of all nodes of a block; its rows are in order of (prefix, list, conversation)."""
     conv, lengths, total = rows["conv"], rows["lengths"], rows["total"]
     starts = np.concatenate([[0], np.cumsum(lengths)])
-    alphabet, codes = np.unique(rows["ids"], return_inverse=True)
-    codes = codes + 1
+    # Codes in the order of first use: turns of one subtree have near codes, and nodes need narrow places.
+    alphabet, seen, codes = np.unique(rows["ids"], return_index=True, return_inverse=True)
+    order = np.empty(len(alphabet), np.int64)
+    order[np.argsort(seen)] = np.arange(1, len(alphabet) + 1)
+    codes = order[codes]
     keys = [rows["k1"], rows["k2"]]
     change = np.concatenate([[True], (keys[0][1:] != keys[0][:-1]) | (keys[1][1:] != keys[1][:-1])])
     slots = np.cumsum(change) - 1
