@@ -16,6 +16,9 @@ HELD_OUT = 2
 
 U64 = np.uint64
 
+# Text in a batch whose features are made at once: they take some 80 times its bytes.
+FEATURE_BYTES = 1_000_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -89,6 +92,8 @@ def small_batches(
             held += int(size)
         if start < batch.num_rows:
             yield batch.slice(start)
+        # What the slices took goes back to the system, not to the worker's next stage.
+        pa.default_memory_pool().release_unused()
 
 
 def sum_by_row(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convoframe.llm.common import U64, held_out, mix, small_batches, split_words
+from convoframe.llm.common import FEATURE_BYTES, U64, held_out, mix, small_batches, split_words
 
 BITS = 20
 
@@ -144,7 +144,7 @@ def feature_lists(bits: int, pairs: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in small_batches([whole], "text"):
+            for batch in small_batches([whole], "text", FEATURE_BYTES):
                 rows, values = text_features(batch.column(1), bits, pairs)
                 counts = np.bincount(rows, minlength=batch.num_rows)
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convoframe.llm.common import U64, hash_words, mix, small_batches, split_words
+from convoframe.llm.common import FEATURE_BYTES, U64, hash_words, mix, small_batches, split_words
 from convoframe.llm.components import connected_components
 from convoframe.session import materialise
 
@@ -121,7 +121,7 @@ def _sign(size: int, bands: int, rows: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in small_batches([whole], "text"):
+            for batch in small_batches([whole], "text", FEATURE_BYTES):
                 offsets, hashes = shingle_hashes(batch.column(1), size)
                 keys = band_keys(signatures(offsets, hashes, bands * rows), rows)
                 ends = np.concatenate([[U64(0)], np.cumsum(hashes, dtype=np.uint64)])
@@ -146,7 +146,7 @@ def _sets(size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in small_batches([whole], "text"):
+            for batch in small_batches([whole], "text", FEATURE_BYTES):
                 offsets, hashes = shingle_hashes(batch.column(1), size)
                 columns = [batch.column(0), _lists(hashes, offsets)]
                 yield pa.RecordBatch.from_arrays(columns, names=["node", "members"])
@@ -238,7 +238,8 @@ def near_duplicates(
     reachable, null ids last), kept. A-Z are read as a-z and words are what ASCII white space
     separates. Null, empty and blank texts have no shingles and link with nothing. Repeated rows of one
     id are rows of their own; of rows that tie for staying, one stays. An empty table gives an
-    empty table. ``row`` names a unique number of each row of a written table; it is then a column of the
+    empty table. Texts may have any length: a batch holds 1 MB of them, or one. Other columns are not looked at,
+    whatever their names. ``row`` names a unique number of each row of a written table; it is then a column of the
     result too. Without it rows are numbered and written first, as they are read more than once.
     """
     bands = bands_for(percent / 100, rows)
