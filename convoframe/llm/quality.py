@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convoframe.llm.common import held_out, small_batches
+from convoframe.llm.common import FEATURE_BYTES, held_out, small_batches
 from convoframe.llm.features import BITS, Rows, sampled_features, text_features, training_labels
 
 # Most labelled rows that a fit takes.
@@ -127,7 +127,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, limit: int = LABELLED, cost:
 def _scorer(model: NbSvm):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in small_batches([whole], "text"):
+            for batch in small_batches([whole], "text", FEATURE_BYTES):
                 owner, ids = text_features(batch.column(1), model.bits, True)
                 scores = model.scores(model.margins(owner, ids, batch.num_rows))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], names=["doc_id", "score"])
@@ -138,7 +138,9 @@ def _scorer(model: NbSvm):
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **fit) -> DataFrame:
     """One row for each document row: doc_id, held_out, score (0 to 1, higher for likelier good), predicted.
 
-    Null texts score as empty ones; null ids count as held out. Empty tables give an empty table.
+    Null texts score as empty ones; null ids count as held out. Rows that repeat an id or a text are scored each;
+    of several labels of one id, each counts. Texts may have any length: a batch holds a few MB of them, or one.
+    Empty tables give an empty table. Other columns are not looked at, whatever their names.
     """
     model = fit_quality(docs, labels, **fit)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
