@@ -225,7 +225,8 @@ def exact_duplicates(docs: DataFrame, keys_per_shard: int = KEYS_PER_SHARD, row:
 
     Columns: doc_id, keep_id, group_size, kept, text_sha256. Null texts count as empty. Of a group the
     smallest doc_id stays, null ids last. Repeated rows of one id are rows of their own: of rows
-    that tie for staying, one stays. An empty table gives an empty table. ``row`` names a unique number of
+    that tie for staying, one stays. An empty table gives an empty table. Texts may have any length. Other
+    columns are not looked at, whatever their names. ``row`` names a unique number of
     each row, which is then a column of the result too.
     """
     spark = docs.sparkSession

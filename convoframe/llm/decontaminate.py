@@ -72,7 +72,8 @@ def contaminated(
     Input (doc_id, text) and (item_id, text); one row for each document row: doc_id, n_words, n_hit,
     n_items, items_sha256 (of the sorted item ids, joined by commas), contaminated. Null and empty texts
     have no words and no hit. Items with a null id count under the empty id. Repeated document rows are
-    rows of their own. Without items nothing is hit. ``row`` names a unique number of each row, which is
+    rows of their own. Without items nothing is hit; an empty table gives an empty table. Texts may have any length.
+    Other columns are not looked at, whatever their names. ``row`` names a unique number of each row, which is
     then a column of the result too.
     """
     owned = materialise(windows(items.withColumn("item_id", F.coalesce(F.col("item_id").cast("string"), F.lit(""))), width), "windows")

@@ -302,7 +302,9 @@ def scan_licenses(
     """(``key``, matches array<struct<license, first, after>>): the templates that each text holds.
 
     ``first`` and ``after`` bound the words of the fullest window's shingles. Null and empty texts match
-    nothing; rows are scanned one by one, repeated or not. Templates go out in blocks of ``per_block``.
+    nothing; rows are scanned one by one, repeated or not. Templates go out in blocks of ``per_block``. Texts may have
+    any length: a batch holds 8 MB of them, or one. An empty table gives an empty table. Other columns are not
+    looked at, whatever their names.
     """
     bands = bands_for(contained)
     ready = prepare(list((TEMPLATES if templates is None else templates).items()), shingle, bands)

@@ -415,6 +415,8 @@ def find_pii(docs: DataFrame, key: str = "doc_id", training_texts: int = TRAININ
     base and spans: kind:start:end by start and then kind, comma-joined, in code points with the end
     exclusive. Null texts count as empty and have none. The field is trained on at most
     ``training_texts`` texts with a base span's signs, those with the least hashes; without any, nothing is added.
+    Rows that repeat each other have the same spans each. Texts may have any length: a batch holds 8 MB of them,
+    or one. An empty table gives an empty table. Other columns are not looked at, whatever their names.
     """
     kind = dict(docs.dtypes)[key]
     likely = F.col("text").rlike(r"@[A-Za-z0-9-]+\.|\+[0-9]|[0-9]{12}|[0-9]\.[0-9]")

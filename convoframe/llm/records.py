@@ -185,7 +185,9 @@ def write_records(docs: DataFrame, file: str, folder: str | None = None, end_id:
 
     Each document's ids are followed by ``end_id``. Null and empty texts give that id alone. Null ids come
     first. Rows that repeat an id stand beside each other, in the order of a hash of their texts.
-    ``file`` is a tokenizer file that every executor has; ``folder`` must be one that all share.
+    ``file`` is a tokenizer file that every executor has; ``folder`` must be one that all share. Texts may have any
+    length: a task holds 8 MB of them, or one. No rows give no files and an empty manifest. Other columns are not
+    looked at, whatever their names.
     """
     spark = docs.sparkSession
     folder = folder or scratch_path(spark, "records")
@@ -223,7 +225,8 @@ def _reader(folder: str):
 def read_records(manifest: DataFrame, folder: str) -> DataFrame:
     """One row for each record of the files: doc_id, start (tokens before it), n_tokens, ids_crc32.
 
-    Every checksum is proved; a damaged file fails the job.
+    Every checksum is proved; a damaged file fails the job. Null ids come back as null; an empty manifest gives no
+    rows.
     """
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     placed = manifest.select(

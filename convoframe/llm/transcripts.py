@@ -194,7 +194,8 @@ def parse_transcripts(lines: DataFrame, model: Model, block: int = BLOCK, span:
     ``lines`` are (transcript, line, text, blank); of rows that repeat a line's number the one with the least
     text stays, and rows without a number are left out. A turn begins where the path enters a first line; its
     text is its lines without markers, joined by line breaks. Null texts count as empty lines; null
-    transcripts are one transcript. No lines give no turns.
+    transcripts are one transcript. No lines give no turns. Transcripts may have any number of lines; a turn is one
+    row. Other columns are not looked at, whatever their names.
     """
     kind = dict(lines.dtypes)["transcript"]
     numbered = lines.where("line is not null").groupBy("transcript", F.col("line").cast("long").alias("line"))
