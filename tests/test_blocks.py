@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from convoframe.operators.blocks import BLOCK, Blocks
+from convoframe.operators.blocks import Blocks
 
 
 @pytest.fixture
@@ -16,18 +16,18 @@ def crowded(spark, at):
 
 def test_hot_and_null_keys_and_bursts_are_cut(crowded):
     blocks = Blocks(crowded, ["k"], [F.col("ts"), F.col("n")], partitions=20)
-    found = blocks.rows.groupBy("k", BLOCK).agg(F.count("*").alias("n"), F.min("n").alias("a"), F.max("n").alias("b")).collect()
+    found = blocks.rows.groupBy("k", blocks.block).agg(F.count("*").alias("n"), F.min("n").alias("a"), F.max("n").alias("b")).collect()
     assert sum(r["n"] for r in found) == crowded.count()
     assert max(r["n"] for r in found) < 250
     assert len([r for r in found if r.k == "hot"]) >= 5 and len([r for r in found if r.k is None]) >= 3
-    burst = sorted((r[BLOCK], r.a, r.b) for r in found if r.k == "hot")
+    burst = sorted((r[blocks.block], r.a, r.b) for r in found if r.k == "hot")
     assert all(x[2] < y[1] for x, y in zip(burst, burst[1:], strict=False))
 
 
 @pytest.mark.parametrize("partitions", [1, 7, 50])
 def test_carried_counts_do_not_depend_on_the_cuts(crowded, partitions):
     blocks = Blocks(crowded, ["k"], [F.col("ts"), F.col("n")], partitions)
-    earlier = Window.partitionBy("k").orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("k").orderBy(blocks.block).rowsBetween(Window.unboundedPreceding, -1)
     sizes = blocks.rows.groupBy(*blocks.by).agg(F.count("*").alias("c"))
     carry = sizes.select(*blocks.by, F.sum("c").over(earlier).alias("before"))
     within = F.row_number().over(Window.partitionBy(*blocks.by).orderBy("ts", "n"))
