@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -77,6 +79,21 @@ def split_words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.nda
     return offsets, codes, words
 
 
+@functools.cache
+def _trim():
+    """The C library's function that gives free memory back to the system; none where it has no such one."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Gives the memory that this process has freed back to the system, so that a worker that is kept for the
+    next stage does not hold this one's."""
+    pa.default_memory_pool().release_unused()
+    trim = _trim()
+    if trim:
+        trim(0)
+
+
 def small_batches(
     batches: Iterator[pa.RecordBatch], column: str, limit: int = 8_000_000
 ) -> Iterator[pa.RecordBatch]:
@@ -92,8 +109,7 @@ def small_batches(
             held += int(size)
         if start < batch.num_rows:
             yield batch.slice(start)
-        # What the slices took goes back to the system, not to the worker's next stage.
-        pa.default_memory_pool().release_unused()
+        give_back()
 
 
 def sum_by_row(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -29,14 +29,14 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convoframe.llm.common import small_batches
+from convoframe.llm.common import give_back, small_batches
 from convoframe.session import materialise, scratch_path
 
 SPACE = "▁"
 # Rows of a file that share a dictionary of units.
 BLOCK_ROWS = 8_192
 # Bytes of text that a task cuts at once.
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 2_000_000
 # Longer units (no such word is in a language) are folded in Python, in time linear in their length.
 LONGEST_UNIT = 64
 
@@ -124,9 +124,9 @@ class Pieces:
         out, at = [], len(unit)
         while at:
             _, start, piece = best[at]
-            out[:0] = [piece] if piece >= 0 else self.bytes_of(unit[start:at])
+            out.append([piece] if piece >= 0 else self.bytes_of(unit[start:at]))
             at = start
-        return out
+        return [i for ids in reversed(out) for i in ids]
 
 
 def _cut(texts: pa.Array, pieces: Pieces) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -439,7 +439,7 @@ def _look_up(pieces: Pieces, asked: str, folder: str):
         starts = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])[:-1]
         # A unit that two parts of a block sent has the same path twice.
         names, order = np.unique(names, return_index=True)
-        pa.default_memory_pool().release_unused()
+        give_back()
         return names, np.concatenate(ids), starts[order], lengths[order]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
