@@ -9,7 +9,7 @@ from convoframe.functions import ids, text
 from convoframe.operators import chats, messages
 from convoframe.plans.registry import Tables, query, time_text
 from convoframe.session import scratch_path
-from convoframe.sources import chat_log
+from convoframe.sources import chat_log, intake
 from convoframe.sources import chats as files
 from convoframe.sources.chat_table import ChatTable
 
@@ -56,6 +56,29 @@ def s1(t: Tables):
     )
 
 
+@query(
+    "s1_take_in",
+    f"select chat_id, chat_name, n as n_messages, transcript from ({_DOCS_SQL})",
+)
+def s1_take_in(t: Tables):
+    """Files of drafts and of finished chats are taken in, then the files that the finished drafts leave."""
+    folder, table, ledger = (scratch_path(t.spark, name) for name in ("saved", "taken", "files"))
+    docs = _documents(t)
+    whole = F.to_json(F.struct("chat_id", "chat_name", "messages"), {"pretty": "true"})
+    late = F.col("chat_id").cast("bigint") % 3 == 1
+    draft = docs.withColumn("chat_name", F.when(late, "draft").otherwise(F.col("chat_name")))
+    for part in (draft, docs.where(late)):
+        part = part.select("chat_id", whole.alias("value")).repartition("chat_id")
+        part.write.mode("append").partitionBy("chat_id").text(folder)
+        intake.take_in(t.spark, folder, table, ledger, "*.txt")
+    return intake.read_taken(t.spark, table).select(
+        "chat_id",
+        "chat_name",
+        F.size("messages").cast("bigint").alias("n_messages"),
+        _joined("messages").alias("transcript"),
+    )
+
+
 @query(
     "s2_split_bad_chats",
     f"""

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from convoframe.functions import logs as log_rules
 from convoframe.functions import times
-from convoframe.operators import catalog, logs, status, usage
+from convoframe.operators import catalog, logs, sketches, status, usage
 from convoframe.plans.registry import Tables, query, time_text
-from convoframe.session import ROCKSDB, STATE_STORE, scratch_path
+from convoframe.session import ROCKSDB, STATE_STORE, materialise, scratch_path
 from convoframe.streaming.time_to_state import stream_time_to_state
 
 _DAY = 86400
@@ -461,3 +461,32 @@ def c9(t: Tables):
 )
 def x6(t: Tables):
     return usage.log_metrics(t.view("v_log")).withColumn("window_start", time_text(F.col("window_start")))
+
+
+_SIZED = f"""
+  select {_TIME.format("date_trunc('day', ts)")} as day, error_type, length(raw) as x,
+    row_number() over (partition by date_trunc('day', ts), error_type order by length(raw)) as r,
+    count(*) over (partition by date_trunc('day', ts), error_type) as n
+  from ({_CLASSED})"""
+
+
+@query(
+    "x6_day_sketches",
+    f"""
+    select day, error_type, n,
+      max(case when r = ceil(0.5 * n) then (x >> s) << s end) as median_chars,
+      max(case when r = ceil(0.95 * n) then (x >> s) << s end) as p95_chars
+    from (select *, greatest(length(bin(x)) - 8, 0) as s from ({_SIZED})) group by 1, 2, 3""",
+    ("v_log",),
+)
+def x6_days(t: Tables):
+    """Sketches of each hour's log lengths by class, written, and merged to days."""
+    log = t.view("v_log")
+    classed = logs.classify_errors(logs.clean_errors(log, "raw"))
+    hours = sketches.quantile_sketch(
+        classed, {"hour": F.date_trunc("hour", "ts"), "error_type": F.col("error_type")}, F.length("raw")
+    )
+    hours = materialise(hours, "hours")
+    days = sketches.merge_sketches(hours, {"day": F.date_trunc("day", "hour"), "error_type": F.col("error_type")})
+    found = sketches.sketch_quantiles(days, ("day", "error_type"), {"median_chars": 0.5, "p95_chars": 0.95})
+    return found.withColumn("day", time_text(F.col("day")))
