@@ -27,8 +27,12 @@ from convoframe.llm.common import small_batches
 KINDS = ("email", "ip", "card", "phone")
 MOST_TOKENS = 20
 REACH = 80
-# Most texts that the field is trained on.
+# Most texts that the field is trained on, and of each the most lines' parts around a sign, the letters to either
+# side of it, and the most stretches of these parts.
 TRAINING_TEXTS = 300
+TRAINING_PARTS = 4
+TRAINING_LETTERS = 100
+TRAINING_STRETCHES = 6
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -341,8 +345,8 @@ def _disguise(text: str, spans: list[Span], turn: int) -> tuple[str, list[Span]]
     return None
 
 
-def fit_field(texts: list[str], epochs: int = 6) -> Field:
-    """A field trained on the base spans of texts and on disguised copies."""
+def fit_field(texts: list[str], epochs: int = 6, most: int = TRAINING_STRETCHES) -> Field:
+    """A field trained on the base spans of the first ``most`` stretches of texts and on disguised copies."""
     index: dict[str, int] = {}
     examples = []
 
@@ -360,7 +364,7 @@ def fit_field(texts: list[str], epochs: int = 6) -> Field:
             examples.append((made, gold))
 
     for turn, text in enumerate(texts):
-        for a, b in stretches(text)[:6]:
+        for a, b in stretches(text)[:most]:
             part = text[max(0, a - 1) : b + 1]
             add(part, base_spans(part))
             other = _disguise(part, base_spans(part), turn)
@@ -408,23 +412,41 @@ def _finder(field: Field):
     return run
 
 
+def training_parts(
+    docs: DataFrame,
+    texts: int = TRAINING_TEXTS,
+    parts: int = TRAINING_PARTS,
+    letters: int = TRAINING_LETTERS,
+) -> list[str]:
+    """Parts around the signs of base spans, of ``texts`` different texts at the most: those with the least hashes.
+
+    The hashes are chosen first, so that only the chosen texts are taken apart. What comes back is bounded by the
+    parameters.
+    """
+    signs = r"@|\+[0-9]|[0-9]{12}|[0-9]\.[0-9]"
+    some = F.col("text").rlike(r"@[A-Za-z0-9-]+\.|\+[0-9]|[0-9]{12}|[0-9]\.[0-9]")
+    likely = docs.where(some).select(F.xxhash64("text").alias("h"), "text")
+    chosen = [r.h for r in likely.select("h").distinct().orderBy("h").limit(texts).collect()]
+    near = rf"[^\n]{{0,{letters}}}"
+    found = F.regexp_extract_all("text", F.lit(f"({near}(?:{signs}){near})"), F.lit(1))
+    part = F.array_join(F.slice(found, 1, parts), "\n").alias("part")
+    rows = likely.where(F.col("h").isin(chosen)).select("h", part).groupBy("h").agg(F.min("part").alias("part"))
+    return [r.part for r in rows.orderBy("h").collect()]
+
+
 def find_pii(docs: DataFrame, key: str = "doc_id", training_texts: int = TRAINING_TEXTS) -> DataFrame:
     """Spans of personal data in each whole text.
 
     One row for each input row: ``key``, n_email, n_ip, n_card, n_phone (base spans), n_added (the field's),
     base and spans: kind:start:end by start and then kind, comma-joined, in code points with the end
     exclusive. Null texts count as empty and have none. The field is trained on at most
-    ``training_texts`` texts with a base span's signs, those with the least hashes; without any, nothing is added.
+    ``training_texts`` different texts with a base span's signs, those with the least hashes; without any, nothing
+    is added.
     Rows that repeat each other have the same spans each. Texts may have any length: a batch holds 8 MB of them,
     or one. An empty table gives an empty table. Other columns are not looked at, whatever their names.
     """
     kind = dict(docs.dtypes)[key]
-    likely = F.col("text").rlike(r"@[A-Za-z0-9-]+\.|\+[0-9]|[0-9]{12}|[0-9]\.[0-9]")
-    # Parts around the signs are enough to learn from, and bounded.
-    part = F.regexp_extract_all("text", F.lit(r"([^\n]{0,100}(?:@|\+[0-9]|[0-9]{12}|[0-9]\.[0-9])[^\n]{0,100})"), F.lit(1))
-    part = F.array_join(F.slice(part, 1, 4), "\n").alias("text")
-    sample = docs.where(likely).select(F.xxhash64("text").alias("h"), part).orderBy("h", "text").limit(training_texts)
-    field = fit_field([r.text for r in sample.select("text").collect()])
+    field = fit_field(training_parts(docs, training_texts))
     rows = docs.select(F.col(key).alias("key"), "text")
     counts = ", ".join(f"n_{k} long" for k in (*KINDS, "added"))
     found = rows.mapInArrow(_finder(field), f"key {kind}, {counts}, base string, spans string")

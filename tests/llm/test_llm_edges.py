@@ -19,7 +19,7 @@ from convoframe.llm.features import INNER, RUNS_AT_ONCE, sampled_features, word_
 from convoframe.llm.licenses import scan_licenses
 from convoframe.llm.near_dup import bands_for, near_duplicates, shingle_hashes, signatures
 from convoframe.llm.pieces import LONGEST_UNIT, SPACE, Pieces, decode, encode
-from convoframe.llm.pii import base_spans, find_pii
+from convoframe.llm.pii import base_spans, find_pii, training_parts
 from convoframe.llm.quality import dual_descent, score_quality
 from convoframe.llm.records import TextEncoder, frame, parse, payload, read_one, read_records, unframe, write_records
 from convoframe.llm.toxicity import score_toxicity
@@ -502,3 +502,15 @@ def test_transcripts_on_odd_rows(spark):
     assert (None, 1, "user", "x") in turns
     assert {t[0] for t in turns} == {"a", None}
     assert parse_transcripts(lines.limit(0), model).count() == 0
+
+
+def test_training_texts_are_different_and_bounded(spark):
+    rows = [(i, "mail a.b@c.example now") for i in range(50)] + [(None, None), (60, ""), (61, "plain words")]
+    rows += [(100 + i, f"x\ncall +49 30 555 {i:04d}\n" * 9) for i in range(20)]
+    found = training_parts(table(spark, rows), texts=15, parts=2)
+    assert len(found) == len(set(found)) == 15
+    assert all(p.count("\n") <= 1 for p in found)
+    everything = training_parts(table(spark, rows), texts=100)
+    assert len(everything) == 21 and "mail a.b@c.example now" in everything
+    assert training_parts(table(spark, rows).limit(0)) == []
+    assert training_parts(table(spark, [(1, "z" * 500 + "+1" + "z" * 500)]), letters=7) == ["z" * 7 + "+1" + "z" * 7]
