@@ -6,6 +6,7 @@ from collections import Counter
 
 import pytest
 
+from convoframe import session
 from convoframe.operators import generate, retrieval, usage
 from convoframe.operators.chats import title_prompts
 from convoframe.operators.messages import build_prompts
@@ -65,6 +66,41 @@ def test_search_equals_brute_force(spark, monkeypatch, k, seeds, spare, share):
     assert found == expected
 
 
+@pytest.mark.parametrize("k,cell,share", [(1, 100, None), (3, 3_000_000, None), (3, 40, 0.3), (200, 500, None)])
+def test_many_questions_equal_brute_force(spark, monkeypatch, k, cell, share):
+    """Scored in cells of any size; no step writes more rows than the best of each cell and the texts' terms."""
+    monkeypatch.setattr(retrieval, "_CELL", cell)
+    written = []
+    monkeypatch.setattr(session, "observers", [written.append])
+    rng = random.Random(k)
+    docs = corpus(rng, 400)
+    asked = [(i, " ".join(rng.choices(WORDS, [1 / (j + 1) for j in range(60)], k=rng.randrange(1, 30)))) for i in range(300)]
+    asked += [(300, ""), (301, "unknown"), (302, "W0 w0"), (303, " ".join(WORDS))]
+    table = spark.createDataFrame([*enumerate(docs), (400, None)], "doc_id bigint, text string")
+    queries = spark.createDataFrame(asked, "q bigint, content string")
+    hits = retrieval.search_documents(queries, table, k, max_df_share=share)
+    found: dict = {q: [] for q, _ in asked}
+    for r in sorted(hits.collect()):
+        assert r["rank"] == len(found[r.q]) + 1
+        found[r.q].append((r.doc_id, r.score))
+    assert found == brute_force(asked, [*docs, ""], k, share or 1.0)
+    assert max(df.count() for df in written) <= len(asked) * k + len(docs) + 1
+
+
+def test_documents_of_cells_share_ids_and_scores(spark, monkeypatch):
+    """Ids may be structs; texts with one id are one document; a term may add nothing and is found all the same."""
+    monkeypatch.setattr(retrieval, "_FEW_QUESTIONS", 0)
+    monkeypatch.setattr(retrieval, "_SCALE", 1)
+    docs = spark.createDataFrame(
+        [((1, "b"), "fox"), ((1, "b"), "fox hen"), ((1, "a"), "cow"), ((2, "a"), "fox cat")],
+        "doc_id struct<n: int, s: string>, text string",
+    )
+    asked = spark.createDataFrame([(0, "fox"), (1, "hen"), (2, "ox")], "q int, content string")
+    found = retrieval.search_documents(asked, docs, 5).collect()
+    assert sorted((r.q, r["rank"], tuple(r.doc_id)) for r in found) == [
+        (0, 1, (1, "b")), (0, 2, (2, "a")), (1, 1, (1, "b"))]
+
+
 def test_index_serves_several_searches(spark):
     docs = spark.createDataFrame([(1, "red fox"), (2, "red red hen")], "doc_id bigint, text string")
     index = retrieval.index_documents(docs)
