@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,10 +15,11 @@ from convoframe.functions import times
 
 
 class _Waits(StatefulProcessor):
-    """The open starts of an app and the ready times that a start still to come may look for.
+    """The open starts of a group of apps and the ready times that a start still to come may look for.
 
-    State: for each instant with open starts their ties and the first ready time known so far; ready times after
-    the watermark. A start is decided once the watermark has passed its ready time or its timeout, as no row can
+    State: each open start's app, tie and time and the first ready time known for it so far; ready times after the
+    watermark; the timer. It is one value for many apps, as every call of this class and every access to the store
+    leaves the worker. A start is decided once the watermark has passed its ready time or its timeout, as no row can
     arrive then that changes the answer. One timer waits for the earliest such moment.
     """
 
@@ -27,81 +28,72 @@ class _Waits(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        at = T.StructType([T.StructField("at", T.LongType())])
-        start = T.StructType([T.StructField("ties", T.ArrayType(T.StringType())), T.StructField("up", T.LongType())])
-        self.open = handle.getMapState("open", at, start)
-        self.ups = handle.getMapState("ups", at, T.StructType([T.StructField("held", T.BooleanType())]))
-        self.timer = handle.getValueState("timer", T.StructType([T.StructField("at", T.LongType())]))
-
-    def _first_after(self, at: int, ups: np.ndarray) -> int | None:
-        place = int(np.searchsorted(ups, at, side="right"))
-        return int(ups[place]) if place < len(ups) and ups[place] <= at + self.timeout else None
-
-    def _wait(self, deadlines: list[int]) -> None:
-        """One timer, at the earliest deadline (in microseconds)."""
+        text, number = T.ArrayType(T.StringType()), T.ArrayType(T.LongType())
+        kinds = {"whos": text, "ties": text, "ats": number, "ups": number, "up_whos": text, "up_ats": number}
+        fields = [T.StructField(name, kind) for name, kind in kinds.items()]
+        self.waits = handle.getValueState("waits", T.StructType([*fields, T.StructField("timer", T.LongType())]))
+
+    def _read(self) -> tuple[list[tuple], list[tuple], int | None]:
+        """Open starts (app, tie, time, first ready time), ready times (app, time) and the timer."""
+        kept = self.waits.get()
+        if kept is None:
+            return [], [], None
+        return list(zip(*kept[:4])), list(zip(*kept[4:6])), kept[6]
+
+    def _write(self, starts: list[tuple], ups: list[tuple], timer: int | None) -> None:
+        """The state, with one timer at the earliest deadline (in microseconds)."""
+        deadlines = [at + self.timeout if up is None else up for _, _, at, up in starts]
         due = -(-min(deadlines) // 1000) if deadlines else None
-        set_to = self.timer.get()[0] if self.timer.exists() else None
-        if due == set_to:
-            return
-        if set_to is not None:
-            self.handle.deleteTimer(set_to)
-        if due is None:
-            self.timer.clear()
+        if due != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if due is not None:
+                self.handle.registerTimer(due)
+        if starts or ups:
+            columns = [[row[i] for row in rows] for rows, width in ((starts, 4), (ups, 2)) for i in range(width)]
+            self.waits.update((*columns, due))
         else:
-            self.handle.registerTimer(due)
-            self.timer.update((due,))
+            self.waits.clear()
+
+    def _first_after(self, at: int, ups: list[int]) -> int | None:
+        place = bisect.bisect_right(ups, at)
+        return ups[place] if place < len(ups) and ups[place] <= at + self.timeout else None
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        starts: dict[int, list] = {}
-        new_ups: set[int] = set()
+        starts: list[tuple] = []
+        new_ups: set[tuple] = set()
         for part in rows:
-            new_ups.update(part.loc[part["ready"], "at"].tolist())
-            for at, tie in part.loc[part["own"], ["at", "tie"]].itertuples(index=False):
-                starts.setdefault(int(at), []).append(tie)
+            ready, own = part["ready"].to_numpy(dtype=bool), part["own"].to_numpy(dtype=bool)
+            who, tie, at = (part[c].to_numpy() for c in ("who", "tie", "at"))
+            new_ups.update(zip(who[ready].tolist(), at[ready].tolist()))
+            starts += zip(who[own].tolist(), tie[own].tolist(), at[own].tolist())
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        held = {at for (at,) in self.ups.keys()}
-        fresh = np.array(sorted(new_ups), dtype=np.int64)
-        every = np.array(sorted(new_ups | held), dtype=np.int64)
-        deadlines = []
-        for (at,), (ties, up) in list(self.open.iterator()):
-            found = self._first_after(at, fresh)
-            more = starts.pop(at, [])
-            if more or found is not None and (up is None or found < up):
-                up = found if up is None else up if found is None else min(up, found)
-                self.open.updateValue((at,), ([*ties, *more], up))
-            deadlines.append(at + self.timeout if up is None else up)
-        for at, ties in starts.items():
-            up = self._first_after(at, every)
-            self.open.updateValue((at,), (ties, up))
-            deadlines.append(at + self.timeout if up is None else up)
+        opened, held, timer = self._read()
+        fresh, every = {}, {}
+        for found, pairs in ((fresh, new_ups), (every, new_ups.union(held))):
+            for who, at in sorted(pairs, key=lambda pair: pair[1]):
+                found.setdefault(who, []).append(at)
+        still = []
+        for who, tie, at, up in opened:
+            found = self._first_after(at, fresh.get(who, []))
+            still.append((who, tie, at, found if up is None else up if found is None else min(up, found)))
+        still += [(who, tie, at, self._first_after(at, every.get(who, []))) for who, tie, at in starts]
         # Starts that are still to come lie after the watermark, and so do their ready times.
-        for at in held:
-            if at <= passed:
-                self.ups.removeKey((at,))
-        for at in new_ups - held:
-            if at > passed:
-                self.ups.updateValue((at,), (True,))
-        self._wait(deadlines)
+        self._write(still, [(who, at) for who, ats in every.items() for at in ats if at > passed], timer)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        deadlines, decided = [], []
-        for (at,), (ties, up) in list(self.open.iterator()):
+        opened, held, _ = self._read()
+        still, decided = [], []
+        for start in opened:
+            _, _, at, up = start
             due = at + self.timeout if up is None else up
-            if due <= passed:
-                decided += [(*key, tie, at, up) for tie in ties]
-                self.open.removeKey((at,))
-            else:
-                deadlines.append(due)
+            (decided if due <= passed else still).append(start)
         # The timer that went off is gone.
-        self.timer.clear()
-        self._wait(deadlines)
-        for (at,) in list(self.ups.keys()):
-            if at <= passed:
-                self.ups.removeKey((at,))
-        out = pd.DataFrame(decided, columns=["who", "salt", "tie", "at", "up"])
-        yield out.astype({"salt": "int32", "at": "int64", "up": "Int64"})
+        self._write(still, [(who, at) for who, at in held if at > passed], None)
+        out = pd.DataFrame(decided, columns=["who", "tie", "at", "up"])
+        yield out.astype({"at": "int64", "up": "Int64"})
 
     def close(self) -> None:
         pass
@@ -114,6 +106,7 @@ def stream_time_to_state(
     timeout: int = 300,
     delay: str = "1 minute",
     salts: int = 4,
+    groups: int = 512,
     by: str = "app_id",
     ts: str = "ts",
     tie: str = "event_id",
@@ -125,8 +118,8 @@ def stream_time_to_state(
     neither starts nor ready.
 
     The state of an app is its open starts and the ready times after the watermark. Starts are spread over
-    ``salts`` groups, so that a busy app is not one task's work; each group needs the app's ready times. The
-    session must name the RocksDB state store when the query starts, as ``build_session`` does.
+    ``salts`` parts, so that a busy app is not one task's work; each part needs the app's ready times. Parts are dealt
+    to ``groups``, each with one state; raise it where a group's open starts grow to many megabytes. The session must name the RocksDB state store when the query starts, as ``build_session`` does.
     """
     types = dict(status.dtypes)
     kind = types[ts]
@@ -146,12 +139,13 @@ def stream_time_to_state(
             own_salt.alias("own_salt"),
             F.explode(F.coalesce(every_salt, F.array(own_salt))).alias("salt"),
         )
+        .withColumn("group", F.pmod(F.xxhash64("who", "salt"), F.lit(groups)).cast("int"))
         .withWatermark("moment", delay)
     )
     own = F.coalesce(F.col("own_salt") == F.col("salt"), F.lit(False))
-    rows = rows.select("who", "salt", "tie", "moment", F.unix_micros("moment").alias("at"), "ready", own.alias("own"))
-    decided = rows.groupBy("who", "salt").transformWithStateInPandas(
-        _Waits(timeout * 1_000_000), "who string, salt int, tie string, at long, up long", "append", "eventTime"
+    rows = rows.select("group", "who", "tie", "moment", F.unix_micros("moment").alias("at"), "ready", own.alias("own"))
+    decided = rows.groupBy("group").transformWithStateInPandas(
+        _Waits(timeout * 1_000_000), "who string, tie string, at long, up long", "append", "eventTime"
     )
     return decided.select(
         F.col("who").cast(types[by]).alias(by),

@@ -142,6 +142,29 @@ def test_open_starts_are_the_state(spark, at, tmp_path):
     assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 6, state
 
 
+def test_many_apps_share_a_state(spark, at, tmp_path):
+    """The state has no more rows than twice the groups, for any number of apps; null ids are an app and a tie."""
+    rng = random.Random(5)
+    apps = [None, *(f"a{i}" for i in range(400))]
+    data = [(rng.choice(apps), i or None, at(rng.randrange(500)), rng.choice("SSR")) for i in range(1500)]
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.createDataFrame(data, STATUS).write.parquet(source)
+    stream = spark.readStream.schema(STATUS).parquet(source)
+    rows = []
+    for groups in (3, 512):
+        decided = stream_time_to_state(stream, start(), ready(), timeout=60, groups=groups)
+        run = decided.writeStream.option("checkpointLocation", str(tmp_path / f"cp{groups}")).trigger(availableNow=True)
+        query = run.start(f"{out}{groups}")
+        query.awaitTermination()
+        rows.append(max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress))
+        found = spark.read.schema(decided.schema).parquet(f"{out}{groups}")
+        expected = status.time_to_state(spark.createDataFrame(data, STATUS), start(), ready(), 60).select(found.columns)
+        # The watermark stands at the latest row less a minute.
+        expected = expected.where(F.coalesce("ready_ts", F.col("start_ts") + F.expr("interval 60 seconds")) <= F.lit(max(r[2] for r in data)) - F.expr("interval 60 seconds"))
+        assert sorted(map(tuple, found.collect()), key=repr) == sorted(map(tuple, expected.collect()), key=repr)
+    assert rows[0] <= 6
+
+
 def test_health(spark):
     states = [("RUNNING", "ACTIVE"), ("RUNNING", "STARTING"), ("PENDING", "STOPPED"), ("RUNNING", "STOPPED"),
               (None, None), (None, "PENDING")]
