@@ -61,15 +61,15 @@ def s1(t: Tables):
     f"select chat_id, chat_name, n as n_messages, transcript from ({_DOCS_SQL})",
 )
 def s1_take_in(t: Tables):
-    """Files of drafts and of finished chats are taken in, then the files that the finished drafts leave."""
+    """Files of drafts and of finished chats, one for each, are taken in, then those that the finished drafts leave."""
     folder, table, ledger = (scratch_path(t.spark, name) for name in ("saved", "taken", "files"))
     docs = _documents(t)
     whole = F.to_json(F.struct("chat_id", "chat_name", "messages"), {"pretty": "true"})
     late = F.col("chat_id").cast("bigint") % 3 == 1
     draft = docs.withColumn("chat_name", F.when(late, "draft").otherwise(F.col("chat_name")))
     for part in (draft, docs.where(late)):
-        part = part.select("chat_id", whole.alias("value")).repartition("chat_id")
-        part.write.mode("append").partitionBy("chat_id").text(folder)
+        part = part.select("chat_id", whole.alias("value")).repartition("chat_id").select("value")
+        part.write.mode("append").option("maxRecordsPerFile", 1).text(folder)
         intake.take_in(t.spark, folder, table, ledger, "*.txt")
     return intake.read_taken(t.spark, table).select(
         "chat_id",

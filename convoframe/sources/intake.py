@@ -42,14 +42,18 @@ def read_noted(spark: SparkSession, ledger: str) -> DataFrame:
         return spark.createDataFrame([], LEDGER)
 
 
-def new_files(spark: SparkSession, folder: str, ledger: str, pattern: str = "*.json") -> DataFrame:
-    """``path, modificationTime, length`` of files that are not in the ledger as they are now."""
+def new_files(
+    spark: SparkSession, folder: str, ledger: str, pattern: str = "*.json", listed: DataFrame | None = None
+) -> DataFrame:
+    """``path, modificationTime, length`` of files that are not in the ledger as they are now (or as ``listed``)."""
     columns = ["path", "modificationTime", "length"]
-    listed = _files(spark, folder, pattern).select(*columns)
-    return listed.join(read_noted(spark, ledger), columns, "left_anti")
+    every = _files(spark, folder, pattern) if listed is None else listed
+    return every.select(*columns).join(read_noted(spark, ledger), columns, "left_anti")
 
 
-def read_files(spark: SparkSession, folder: str, files: DataFrame, pattern: str = "*.json") -> DataFrame:
+def read_files(
+    spark: SparkSession, folder: str, files: DataFrame, pattern: str = "*.json", listed: DataFrame | None = None
+) -> DataFrame:
     """The chat documents of ``files`` (of ``new_files``), one row each, as ``read_chats`` gives them, and ``modified``.
 
     Only files whose time of change lies between the first and the last of ``files`` are opened: Spark's reader
@@ -57,7 +61,7 @@ def read_files(spark: SparkSession, folder: str, files: DataFrame, pattern: str
     """
     moment = F.unix_micros("modificationTime")
     low, high = files.agg(F.min(moment), F.max(moment)).first()
-    every = _files(spark, folder, pattern)
+    every = _files(spark, folder, pattern) if listed is None else listed
     if low is None:
         every = every.where(F.lit(False))
     else:
@@ -81,8 +85,10 @@ def take_in(spark: SparkSession, folder: str, table: str, ledger: str, pattern:
     that do not parse, or lack the id or the messages, are noted too and come back as rows, as
     ``split_bad_chats`` does: they are read again once they change. Files that were removed change nothing.
     """
-    files = materialise(new_files(spark, folder, ledger, pattern), "new-files")
-    rows = materialise(read_files(spark, folder, files, pattern), "taken-in")
+    # Listed once a run, as that grows with all files ever saved.
+    listed = _files(spark, folder, pattern)
+    files = materialise(new_files(spark, folder, ledger, pattern, listed), "new-files")
+    rows = materialise(read_files(spark, folder, files, pattern, listed), "taken-in")
     reason = (
         F.when(F.col(schemas.CORRUPT).isNotNull(), "malformed")
         .when(F.col("chat_id").isNull(), "no_chat_id")

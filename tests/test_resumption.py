@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from convoframe.operators.generation_ledger import read_ledger, resume_generate
 from convoframe.operators.sketches import bucket_of, merge_sketches, quantile_sketch, sketch_quantiles
+from convoframe.sources import intake
 from convoframe.sources.intake import new_files, read_taken, take_in
 
 PROMPTS = "chat_id string, turn int, prompt array<struct<role: string, content: string>>"
@@ -173,3 +174,19 @@ def test_sketches_of_parts_merge_to_that_of_the_whole(spark, rows):
 def test_bucket_of_small_numbers_is_the_number(spark):
     frame = spark.createDataFrame([(v,) for v in (0, 1, 255, 256, 257, -257)], T.StructType([T.StructField("v", T.LongType())]))
     assert [r[0] for r in frame.select(bucket_of(F.col("v"))).collect()] == [0, 1, 255, 256, 256, -256]
+
+
+def test_a_run_lists_the_folder_once(spark, tmp_path, monkeypatch):
+    """However many files it holds; files of one folder that hold the same chat are taken as its saves."""
+    folder, table, ledger = (str(tmp_path / n) for n in ("saved", "table", "files"))
+    listed = []
+    whole = intake._files
+    monkeypatch.setattr(intake, "_files", lambda *args: listed.append(args) or whole(*args))
+    for run, name in ((1, "draft"), (2, "done")):
+        (tmp_path / "saved").mkdir(exist_ok=True)
+        path = tmp_path / "saved" / f"part-{run}.json"
+        path.write_text('{"chat_id": "a", "chat_name": "%s", "messages": []}' % name)
+        os.utime(path, (1_700_000_000 + run, 1_700_000_000 + run))
+        intake.take_in(spark, folder, table, ledger)
+        assert len(listed) == run
+    assert [(r.chat_id, r.chat_name) for r in intake.read_taken(spark, table).collect()] == [("a", "done")]
