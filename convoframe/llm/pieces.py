@@ -2,9 +2,9 @@
 
 A text is cut into units wherever no piece spans two neighbouring letters, so that the best path of the text
 is the chain of its units' best paths. Distinct units are gathered from blocks of documents; their substrings
-of bounded length are exploded and equi-joined to the piece table; the edges of a unit are grouped, and
-Spark's ``aggregate`` folds them to the path with the largest sum of scores (of equal sums the one whose last
-piece begins first). Letters without a piece cost less than any piece and become byte pieces.
+of bounded length are exploded and equi-joined to the piece table; the edges of a unit are grouped by their ends,
+and Spark's ``aggregate`` folds the ends to the path with the largest sum of scores (of equal sums the one whose
+last piece begins first). Letters without a piece cost less than any piece and become byte pieces.
 
 Units and their hashes travel, texts do not: each block gets the paths of its own units back as files in the shared
 folder, and a second scan of the documents looks them up. A block is a run of rows of one source file, known
@@ -263,80 +263,85 @@ def piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
     return spark.createDataFrame(pa.table(columns, names=["piece", "id", "score"]))
 
 
-# An edge as one number, sorted by end and then start: end, start, and the piece's id (0: a letter without one).
-_START, _END = 1 << 20, 1 << 27
+# An edge as one number: end, start, and the piece's id from 1 on (0: a letter without one).
+_START, _END = 20, 27
 
 
-def _fold(edges: Column, size: Column, scores: Column) -> Column:
-    """Piece ids (-1 - start for a letter without piece) of the best path over sorted edges.
+def _fold(ends: Column, size: Column, scores: Column) -> Column:
+    """Piece ids (-1 - start for a letter without piece) of the best path over the edges of each end, by start.
 
     ``scores`` has a score for each id, from 1 on, and that of a letter without piece first.
     """
-    start = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("edge")))
 
     def begin(edge: Column) -> Column:
-        return F.floor((edge % _END) / _START).cast("int")
-
-    def step(best: Column, edge: Column) -> Column:
-        score = F.get(best, begin(edge))["score"] + F.get(scores, (edge % _START).cast("int"))
-        new = F.array(F.struct(score.alias("score"), edge.alias("edge")))
-        end = F.floor(edge / _END).cast("int")
-        return (
-            F.when(F.size(best) == end, F.concat(best, new))
-            .when(score > F.element_at(best, -1)["score"], F.concat(F.slice(best, 1, end), new))
-            .otherwise(best)
-        )
-
-    best = F.aggregate(edges, start, step)
-    ends = F.reverse(F.sequence(F.lit(1), size))
-    path = F.struct(size.alias("at"), F.array().cast("array<int>").alias("ids"), best.alias("best"))
+        return F.shiftright(edge, _START)
+
+    def number(edge: Column) -> Column:
+        return edge.bitwiseAND((1 << _START) - 1)
+
+    def sums(best: Column, edges: Column) -> Column:
+        return F.transform(edges, lambda edge: F.get(best, begin(edge)) + F.get(scores, number(edge)))
+
+    best = F.aggregate(
+        ends, F.array(F.lit(0.0)), lambda best, edges: F.concat(best, F.array(F.array_max(sums(best, edges))))
+    )
+    path = F.struct(F.array().cast("array<int>").alias("edges"), best.alias("best"))
 
     def back(held: Column, end: Column) -> Column:
-        edge = F.get(held["best"], end)["edge"]
-        number = (edge % _START).cast("int")
-        piece = F.when(number == 0, -1 - begin(edge)).otherwise(number - 1)
-        took = F.struct(
-            begin(edge).alias("at"), F.concat(F.array(piece), held["ids"]).alias("ids"), held["best"].alias("best")
-        )
-        return F.when(held["at"] == end, took).otherwise(held)
+        edges, best = F.get(ends, end - 1), held["best"]
+        # Of equal sums the first, which begins first.
+        place = F.array_position(sums(best, edges), F.get(best, end)).cast("int") - 1
+        took = F.concat(F.array(F.get(edges, place)), held["edges"])
+        at = F.coalesce(begin(F.get(held["edges"], 0)), size)
+        return F.when(at == end, F.struct(took.alias("edges"), best.alias("best"))).otherwise(held)
+
+    def piece(edge: Column) -> Column:
+        return F.when(number(edge) == 0, -1 - begin(edge)).otherwise(number(edge) - 1)
 
-    return F.aggregate(ends, path, back, lambda held: held["ids"])
+    steps = F.sequence(size, F.lit(1), F.lit(-1))
+    return F.aggregate(steps, path, back, lambda held: F.transform(held["edges"], piece))
 
 
 def best_paths(units: DataFrame, pieces: Pieces) -> DataFrame:
     """(bucket, unit, ids) of distinct (bucket, unit) rows of at most ``LONGEST_UNIT`` letters."""
     size = F.length("unit")
-    starts = units.select("bucket", "unit", F.explode(F.sequence(F.lit(0), size - 1)).alias("s"))
-    reach = F.least(F.lit(pieces.longest), size - F.col("s"))
-    spans = starts.select("bucket", "unit", "s", F.explode(F.sequence(F.lit(1), reach)).alias("n"))
+    ends = units.select("bucket", "unit", F.explode(F.sequence(F.lit(1), size)).alias("e"))
+    reach = F.least(F.lit(pieces.longest), F.col("e"))
+    spans = ends.select("bucket", "unit", "e", F.explode(F.sequence(reach, F.lit(1), F.lit(-1))).alias("n"))
+    spans = spans.withColumn("s", F.col("e") - F.col("n"))
     spans = spans.withColumn("piece", F.substring("unit", F.col("s") + 1, F.col("n")))
     # The piece table has as many rows as its file, whatever the corpus.
     table = F.broadcast(piece_table(units.sparkSession, pieces))
     matched = spans.join(table, "piece", "left").where("id is not null or n = 1")
     number = F.coalesce(F.col("id") + 1, F.lit(0)).cast("long")
-    edge = (F.col("s") + F.col("n")).cast("long") * _END + F.col("s").cast("long") * _START + number
-    # The edges of a unit stand together from here on; its first one, of its first letter, carries it.
-    opens = (F.col("s") == 0) & (F.col("n") == 1)
+    edge = F.col("e").cast("long") * (1 << _END) + F.col("s").cast("long") * (1 << _START) + number
+    # The edges of a unit stand together from here on, by end and start; its first one, of its first letter, carries it.
+    opens = F.col("e") == 1
     edges = matched.select(
         F.when(opens, F.col("bucket")).alias("bucket"), F.when(opens, F.col("unit")).alias("unit"), edge.alias("edge")
     )
-    lattice = edges.mapInArrow(_group_edges, "bucket int, unit string, edges array<long>")
+    lattice = edges.mapInArrow(_group_edges, "bucket int, unit string, ends array<array<int>>")
     # One score for each row of the vocabulary file, as a constant of the plan.
     scores = F.split(F.lit(",".join(map(repr, [pieces.unknown, *pieces.scores]))), ",").cast("array<double>")
-    return lattice.select("bucket", "unit", _fold(F.col("edges"), size, scores).alias("ids"))
+    return lattice.select("bucket", "unit", _fold(F.col("ends"), size, scores).alias("ids"))
 
 
 def _group_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Consecutive edges to one row for each unit, its edges sorted."""
+    """Consecutive edges to one row for each unit, which has for each end its edges by start."""
+
+    def lists(cuts: np.ndarray, values: pa.Array) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.append(cuts, len(values)), pa.int32()), values)
 
     def grouped(batch: pa.RecordBatch) -> pa.RecordBatch:
         edges = batch.column(2).to_numpy(zero_copy_only=False)
         opens = np.flatnonzero(pc.is_valid(batch.column(1)).to_numpy(zero_copy_only=False))
-        owner = np.cumsum(np.isin(np.arange(len(edges)), opens, assume_unique=True)) - 1
-        edges = edges[np.lexsort((edges, owner))]
-        lists = pa.ListArray.from_arrays(pa.array([*opens, len(edges)], pa.int32()), pa.array(edges))
+        first = np.diff(edges >> _END, prepend=0) != 0
+        first[opens] = True
+        cuts = np.flatnonzero(first)
+        each = lists(cuts, pa.array((edges & ((1 << _END) - 1)).astype(np.int32)))
         columns = [batch.column(c).take(pa.array(opens)) for c in (0, 1)]
-        return pa.RecordBatch.from_arrays([*columns, lists], names=["bucket", "unit", "edges"])
+        found = lists(np.searchsorted(cuts, opens), each)
+        return pa.RecordBatch.from_arrays([*columns, found], names=["bucket", "unit", "ends"])
 
     held: list[pa.RecordBatch] = []
     for batch in batches:

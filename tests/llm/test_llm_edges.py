@@ -18,7 +18,7 @@ from convoframe.llm.decontaminate import contaminated
 from convoframe.llm.features import INNER, RUNS_AT_ONCE, sampled_features, word_grams
 from convoframe.llm.licenses import scan_licenses
 from convoframe.llm.near_dup import bands_for, near_duplicates, shingle_hashes, signatures
-from convoframe.llm.pieces import LONGEST_UNIT, SPACE, Pieces, decode, encode
+from convoframe.llm.pieces import LONGEST_UNIT, SPACE, Pieces, _group_edges, best_paths, decode, encode
 from convoframe.llm.pii import base_spans, find_pii, training_parts
 from convoframe.llm.quality import dual_descent, score_quality
 from convoframe.llm.records import TextEncoder, frame, parse, payload, read_one, read_records, unframe, write_records
@@ -406,6 +406,25 @@ def test_pieces_of_odd_rows(spark, odd, none):
     assert encode(none, file).count() == 0 and decode(encode(none, file), file).count() == 0
 
 
+def test_edges_are_folded_by_ends(spark):
+    """A row for each unit has a list for each end; many ties, letters without a piece and letters of four bytes."""
+    names = ["a", "b", "aa", "ab", "ba", "aab", "bb😀", "😀"]
+    scores = [-1.0, -1.0, -2.0, -2.0, -2.0, -3.0, -2.5, -1.0]
+    pieces = Pieces(names, scores, [True] * len(names), list(range(300, 556)))
+    draw = random.Random(9)
+    drawn = {"".join(draw.choices("abé😀", (5, 5, 1, 1), k=draw.randrange(1, LONGEST_UNIT + 1))) for _ in range(400)}
+    units = spark.createDataFrame([(i % 3, u) for i, u in enumerate(sorted(drawn | {"a", "é"}))], "bucket int, unit string")
+    found = best_paths(units, pieces).collect()
+    assert {r.unit for r in found} == drawn | {"a", "é"} and len(found) == units.count()
+    for r in found:
+        ids = [i for p in r.ids for i in ([p] if p >= 0 else pieces.bytes_of(r.unit[-1 - p]))]
+        assert ids == pieces.best_path(r.unit), r.unit
+    edge = [(e << 27) + (s << 20) + n for e, s, n in ((1, 0, 1), (2, 0, 3), (2, 1, 1), (1, 0, 2))]
+    columns = [pa.array([0, None, None, 1], pa.int32()), pa.array(["aa", None, None, "b"]), pa.array(edge)]
+    (aa,), (b,) = (x.to_pylist() for x in _group_edges([pa.RecordBatch.from_arrays(columns, names=["bucket", "unit", "edge"])]))
+    assert aa["ends"] == [[1], [3, (1 << 20) + 1]] and b["ends"] == [[2]]
+
+
 def test_best_path_equals_the_library_on_a_unigram_model(tmp_path):
     """The same pieces and scores, with the file's type set to the one whose rule is the best path."""
     import sentencepiece
