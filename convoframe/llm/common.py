@@ -21,6 +21,10 @@ U64 = np.uint64
 # Text in a batch whose features are made at once: they take some 80 times its bytes.
 FEATURE_BYTES = 1_000_000
 
+# Bytes in a batch of rows on its way to a Python worker.
+WORKER_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+WORKER_BYTES = 4_000_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -94,6 +98,15 @@ def give_back() -> None:
         trim(0)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """From now on rows go to Python workers in batches of ``WORKER_BYTES``, unless the session names a size.
+
+    Spark's own bound is 64 MB, which the executor and the worker each hold for every task.
+    """
+    if WORKER_BATCH not in spark.conf.getAll:
+        spark.conf.set(WORKER_BATCH, str(WORKER_BYTES))
+
+
 def small_batches(
     batches: Iterator[pa.RecordBatch], column: str, limit: int = 8_000_000
 ) -> Iterator[pa.RecordBatch]:

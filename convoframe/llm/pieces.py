@@ -29,7 +29,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convoframe.llm.common import give_back, small_batches
+from convoframe.llm.common import bound_batches, give_back, small_batches
 from convoframe.session import materialise, scratch_path
 
 SPACE = "▁"
@@ -243,6 +243,8 @@ def _gather(pieces: Pieces, buckets: int):
                     seen = [pc.unique(pa.concat_arrays([*seen, units]))]
         if seen:
             yield rows(block, seen)
+        seen = []
+        give_back()
 
     return run
 
@@ -468,6 +470,8 @@ def _look_up(pieces: Pieces, asked: str, folder: str):
                         counts = np.concatenate([[0], np.cumsum(lengths[place], dtype=np.int64)])
                     lists = pa.ListArray.from_arrays(pa.array(counts[offsets], pa.int32()), pa.array(flat).cast(pa.int32()))
                     yield pa.RecordBatch.from_arrays([part.column(1), lists], names=["key", "ids"])
+        names = ids = starts = lengths = None
+        give_back()
 
     return run
 
@@ -498,6 +502,7 @@ def encode_and_decode(docs: DataFrame, file: str, key: str = "doc_id", buckets:
 
 def _encoded(docs: DataFrame, file: str, key: str, buckets: int | None, back: bool) -> DataFrame:
     spark = docs.sparkSession
+    bound_batches(spark)
     pieces = Pieces.load(file)
     buckets = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = dict(docs.dtypes)[key]

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convoframe.llm.common import table
+from convoframe.llm.common import bound_batches, table
 from convoframe.llm.cuckoo import exact_duplicates
 from convoframe.llm.decontaminate import contaminated
 from convoframe.llm.near_dup import near_duplicates
@@ -53,6 +53,7 @@ def _stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callabl
     @functools.wraps(work)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         release(spark, _last, keep=docs)
+        bound_batches(spark)
         with scratch_paths() as made:
             kept = work(spark, docs, sf_dir)
         _last[:] = made

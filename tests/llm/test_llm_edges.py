@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from convoframe.llm import queries
+from convoframe.llm.common import WORKER_BATCH, WORKER_BYTES
 from convoframe.llm.components import connected_components
 from convoframe.llm.cuckoo import CuckooFilter, CuckooIndex, exact_duplicates
 from convoframe.llm.decontaminate import contaminated
@@ -425,6 +426,30 @@ def test_edges_are_folded_by_ends(spark):
     assert aa["ends"] == [[1], [3, (1 << 20) + 1]] and b["ends"] == [[2]]
 
 
+def test_batches_for_workers_are_bounded_in_bytes(spark):
+    was = spark.conf.getAll.get(WORKER_BATCH)
+    try:
+        spark.conf.unset(WORKER_BATCH)
+        encode(table(spark, [(1, "a")]), queries.vocabulary(queries.PIECES))
+        assert int(spark.conf.get(WORKER_BATCH)) == WORKER_BYTES
+
+        def sizes(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_pydict({"bytes": [batch.nbytes]})
+
+        texts = spark.range(0, 3_000, 1, 1).select(F.expr("repeat('0123456789', 400)").alias("text"))
+        found = [r.bytes for r in texts.mapInArrow(sizes, "bytes long").collect()]
+        assert len(found) > 1 and max(found) < 1.1 * WORKER_BYTES
+        # A size that the session names stays.
+        spark.conf.set(WORKER_BATCH, "9000000")
+        encode(table(spark, [(1, "a")]), queries.vocabulary(queries.PIECES))
+        assert spark.conf.get(WORKER_BATCH) == "9000000"
+    finally:
+        spark.conf.unset(WORKER_BATCH)
+        if was:
+            spark.conf.set(WORKER_BATCH, was)
+
+
 def test_best_path_equals_the_library_on_a_unigram_model(tmp_path):
     """The same pieces and scores, with the file's type set to the one whose rule is the best path."""
     import sentencepiece
