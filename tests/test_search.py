@@ -4,12 +4,16 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from convoframe import session
 from convoframe.operators import generate, retrieval, usage
 from convoframe.operators.chats import title_prompts
 from convoframe.operators.messages import build_prompts
+from convoframe.plans import QUERIES
 from convoframe.streaming import autosave
 
 WORDS = [f"w{i}" for i in range(60)]
@@ -101,6 +105,85 @@ def test_documents_of_cells_share_ids_and_scores(spark, monkeypatch):
         (0, 1, (1, "b")), (0, 2, (2, "a")), (1, 1, (1, "b"))]
 
 
+def test_cells_give_no_more_than_their_task(spark, monkeypatch):
+    """However many cells there are: the questions and the best documents are shuffled once for each task."""
+    rng = random.Random(5)
+    docs = corpus(rng, 400)
+    index = retrieval.index_documents(spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string"))
+    asked = spark.createDataFrame([(i, WORDS[i : i + 5], [1.0] * 5) for i in range(20)], "_q bigint, terms array<string>, idfs array<double>")
+    found = {}
+    for cell in (10, 1_000_000):
+        monkeypatch.setattr(retrieval, "_CELL", cell)
+        monkeypatch.setattr(retrieval, "_TEXTS", 1)
+        scored = retrieval._cell_scores(asked, index, 3)
+        found[cell] = sorted((r._q, r.doc_id, r.points) for r in scored.collect())
+        assert len(found[cell]) <= 2 * spark.sparkContext.defaultParallelism * 20 * 3
+    assert found[10] == found[1_000_000]
+
+
+@pytest.mark.parametrize("scale,k,dense", [(1, 4, 16), (10, 3, 1_000), (1_000_000, 5, 16), (100_000_000, 2, 4), (1_000_000, 90, 16)])
+def test_cells_of_one_task_equal_brute_force(monkeypatch, scale, k, dense):
+    """Terms that add nothing, equal scores, sums beyond 32 bits, shared ids, and cells that improve on earlier ones."""
+    monkeypatch.setattr(retrieval, "_DENSE", dense)
+    rng = np.random.default_rng(k)
+    idfs = {w: (1e-8 if scale == 1 and i < 3 else 0.1 + 0.09 * i) for i, w in enumerate(WORDS)}
+    texts = []
+    for i in range(600):
+        terms = rng.choice(WORDS, rng.integers(1, 40), replace=False).tolist()
+        texts.append((i // 2 if 100 <= i < 140 else i, terms, rng.integers(1, 4, len(terms)).tolist()))
+    texts += [(600, ["w5", "w59"], [1, 1])] * 3000
+    texts.sort(key=lambda t: t[0])
+    asked = [rng.choice([*WORDS, "other"], rng.integers(1, 30), replace=False).tolist() for _ in range(60)] + [["w0"], ["other"], WORDS]
+    scores: list[dict] = [{} for _ in asked]
+    for doc, terms, tfs in texts:
+        share = {w: tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * sum(tfs) / 30.0)) for w, tf in zip(terms, tfs)}
+        for q, words in enumerate(asked):
+            if set(words) & set(terms):
+                points = sum(math.floor(idfs[w] * share[w] * scale + 0.5) for w in words if w in share)
+                scores[q][doc] = scores[q].get(doc, 0) + points
+    expected = [sorted(((-p, d) for d, p in s.items()))[:k] for s in scores]
+
+    def cell(some, first):
+        table = pa.table({"doc_id": [t[0] for t in some], "n_tokens": [sum(t[2]) for t in some],
+                          "terms": [" ".join(t[1]) for t in some], "tfs": pa.array([t[2] for t in some], pa.list_(pa.int32()))})
+        return retrieval._Cell(table, 30.0, k, scale, first)
+
+    numbers = {w: i for i, w in enumerate([*WORDS, "other"])}
+    terms = pa.table({"term": list(numbers), "idf": [idfs.get(w, 1.0) for w in numbers]})
+    questions = pa.table({"_q": list(range(len(asked))), "terms": pa.array([[numbers[w] for w in q] for q in asked], pa.list_(pa.int32()))})
+    best = np.full((2, len(asked), k), -1)
+    ids = []
+    for start, end in ((0, 60), (60, 150), (150, len(texts))):
+        # A cell ends where an id does.
+        while 0 < start < len(texts) and texts[start][0] == texts[start - 1][0]:
+            start += 1
+        while end < len(texts) and texts[end][0] == texts[end - 1][0]:
+            end += 1
+        part = cell(texts[start:end], len(ids))
+        ids += part.ids.to_pylist()
+        part.answer(best, terms, questions)
+    found = [[(-p, ids[at]) for p, at in zip(*best[:, q].tolist()) if at >= 0] for q in range(len(asked))]
+    assert found == expected
+
+
+def test_corpus_goes_once_it_is_indexed(spark, tmp_path):
+    """The files of the corpus are not kept while documents are searched, nor after."""
+    spark.createDataFrame([(1, 'red "fox",\n  hen '), (2, "red cow"), (3, None)], "doc_id bigint, text string").write.parquet(
+        str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(7, 0, "user", "Hen?"), (7, 1, "assistant", "cow")], "conv_id bigint, turn bigint, role string, text string").write.parquet(
+        str(tmp_path / "conversations.parquet"))
+    with session.scratch_paths() as made:
+        found = QUERIES["x8_read_corpus"](spark, str(tmp_path)).collect()
+    assert [(r.chat_id, r.turn, r.doc_id) for r in found] == [(7, 0, "1")]
+    (corpus_path,) = [p for p in made if "/corpus-" in p and "corpus-" in p.rsplit("/", 1)[1] and not _has_parquet(spark, p)]
+    where = spark._jvm.org.apache.hadoop.fs.Path(corpus_path)
+    assert not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def _has_parquet(spark, path):
+    return any(name.endswith(".parquet") for name in session.text_files(spark).names(path))
+
+
 def test_index_serves_several_searches(spark):
     docs = spark.createDataFrame([(1, "red fox"), (2, "red red hen")], "doc_id bigint, text string")
     index = retrieval.index_documents(docs)
